@@ -68,13 +68,13 @@ def mix(docs: DataFrame, cycle: tuple[int, ...] = CYCLE, max_repeats: int = REPE
     keyed = slim.withColumn("range", F.substring("shuffle_key", 1, digits))
     offsets = keyed.groupBy("key", "range").agg(F.sum("size").alias("in_range"))
     before = W.partitionBy("key").orderBy("range").rowsBetween(W.unboundedPreceding, 0)
-    offsets = offsets.select("key", "range", (F.sum("in_range").over(before) - F.col("in_range")).alias("offset"))
+    # Goals travel with the ranges, so that documents are dealt by source and range, never by source alone.
+    offsets = offsets.select("key", "range", (F.sum("in_range").over(before) - F.col("in_range")).alias("offset")).join(goals, "key")
     inside = W.partitionBy("key", "range").orderBy("shuffle_key", "doc_id")
     queue = (
         keyed.join(offsets, ["key", "range"])
         .withColumn("cum", F.col("offset") + F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, 0)))
         .withColumn("n", F.row_number().over(inside))
-        .join(goals, "key")
     )
     copies = queue.withColumn("epoch", F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.lit(0), F.lit(max_repeats - 1))))).withColumn(
         "virtual_time", ((F.col("epoch") * F.col("source_size") + F.col("cum")).cast("double") - F.col("size") / 2.0) / F.col("target")
