@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from quillon.llm import op5_chat, op10_mix
+from quillon.llm import op3_simhash, op4_substrings, op5_chat, op7_langid, op9_tokens, op10_mix
 
 QUERIES = {
+    "op3_simhash": op3_simhash.op3_simhash,
+    "op4_substring_dedup": op4_substrings.op4_substring_dedup,
     "op5_chat_formatting": op5_chat.op5_chat_formatting,
+    "op7_language_id": op7_langid.op7_language_id,
+    "op9_token_counts": op9_tokens.op9_token_counts,
     "op10_mix": op10_mix.op10_mix,
 }
 
