@@ -49,7 +49,32 @@ def dictionaries(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text"
     for r in best.select("lang", "text", "r").orderBy("lang", "r").collect():
         if said := letters(r["text"]).encode()[:DOC_BYTES]:
             taken.setdefault(r["lang"], []).append(said)
-    return [(k, b"\n".join(v)[:DICT_BYTES]) for k, v in sorted(taken.items())]
+    taken = {k: list(dict.fromkeys(v)) for k, v in sorted(taken.items())}
+    return [(k, b"\n".join(v)[:DICT_BYTES]) for k, v in _cleaned(taken).items()]
+
+
+def _cleaned(taken: dict[str, list[bytes]]) -> dict[str, list[bytes]]:
+    """Without the sampled texts that the other half of the sample puts in another language: a wrong label would
+    otherwise put a text's copies there too. Languages of under four texts are left as they are."""
+    if len(taken) < 2 or min(map(len, taken.values())) < 4:
+        return taken
+    names, kept = list(taken), {k: [] for k in taken}
+    for half in (0, 1):
+        coders = _coders([b"\n".join(v[half::2])[:DICT_BYTES] for v in taken.values()])
+        for k, v in taken.items():
+            kept[k] += [t for t in v[1 - half :: 2] if names[_judge(t, coders)[0]] == k]
+    return {k: v or taken[k] for k, v in kept.items()}
+
+
+def _coders(dicts: list[bytes]) -> list:
+    import zstandard
+
+    out = []
+    for raw in dicts:
+        d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=LEVEL)
+        out.append(zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_dict_id=False))
+    return out
 
 
 def _judge(data: bytes, coders: list) -> tuple[int, float, float]:
@@ -76,13 +101,7 @@ def identify(docs: DataFrame, learned: list[tuple[str, bytes]], doc_id: str = "d
     kept = list(dict.fromkeys([doc_id, *keep]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        coders = []
-        for _, raw in learned:
-            d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
-            coders.append(zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_dict_id=False))
+        coders = _coders([raw for _, raw in learned])
         for batch in batches:
             found = []
             for t in batch.column(text):

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quillon.llm import op3_simhash, op4_substrings, op5_chat, op7_langid, op9_tokens, op10_mix
+from quillon.llm import op2_katz, op3_simhash, op4_substrings, op5_chat, op7_langid, op9_tokens, op10_mix
 
 QUERIES = {
+    "op2_katz_scores": op2_katz.op2_katz_scores,
     "op3_simhash": op3_simhash.op3_simhash,
     "op4_substring_dedup": op4_substrings.op4_substring_dedup,
     "op5_chat_formatting": op5_chat.op5_chat_formatting,
