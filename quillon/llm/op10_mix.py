@@ -91,15 +91,19 @@ def mix(docs: DataFrame, cycle: tuple[int, ...] = CYCLE, max_repeats: int = REPE
     return some.select(out).unionByName(none.select(out))
 
 
-def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    copies = mix(table(spark, sf_dir, "documents"))
+def per_document(copies: DataFrame) -> DataFrame:
+    """One row per document of `mix`: doc_id, source, size, source_size, target, taken (words, repeats counted)."""
     return (
         copies.groupBy("key", "shuffle_key", "n")
-        .agg(F.first("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum(F.when(F.col("taken"), F.col("size")).otherwise(0)).alias("taken"))
-        .select("doc_id", "size", "source_size", "target", "taken")
+        .agg(*[F.first(c).alias(c) for c in ("doc_id", "source", "size", "source_size", "target")], F.sum(F.when(F.col("taken"), F.col("size")).otherwise(0)).alias("taken"))
+        .select("doc_id", "source", "size", "source_size", "target", "taken")
     )
 
 
+def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return per_document(mix(table(spark, sf_dir, "documents"))).drop("source")
+
+
 def mix_sql(documents: str, columns: str) -> str:
     """The same in one statement; `columns` are taken from q, which has a row per document of `documents`."""
     return f"""

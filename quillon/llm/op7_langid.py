@@ -95,8 +95,9 @@ def identify(docs: DataFrame, learned: list[tuple[str, bytes]], doc_id: str = "d
 
     A null text, or one without letters, is `und` with score 0 and rejected, and so is every text when nothing
     was learned. Equal sizes go to the language that comes first in code point order. Repeated rows are judged
-    alike; an empty table gives no rows. Long texts are read whole, in chunks.
+    alike; an empty table gives no rows. Long texts are read whole, in chunks. Kept columns named like a result are left out.
     """
+    keep = tuple(k for k in keep if k not in ("lang_pred", "score", "margin", "rejected"))
     cols = list(dict.fromkeys([doc_id, text, *keep]))
     kept = list(dict.fromkeys([doc_id, *keep]))
 

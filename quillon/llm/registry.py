@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quillon.llm import op2_katz, op3_simhash, op4_substrings, op5_chat, op7_langid, op9_tokens, op10_mix
+from quillon.llm import op2_katz, op3_simhash, op4_substrings, op5_chat, op6_decontaminate, op7_langid, op9_tokens, op10_mix
 
 QUERIES = {
     "op2_katz_scores": op2_katz.op2_katz_scores,
     "op3_simhash": op3_simhash.op3_simhash,
     "op4_substring_dedup": op4_substrings.op4_substring_dedup,
     "op5_chat_formatting": op5_chat.op5_chat_formatting,
+    "op6_decontamination": op6_decontaminate.op6_decontamination,
     "op7_language_id": op7_langid.op7_language_id,
     "op9_token_counts": op9_tokens.op9_token_counts,
     "op10_mix": op10_mix.op10_mix,
