@@ -59,13 +59,13 @@ def _send(home: int, ranges: int, key: np.ndarray, **more: np.ndarray) -> Iterat
         yield batch([(r, home, pack(key=key[s], **{k: v[s] for k, v in more.items()})) for r, s in slices])
 
 
-def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", normalize: bool = True) -> DataFrame:
     """Every column of docs, with `text` replaced by the words that are kept, joined by one space, and n_words, n_removed.
 
     A word goes if a window of 20 words that covers it has the same words as one that starts earlier: in a smaller
     doc_id, or earlier in the same document. Windows are judged on the input. Rows with equal ids are ordered by
     block and place, null ids come last. A null or empty text, or one under 20 words, loses nothing; a null
-    text stays null, other texts come back with single spaces. Existing columns n_words and n_removed are replaced. An empty table gives no rows.
+    text stays null. Other texts come back with single spaces; without `normalize`, texts that lose nothing come back as they were. Existing columns n_words and n_removed are replaced. An empty table gives no rows.
     """
     spark = docs.sparkSession
     ranges = partitions(spark)
@@ -146,7 +146,8 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         for i, words in enumerate(w.words):
             if removed[i]:
                 words = [words[k] for k in np.flatnonzero(~gone[w.edge[i] : w.edge[i + 1]]).tolist()]
-            texts.append(b" ".join(words).decode() if part.column(text)[i].is_valid else None)
+            as_was = not part.column(text)[i].is_valid or not (normalize or removed[i])
+            texts.append(part.column(text)[i].as_py() if as_was else b" ".join(words).decode())
         cols = {n: part.column(n) for n in part.schema.names}
         cols[text] = pa.array(texts, pa.string())
         cols |= {"n_words": pa.array(w.size, pa.int64()), "n_removed": pa.array(removed, pa.int64())}

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quillon.llm import op2_katz, op3_simhash, op4_substrings, op5_chat, op6_decontaminate, op7_langid, op9_tokens, op10_mix
+from quillon.llm import op1_licenses, op2_katz, op3_simhash, op4_substrings, op5_chat, op6_decontaminate, op7_langid, op9_tokens, op10_mix
 
 QUERIES = {
+    "op1_license_scan": op1_licenses.op1_license_scan,
     "op2_katz_scores": op2_katz.op2_katz_scores,
     "op3_simhash": op3_simhash.op3_simhash,
     "op4_substring_dedup": op4_substrings.op4_substring_dedup,
