@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import op1_licenses, op2_katz, op3_simhash, op4_substrings, op5_chat, op6_decontaminate, op7_langid, op9_tokens, op10_mix
+from quillon.llm import op1_licenses, op2_katz, op3_simhash, op4_substrings, op5_chat, op6_decontaminate, op7_langid, op8_search, op9_tokens, op10_mix
 
 QUERIES = {
     "op1_license_scan": op1_licenses.op1_license_scan,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_chat_formatting": op5_chat.op5_chat_formatting,
     "op6_decontamination": op6_decontaminate.op6_decontamination,
     "op7_language_id": op7_langid.op7_language_id,
+    "op8_bm25_search": op8_search.op8_bm25_search,
     "op9_token_counts": op9_tokens.op9_token_counts,
     "op10_mix": op10_mix.op10_mix,
 }
