@@ -1,36 +1,8 @@
-"""Queries over the test tables and the SQL that gives the same rows."""
+"""All queries of the analytics side by name, and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from quillon.plans import data_queries, metric_queries
 
-
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def top_customers_by_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten customers with the largest discounted sales; ties go to the smaller name."""
-    sales = F.sum(F.col("l_extendedprice").cast("decimal(14,2)") * (1 - F.col("l_discount").cast("decimal(6,2)")))
-    return (
-        _t(spark, sf_dir, "lineitem")
-        .join(_t(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(_t(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-        .groupBy(F.col("c_name").alias("customer_name"))
-        .agg(sales.cast("double").alias("total_sales"))
-        .orderBy(F.desc("total_sales"), "customer_name")
-        .limit(10)
-    )
-
-
-QUERIES = {"top_customers_by_sales": top_customers_by_sales}
-
-ORACLES = {
-    "top_customers_by_sales": """
-SELECT c_name AS customer_name,
-       CAST(sum(CAST(l_extendedprice AS DECIMAL(14,2)) * (1 - CAST(l_discount AS DECIMAL(6,2)))) AS DOUBLE) AS total_sales
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-GROUP BY c_name ORDER BY total_sales DESC, customer_name LIMIT 10
-""",
-}
+QUERIES = metric_queries.QUERIES | data_queries.QUERIES
+ORACLES = metric_queries.ORACLES | data_queries.ORACLES
