@@ -18,6 +18,8 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_substring_dedup": op4_substrings.ORACLE,
     "op5_chat_formatting": op5_chat.ORACLE,
+    "op8_bm25_search": op8_search.ORACLE,
     "op10_mix": op10_mix.ORACLE,
 }
