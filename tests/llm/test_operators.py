@@ -1,0 +1,390 @@
+"""Operators against brute force on a small table that holds nulls, empty and long texts, ties, repeats and foreign columns."""
+
+import hashlib
+import math
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from quillon.llm import blocks, components, op1_licenses, op2_katz, op3_simhash, op4_substrings, op5_chat, op6_decontaminate, op7_langid, op8_search, op9_tokens, op10_mix, registry
+
+LONG = " ".join(f"word{i % 997} the of" for i in range(30_000))
+PASSAGE = " ".join(f"pass{i}" for i in range(60))
+TEXTS = [
+    (1, "The quick brown fox jumps over the lazy dog and runs away.", "a"),
+    (2, "The quick brown fox jumps over the lazy dog and runs away.", "a"),
+    (3, None, "b"),
+    (4, "", None),
+    (5, " \t\n ", "b"),
+    (6, LONG, "a"),
+    (7, PASSAGE + " tail of seven", "c"),
+    (8, "head of eight " + PASSAGE + " and " + PASSAGE, "c"),
+    (9, "12345 67890 !!! ???", None),
+    (10, "Ünïcode   spaces stay inside wörds " + PASSAGE[:200], "a"),
+    (50, "fox dog fox dog unique", "b"),
+    (100, None, "b"),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """Foreign columns have names that operators use for their own."""
+    df = spark.createDataFrame(TEXTS, "doc_id long, text string, source string")
+    return df.withColumns({"score": F.lit("x"), "home": F.lit(1), "fp": F.lit(2), "taken": F.lit(None).cast("int"), "rank": F.lit(0), "n_words": F.lit("y"), "h": F.lit(3)})
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.limit(0)
+
+
+def words(t):
+    return (t or "").encode().split()
+
+
+def lower(t):
+    return (t or "").encode().lower().split()
+
+
+@pytest.mark.parametrize("name", sorted(set(registry.ORACLES)))
+def test_same_rows_as_sql(name, same_rows):
+    same_rows(registry.QUERIES[name], registry.ORACLES[name])
+
+
+def test_blocks_round_trip():
+    a = {"x": np.array([1, 2, 2**40]), "y": np.array([], np.uint32), "z": np.array([0.5, -1.0])}
+    b = blocks.unpack(blocks.pack(**a))
+    assert all((a[k] == b[k]).all() and a[k].dtype == b[k].dtype for k in a)
+    text = (LONG + "  \n x").encode()
+    h = blocks.hash_words(text)
+    seen = {}
+    for w, x in zip(text.split(), h.tolist(), strict=True):
+        assert seen.setdefault(w, x) == x
+    assert len(set(seen.values())) == len(seen)
+
+
+# --- 1 -------------------------------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def licence_model(spark, sf):
+    return op1_licenses.train(spark.read.parquet(f"{sf}/documents.parquet"))
+
+
+def test_licences(spark, sf, licence_model, empty):
+    got = [
+        (1, "Covered by the GNU Lesser General Public License.", "lgpl"), (2, "Released under the MIT license.", "mit"), (3, "Redistribution and use in source and binary forms, with or without modification, are permitted", "bsd"),
+        (4, "Licensed under the Foo Bar Weird Terms.", "unknown"), (5, "copyright 2020 Foo. All rights reserved.", "proprietary"), (6, "The license plate was red.", "unknown"), (7, "Licensed under CC BY-NC 4.0.", "cc-by-nc"),
+    ]
+    df = spark.createDataFrame([(i, f"Some words.\n{t}\n\nMore.") for i, t, _ in got] + [(8, None), (9, "")], "doc_id long, text string")
+    found = {r["doc_id"]: r["family"] for r in op1_licenses.scan(df, licence_model).collect()}
+    assert found == {i: f for i, _, f in got}
+    assert op1_licenses.scan(empty, licence_model).count() == 0
+
+
+def test_licence_lines_of_the_table(spark, sf, licence_model):
+    lines = {"apache": "Licensed under the Apache License, Version 2.0.", "mit": "Released under the MIT License.", "gpl": "This work is licensed under the GNU General Public License, version 3.", "cc-by-nc": "Licensed under CC BY-NC 4.0.", "proprietary": "All rights reserved."}
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = {r["doc_id"]: {f for f, line in lines.items() if line in r["text"]} for r in docs.collect()}
+    got = defaultdict(set)
+    for r in op1_licenses.scan(docs, licence_model).filter("confirmed").collect():
+        got[r["doc_id"]].add(r["family"])
+    assert all(got[i] == w for i, w in want.items())
+
+
+# --- 2 -------------------------------------------------------------------------------------------------------------
+
+
+def katz(rows):
+    """score, base score and counts of each (doc_id, text) by plain dictionaries."""
+    tok = {i: [*lower(t), b"\0"] for i, t in rows}
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows}
+    c1, c2, starts = Counter(), Counter(), 0
+    for i, w in tok.items():
+        if not held[i]:
+            starts += 1
+            c1.update(w)
+            c2.update(zip(["<s>", *w], w, strict=False))
+    N, V = sum(c1.values()), len(c1)
+    n = lambda c: [0] + [sum(1 for v in c.values() if v == k) for k in range(1, 7)]
+    d1, d2 = op2_katz.good_turing(n(c1)), op2_katz.good_turing(n(c2))
+    disc = lambda c, d: d[min(c, 6)] * c
+    unknown = 1 - sum(disc(c, d1) for c in c1.values()) / N
+    p1 = lambda w: disc(c1[w], d1) / N if c1[w] else unknown
+    after = defaultdict(list)
+    for (v, w), c in c2.items():
+        after[v].append((w, c))
+    size = lambda v: starts if v == "<s>" else c1[v]
+
+    def alpha(v):
+        return (1 - sum(disc(c, d2) for _, c in after[v]) / size(v)) / (1 - sum(p1(w) for w, _ in after[v])) if v in after else 1.0
+
+    for v in list(after)[:20]:
+        seen = {w for w, _ in after[v]}
+        assert abs(sum(disc(c, d2) for _, c in after[v]) / size(v) + alpha(v) * (sum(p1(w) for w in c1 if w not in seen) + unknown) - 1) < 1e-9
+    out = {}
+    for i, w in tok.items():
+        s = b = 0
+        for v, x in zip(["<s>", *w], w, strict=False):
+            c = c2.get((v, x), 0)
+            s += math.log10(disc(c, d2) / size(v) if c else alpha(v) * p1(x))
+            b += math.log10((c1[x] + 0.5) / (N + 0.5 * (V + 1)))
+        out[i] = (len(w), sum(c1[x] > 0 for x in w), N, b, s, held[i])
+    return out
+
+
+def test_katz(spark, sf, docs, empty):
+    unseen = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
+    for df in (docs, spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id < 60")):
+        want = katz([(r["doc_id"], r["text"]) for r in df.collect()])
+        got = op2_katz.score(df, unseen).collect()
+        assert len(got) == len(want)
+        for r in got:
+            n, known, N, base, score, held = want[r["doc_id"]]
+            assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (n, known, N, held)
+            assert abs(r["base_score"] - base) < 1e-6 and abs(r["score"] - score) < 1e-6
+    assert op2_katz.score(empty, unseen).count() == 0
+    nothing = op2_katz.score(docs.filter("doc_id < 3"), F.lit(True)).collect()
+    assert [r["score"] for r in nothing] == [0.0, 0.0]
+
+
+# --- 3 -------------------------------------------------------------------------------------------------------------
+
+
+def simhash(t):
+    w = lower(t)
+    sh = [b" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
+    h = [xxhash.xxh64_intdigest(x, 42) for x in sh]
+    return sum(1 << b for b in range(64) if sum(v >> b & 1 for v in h) * 2 > len(h))
+
+
+def reach(fps):
+    f = np.array(fps, np.uint64)
+    label, adj = np.arange(len(f)), np.bitwise_count(f[:, None] ^ f[None, :]) <= 2
+    while True:
+        low = np.where(adj, label[None, :], len(f)).min(1)
+        if (low == label).all():
+            return label
+        label = low
+
+
+def test_simhash(spark, sf, docs, empty):
+    for df in (docs, spark.read.parquet(f"{sf}/documents.parquet")):
+        rows = sorted((r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect())
+        fps = [simhash(t) for _, t in rows]
+        label = reach(fps)
+        got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in op3_simhash.near_duplicates(df).collect()}
+        assert got == {i: (f"{f:016x}", rows[k][0]) for (i, _), f, k in zip(rows, fps, label, strict=True)}
+    assert op3_simhash.near_duplicates(empty).count() == 0
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_links_lose_nothing(spark, seed, monkeypatch):
+    """Dense clusters, chains and hot signatures; large groups are dealt out again and linked by parts."""
+    monkeypatch.setattr(op3_simhash, "LARGE_GROUP", 300)
+    rng = np.random.default_rng(seed)
+    centre = rng.integers(0, 2**63, 3, dtype=np.uint64)
+    fps = [centre]
+    for c in centre:
+        flips = rng.integers(0, 20, (900, 3))
+        x = np.full(900, c)
+        for k in range(3):
+            x = x ^ (np.uint64(1) << flips[:, k].astype(np.uint64))
+        fps.append(x)
+    fps.append(rng.integers(0, 2**63, 500, dtype=np.uint64))
+    fps = np.unique(np.concatenate(fps))
+    df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    forest = components.connected_components(op3_simhash.links(df))
+    root = {r["node"]: r["root"] for r in forest.collect()}
+    mine = [root.get(int(x), int(x)) for x in fps.view(np.int64)]
+    label = reach(fps)
+    pairs = set(zip(mine, label.tolist(), strict=True))
+    assert len(pairs) == len(set(mine)) == len(set(label.tolist()))
+
+
+def test_pigeonhole_budget():
+    costs = [{-1: 0.0, 0: 10.0, 1: 12.0}, {-1: 0.0, 0: 1.0, 1: 100.0}, {-1: 0.0, 0: 1.0, 1: 2.0}]
+    total, ts = op3_simhash.allocate(costs, 2)
+    assert sum(t + 1 for t in ts) == 3 and total == 3.0 and ts == [-1, 0, 1]
+
+
+# --- 4 -------------------------------------------------------------------------------------------------------------
+
+
+def without_repeats(rows):
+    seen, out = set(), {}
+    for i, t in rows:
+        w = words(t)
+        gone = [False] * len(w)
+        for k in range(len(w) - 19):
+            key = b" ".join(w[k : k + 20])
+            if key in seen:
+                gone[k : k + 20] = [True] * 20
+            seen.add(key)
+        out[i] = (len(w), sum(gone), b" ".join(x for x, g in zip(w, gone, strict=True) if not g).decode())
+    return out
+
+
+def test_substrings(spark, sf, docs, empty):
+    for df in (docs, spark.read.parquet(f"{sf}/documents.parquet")):
+        want = without_repeats(sorted((r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()))
+        got = op4_substrings.repeated_windows(df)
+        assert set(df.columns) <= set(got.columns)
+        assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["text"] or "") for r in got.collect()} == want
+    assert op4_substrings.repeated_windows(empty).count() == 0
+    as_was = {r["doc_id"]: r["text"] for r in op4_substrings.repeated_windows(docs, normalize=False).collect()}
+    assert as_was[5] == " \t\n " and as_was[3] is None
+
+
+def test_cover():
+    assert {(a - b) % op4_substrings.PERIOD for a in op4_substrings.COVER for b in op4_substrings.COVER} == set(range(op4_substrings.PERIOD))
+
+
+# --- 5 -------------------------------------------------------------------------------------------------------------
+
+
+def test_chat_round_trip(spark):
+    rows = [
+        (1, 0, "user", "a <| b <\\| c <\\\\| d", "z"), (1, 1, "user", "again <|im_sep|>", "z"), (1, 2, "assistant", None, "z"), (1, 3, "assistant", "ok < | |", "z"), (1, None, "system", "first", "z"),
+        (2, 0, "weird\nrole <|im_end|> %", "", "z"), (2, 0, None, "tie", "z"), (None, 0, "assistant", op5_chat.HOSTILE, "z"), (3, 0, "user", "same", "z"), (3, 0, "user", "same", "z"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string")
+    got = {r["conv_id"]: r for r in op5_chat.read_back(op5_chat.format_chats(df)).collect()}
+    for conv in (1, 2, 3, None):
+        mine = sorted(((t is not None, t, r or "", x or "") for c, t, r, x, _ in rows if c == conv), key=lambda k: (k[0], k[1] or 0, k[2], k[3]))
+        assert [(t["role"], t["text"]) for t in got[conv]["turns"]] == [(r, x) for _, _, r, x in mine]
+        assert got[conv]["loss_text"] == "".join(x for _, _, r, x in mine if r == "assistant")
+    assert got[1]["formatted"].count(op5_chat.START) == 3
+    assert op5_chat.format_chats(df.limit(0)).count() == 0
+
+
+# --- 6 -------------------------------------------------------------------------------------------------------------
+
+ITEM = "If Alice buys 12 apples and gives 5 kg to Bob then how many apples does Alice have left after 12 days of selling them in the market"
+
+
+def test_decontamination(spark, empty):
+    same = ITEM.replace("Alice", "Carol").replace("Bob", "Dan").replace("12", "30").replace("5 kg", "7 lb")
+    mixed = same.replace("does Carol", "does Eve")
+    df = spark.createDataFrame([(1, "Before it. " + same + ", right?", 1), (2, mixed, 1), (3, None, 1), (4, "", 1), (None, ITEM, 2), (5, ITEM[:40], 1), (6, ITEM, 1), (6, ITEM, 1), (7, "word " * 50_000 + ". " + ITEM, 1)], "doc_id long, text string, item_id int")
+    items = spark.createDataFrame([(1, ITEM), (2, "too short"), (3, None), (4, "1 2 3 4 5 6 7 8 9 10 11 12")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["share"], r["changed"]) for r in op6_decontaminate.contaminated(df, items).collect()}
+    assert set(got) == {(1, 1), (None, 1), (6, 1), (7, 1)} and got[1, 1] == (1.0, 7) and got[6, 1] == (1.0, 0)
+    assert sorted(r["doc_id"] or 0 for r in op6_decontaminate.decontaminate(df, items).collect()) == [0, 2, 3, 4, 5]
+    assert op6_decontaminate.contaminated(empty, items).count() == 0
+    assert op6_decontaminate.contaminated(df, items.limit(0)).count() == 0
+
+
+def test_leaks_of_the_table(spark, sf):
+    """Exact passages by 8-word windows of plain words, over the whole tables."""
+    strip = lambda t: [w.lower().strip(".,;:!?") for w in t.split()]
+    where = defaultdict(set)
+    items = {r["item_id"]: strip(r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    for i, w in items.items():
+        for k in range(len(w) - 7):
+            where[tuple(w[k : k + 8])].add((i, k))
+    want = defaultdict(set)
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        w, hit = strip(r["text"]), defaultdict(set)
+        for k in range(len(w) - 7):
+            for i, at in where.get(tuple(w[k : k + 8]), ()):
+                hit[i].add(at)
+        for i, at in hit.items():
+            if len(at) >= 0.5 * (len(items[i]) - 7):
+                want[r["doc_id"]].add(i)
+    got = {r["doc_id"]: set(r["item_ids"]) for r in op6_decontaminate.op6_decontamination(spark, sf).filter("contaminated").collect()}
+    assert want and got == dict(want)
+
+
+# --- 7 -------------------------------------------------------------------------------------------------------------
+
+
+def test_language(spark, docs, empty):
+    big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    learned = op7_langid.dictionaries(big.filter(~op7_langid.held_out()))
+    assert [k for k, _ in learned] == ["de", "en", "es", "fr"]
+    judged = op7_langid.identify(big.filter(op7_langid.held_out()), learned, keep=("lang", "n_chars")).toPandas()
+    clear = judged[judged.n_chars >= 100]
+    assert (clear.lang_pred == clear.lang).mean() >= 0.95
+    assert judged.score.between(0, 1).all() and judged.rejected.mean() < 0.05
+    odd = {r["doc_id"]: r for r in op7_langid.identify(docs, learned, keep=("score",)).collect()}
+    assert len(odd) == len(TEXTS) and {i for i, r in odd.items() if r["lang_pred"] == "und"} == {3, 4, 5, 9, 100}
+    assert odd[1]["lang_pred"] == odd[2]["lang_pred"] == "en"
+    assert op7_langid.identify(empty, learned).count() == 0
+    nothing = op7_langid.dictionaries(big.filter("false"))
+    assert nothing == [] and {r["lang_pred"] for r in op7_langid.identify(docs, nothing).collect()} == {"und"}
+
+
+# --- 8 -------------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("size", [op8_search.QUERY_TERMS, 3])
+def test_search(spark, docs, empty, size, monkeypatch):
+    monkeypatch.setattr(op8_search, "QUERY_TERMS", size)
+    queries = spark.createDataFrame([(1, "fox fox dog"), (2, "pass3 PASS4 of the"), (3, None), (4, "no such"), (None, "fox")], "query_id long, text string")
+    tf = {i: Counter(lower(t)) for i, t, _ in TEXTS}
+    size_of = {i: sum(c.values()) for i, c in tf.items()}
+    n, average = len(tf), sum(size_of.values()) / len(tf)
+    df = Counter(w for c in tf.values() for w in c)
+    want = []
+    for q, t in ((1, "fox fox dog"), (2, "pass3 PASS4 of the")):
+        scores = []
+        for i, c in tf.items():
+            s = sum(m * math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * size_of[i] / average)) for w, m in Counter(lower(t)).items() if c[w])
+            scores += [(-s, i)] if s else []
+        want += [(q, i, -s, k + 1) for k, (s, i) in enumerate(sorted(scores)[:3])]
+    got = sorted((r["query_id"], r["rank"], r["doc_id"], r["score"]) for r in op8_search.search(docs, queries, k=3).collect())
+    assert [(q, i, k) for q, k, i, _ in got] == [(q, i, k) for q, i, _, k in want]
+    assert all(abs(a[3] - b[2]) < 1e-9 for a, b in zip(got, want, strict=True))
+    assert op8_search.search(empty, queries).count() == 0 and op8_search.search(docs, queries.limit(0)).count() == 0
+
+
+# --- 9 -------------------------------------------------------------------------------------------------------------
+
+
+def test_token_counts(spark, docs, empty):
+    pieces = op9_tokens.load_pieces()
+    low = min(pieces.values()) - 10
+
+    def alone(w):
+        w = op9_tokens.SPACE + w.decode()
+        best = [(0.0, 0)]
+        for e in range(1, len(w) + 1):
+            width = len(w[e - 1].encode())
+            cand = [(best[e - 1][0] + width * low, best[e - 1][1] + width)] + [(best[b][0] + pieces[w[b:e]], best[b][1] + 1) for b in range(e) if w[b:e] in pieces]
+            top = max(s for s, _ in cand)
+            best.append(min((c for c in cand if c[0] == top), key=lambda c: c[1]))
+        return best[-1][1]
+
+    memo = {}
+    want = {i: (len(words(t)), sum(memo.setdefault(w, alone(w)) if w not in memo else memo[w] for w in words(t))) for i, t, _ in TEXTS}
+    assert {r["doc_id"]: (r["n_words"], r["n_tokens"]) for r in op9_tokens.count_tokens(docs).collect()} == want
+    assert op9_tokens.count_tokens(empty).count() == 0
+
+
+# --- 10 ------------------------------------------------------------------------------------------------------------
+
+
+def test_mix(spark, sf, docs, empty):
+    got = op10_mix.per_document(op10_mix.mix(docs)).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(i for i, _, _ in TEXTS)
+    assert all(0 <= r["taken"] <= 3 * r["size"] for r in got)
+    size = defaultdict(int)
+    for _, t, s in TEXTS:
+        size[s] += len(words(t))
+    assert {r["source"]: r["source_size"] for r in got} == size
+    target = {r["source"]: r["target"] for r in got}
+    assert abs(sum(target.values()) - sum(size.values())) < 1e-6 and all(target[s] <= 3 * size[s] + 1e-9 for s in size)
+    assert op10_mix.mix(empty).count() == 0
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    one, two = (sorted(map(tuple, op10_mix.per_document(op10_mix.mix(d)).collect()), key=str) for d in (docs, docs.repartition(5)))
+    assert one == two
+    took, goal = defaultdict(int), {}
+    for _, s, _, _, t, k in one:
+        took[s] += k
+        goal[s] = t
+    assert all(abs(took[s] - goal[s]) <= 0.1 * goal[s] for s in goal)

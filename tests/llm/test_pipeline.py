@@ -1,0 +1,46 @@
+"""Every pipeline stage against a brute-force version, each on what its predecessor kept."""
+
+import numpy as np
+
+import corpus_pipeline
+from quillon.llm import op7_langid, op10_mix
+from quillon.llm.common import materialize, table
+from test_operators import reach, simhash, without_repeats
+
+
+def test_stages(spark, sf, duck):
+    docs = table(spark, sf, "documents")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, materialize(stage(spark, docs, sf), name)
+        kept[name] = (before.toPandas(), docs.toPandas())
+        if name != "mix":
+            assert docs.columns == before.columns
+    before, after = kept["language"]
+    learned = op7_langid.dictionaries(table(spark, sf, "documents"))
+    coders = op7_langid._coders([raw for _, raw in learned])
+    fine = {i for i, t in zip(before.doc_id, before.text) if (s := op7_langid.letters(t)) and op7_langid._judge(s.encode(), coders)[2] >= op7_langid.MIN_MARGIN}
+    assert set(after.doc_id) == fine and len(fine) > 0.9 * len(before)
+    before, after = kept["near_duplicates"]
+    before = before.sort_values("doc_id")
+    assert sorted(after.doc_id) == sorted(before.doc_id.to_numpy()[np.unique(reach([simhash(t) for t in before.text]))])
+    before, after = kept["substrings"]
+    want = without_repeats(sorted(zip(before.doc_id, before.text)))
+    text = dict(zip(before.doc_id, before.text))
+    assert {i: t for i, t in zip(after.doc_id, after.text)} == {i: w[2] if w[1] else text[i] for i, w in want.items()}
+    assert (after.n_chars == after.text.str.len())[[want[i][1] > 0 for i in after.doc_id]].all()
+    before, after = kept["decontamination"]
+    items = [" ".join(w.strip(".,;:!?").lower() for w in t.split()) for t in table(spark, sf, "benchmark").toPandas().text]
+    leaks = {i for i, t in zip(before.doc_id, before.text) if any(x in " ".join(w.strip(".,;:!?").lower() for w in t.split()) for x in items)}
+    gone = set(before.doc_id) - set(after.doc_id)
+    assert leaks and leaks <= gone and len(gone) < 0.1 * len(before)
+    before, after = kept["mix"]
+    duck.register("left_over", before)
+    want = duck.sql(op10_mix.mix_sql("left_over", "doc_id, CAST(coalesce(words, 0) AS BIGINT) AS taken")).df()
+    want = {i: k for i, k in zip(want.doc_id, want.taken) if k > 0}
+    assert dict(zip(after.doc_id, after.taken)) == want
+
+
+def test_run_gives_the_last_stage(spark, sf):
+    out = corpus_pipeline.run(spark, sf)
+    assert out.count() > 0 and "taken" in out.columns
