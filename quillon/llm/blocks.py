@@ -20,7 +20,7 @@ from quillon.llm.common import materialize, partitions
 #: Bytes of text in a block, unless one document has more.
 BLOCK_BYTES = 16_000_000
 #: Texts are hashed in pieces of about so many bytes, cut at white space, which bounds temporary arrays.
-SEGMENT = 4_000_000
+SEGMENT = 1_000_000
 #: Rows that travel: `home` is a block or a key range, `peer` the other side.
 ROWS = "home long, peer long, data binary"
 
@@ -61,14 +61,9 @@ def unpack(data: bytes) -> dict[str, np.ndarray]:
     return out
 
 
-def words_of(data: bytes) -> tuple[list[bytes], np.ndarray]:
-    """Words of a text and their 64-bit hashes."""
-    words = data.split()
-    return words, hash_words(data, len(words))
-
-
-def hash_words(data: bytes, n: int) -> np.ndarray:
-    out, at, done = np.empty(n, np.uint64), 0, 0
+def hash_words(data: bytes) -> np.ndarray:
+    """64-bit hash of each word of a text."""
+    out, at = [], 0
     while at < len(data):
         end = min(len(data), at + SEGMENT)
         while end < len(data) and not _SPACE[data[end]]:
@@ -84,10 +79,9 @@ def hash_words(data: bytes, n: int) -> np.ndarray:
             power = np.multiply.accumulate(np.full(int(size.max()) + 1, _BASE))
             place = np.arange(len(letters)) - np.repeat(first, size)
             h = np.add.reduceat(_BYTE[letters] * power[place], first)
-            out[done : done + len(begin)] = mix64(h ^ (size.astype(np.uint64) * _STEP))
-            done += len(begin)
+            out.append(mix64(h ^ (size.astype(np.uint64) * _STEP)))
         at = end
-    return out
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
 def windows(h: np.ndarray, size: int) -> np.ndarray:
@@ -192,17 +186,21 @@ def batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 class Words:
     """The words of a block's documents: hashes in one array, each document's place in `edge`."""
 
-    def __init__(self, texts: Iterable[bytes], keep_words: bool = False):
-        self.words: list[list[bytes]] = []
+    def __init__(self, texts: Iterable[bytes]):
         parts, edge = [], [0]
         for t in texts:
-            w, h = words_of(t)
-            if keep_words:
-                self.words.append(w)
-            parts.append(h)
-            edge.append(edge[-1] + len(h))
+            parts.append(hash_words(t))
+            edge.append(edge[-1] + len(parts[-1]))
         self.hash = np.concatenate(parts) if parts else np.empty(0, np.uint64)
         self.edge = np.array(edge)
         self.size = np.diff(self.edge)
-        self.place = np.arange(len(self.hash)) - np.repeat(self.edge[:-1], self.size)
-        self.left = np.repeat(self.edge[1:], self.size) - np.arange(len(self.hash))
+
+    @property
+    def place(self) -> np.ndarray:
+        """Each word's place in its document."""
+        return np.arange(len(self.hash), dtype=np.int32) - np.repeat(self.edge[:-1].astype(np.int32), self.size)
+
+    @property
+    def left(self) -> np.ndarray:
+        """Words of the document from each word on."""
+        return np.repeat(self.edge[1:].astype(np.int32), self.size) - np.arange(len(self.hash), dtype=np.int32)

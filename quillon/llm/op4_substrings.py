@@ -31,7 +31,8 @@ def _texts(docs: pa.RecordBatch, text: str) -> list[bytes]:
 def _anchors(w: Words) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of the anchors."""
     h = windows(w.hash, ANCHOR)
-    at = np.flatnonzero((w.left[: len(h)] >= ANCHOR) & np.isin(w.place[: len(h)] % PERIOD, COVER))
+    cover = np.isin(np.arange(PERIOD), COVER)
+    at = np.flatnonzero((w.left[: len(h)] >= ANCHOR) & cover[w.place[: len(h)] % PERIOD])
     return at, h[at]
 
 
@@ -130,24 +131,26 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         if rows[0][0] != -1:
             return
         part = from_ipc(rows[0][1])
-        w = Words(_texts(part, text), keep_words=True)
+        w = Words(_texts(part, text))
         at, h = _windows(w)
-        _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        later = np.ones(len(h), bool)
-        later[first] = False
-        later |= _found(h, _merged(rows[1:], "key"))
-        cover = np.zeros(len(w.hash) + 1, np.int64)
+        later = _found(h, _merged(rows[1:], "key"))
+        order = np.argsort(h, kind="stable")
+        later[order[1:][np.diff(h[order]) == 0]] = True
+        cover = np.zeros(len(w.hash) + 1, np.int32)
         np.add.at(cover, at[later], 1)
         np.add.at(cover, at[later] + WINDOW, -1)
         gone = np.cumsum(cover)[:-1] > 0
         total = np.concatenate(([0], np.cumsum(gone)))
         removed = total[w.edge[1:]] - total[w.edge[:-1]]
         texts = []
-        for i, words in enumerate(w.words):
-            if removed[i]:
-                words = [words[k] for k in np.flatnonzero(~gone[w.edge[i] : w.edge[i + 1]]).tolist()]
-            as_was = not part.column(text)[i].is_valid or not (normalize or removed[i])
-            texts.append(part.column(text)[i].as_py() if as_was else b" ".join(words).decode())
+        for i, t in enumerate(part.column(text)):
+            said = t.as_py()
+            if said is not None and (normalize or removed[i]):
+                words = said.encode().split()
+                if removed[i]:
+                    words = [words[k] for k in np.flatnonzero(~gone[w.edge[i] : w.edge[i + 1]]).tolist()]
+                said = b" ".join(words).decode()
+            texts.append(said)
         cols = {n: part.column(n) for n in part.schema.names}
         cols[text] = pa.array(texts, pa.string())
         cols |= {"n_words": pa.array(w.size, pa.int64()), "n_removed": pa.array(removed, pa.int64())}
