@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from quillon.llm.common import materialize, partitions
 
 #: Bytes of text in a block, unless one document has more.
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 12_000_000
 #: Texts are hashed in pieces of about so many bytes, cut at white space, which bounds temporary arrays.
 SEGMENT = 1_000_000
 #: Rows that travel: `home` is a block or a key range, `peer` the other side.
