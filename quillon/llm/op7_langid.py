@@ -40,10 +40,13 @@ def dictionaries(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text"
     It comes to the driver: SAMPLE_DOCS * DOC_BYTES bytes a language at most, whatever the input.
     """
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.lit(7), doc_id, text).alias("h"))
-    counts = rows.groupBy("lang").count()
-    # A first cut by hash leaves about twice the sample, so that few texts are moved; languages with fewer rows keep all.
+    counts = rows.groupBy("lang").count().collect()  # a row a language, as the model itself
+    if not counts:
+        return []
+    # A first cut by hash, beside the scan, leaves about twice the sample; languages with fewer rows keep all.
+    size = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], r["count"])])
     unit = F.pmod("h", F.lit(1_000_000)) / 1_000_000
-    near = rows.join(counts, "lang").filter(unit * F.col("count") <= 2.0 * SAMPLE_DOCS).withColumn("text", F.substring("text", 1, DOC_BYTES))
+    near = rows.filter(unit * F.element_at(size, F.col("lang")) <= 2.0 * SAMPLE_DOCS).withColumn("text", F.substring("text", 1, DOC_BYTES))
     best = near.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "text"))).filter(F.col("r") <= SAMPLE_DOCS)
     taken: dict[str, list[bytes]] = {}
     for r in best.select("lang", "text", "r").orderBy("lang", "r").collect():
