@@ -20,7 +20,7 @@ WINDOW = 8
 LITERALS = 4
 #: Share of an item's windows that must match.
 MIN_SHARE = 0.5
-#: Item windows above this number are joined by a shuffle instead of a broadcast (16 bytes each).
+#: Windows of items, and hashes of documents, above this number are joined by a shuffle instead of a broadcast (16 bytes each).
 BROADCAST_WINDOWS = 1_000_000
 NUM, NAME, UNIT = "<num>", "<name>", "<unit>"
 #: Units that may follow a number.
@@ -93,7 +93,9 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     matched = found.join(F.broadcast(bench) if small else bench, "h").select("doc_id", "of", "item_id", "at", "place", "slots").distinct()
     matched = materialize(matched, "matched-windows")
     slotted = matched.filter(F.size("slots") > 0)
-    texts = wide.withColumn("of", F.xxhash64("said")).select(F.col("doc_id").alias("d"), F.col("of").alias("o"), "said").join(slotted.select(F.col("of").alias("o")).distinct(), "o", "left_semi").distinct()
+    needed = materialize(slotted.select(F.col("of").alias("o")).distinct(), "slotted-texts")
+    needed = F.broadcast(needed) if needed.count() <= BROADCAST_WINDOWS else needed
+    texts = wide.withColumn("of", F.xxhash64("said")).select(F.col("doc_id").alias("d"), F.col("of").alias("o"), "said").join(needed, "o", "left_semi").distinct()
     pairs = slotted.join(texts, (F.col("doc_id").eqNullSafe(F.col("d"))) & (F.col("of") == F.col("o"))).select(
         "doc_id", "of", "item_id", (F.col("place") - F.col("at")).alias("offset"), "place", "at", F.explode("slots").alias("s"), F.split("said", _SPLIT).alias("said")
     )
