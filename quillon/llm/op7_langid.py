@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 from quillon.llm.common import table
 
 #: Bounds of the training sample: labelled documents a language, and bytes of each and in all.
-SAMPLE_DOCS, DOC_BYTES, DICT_BYTES = 400, 2_000, 256_000
-CHUNK, LEVEL = 2_048, 3
+SAMPLE_DOCS, DOC_BYTES, DICT_BYTES = 400, 500, 32_000
+CHUNK, LEVEL = 2_048, 6
 #: Relative gain over the second language below which a prediction is rejected.
-MIN_MARGIN = 0.005
+MIN_MARGIN = 0.01
 #: Share of the byte gain that counts as evidence in `score`.
 TEMPER = 0.2
 UNKNOWN = "und"
@@ -34,7 +34,7 @@ def letters(text: str) -> str:
 
 
 def dictionaries(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> list[tuple[str, bytes]]:
-    """Raw-content dictionaries from at most SAMPLE_DOCS documents of every language, in code point order of the languages.
+    """Raw-content dictionaries from at most SAMPLE_DOCS documents of every language; languages with more labelled rows come first.
 
     Rows with a null language or a text without letters teach nothing. The sample is by hash of id and text, so reruns agree.
     It comes to the driver: SAMPLE_DOCS * DOC_BYTES bytes a language at most, whatever the input.
@@ -52,7 +52,7 @@ def dictionaries(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text"
     for r in best.select("lang", "text", "r").orderBy("lang", "r").collect():
         if said := letters(r["text"]).encode()[:DOC_BYTES]:
             taken.setdefault(r["lang"], []).append(said)
-    taken = {k: list(dict.fromkeys(v)) for k, v in sorted(taken.items())}
+    taken = {r["lang"]: list(dict.fromkeys(taken[r["lang"]])) for r in sorted(counts, key=lambda r: (-r["count"], r["lang"])) if r["lang"] in taken}
     return [(k, b"\n".join(v)[:DICT_BYTES]) for k, v in _cleaned(taken).items()]
 
 
@@ -97,7 +97,7 @@ def identify(docs: DataFrame, learned: list[tuple[str, bytes]], doc_id: str = "d
     """Adds nothing to the rows but predictions: doc_id, the `keep` columns, lang_pred, score, margin, rejected.
 
     A null text, or one without letters, is `und` with score 0 and rejected, and so is every text when nothing
-    was learned. Equal sizes go to the language that comes first in code point order. Repeated rows are judged
+    was learned. Equal sizes go to the language with more labelled rows, then to the first in code point order. Repeated rows are judged
     alike; an empty table gives no rows. Long texts are read whole, in chunks. Kept columns named like a result are left out.
     """
     keep = tuple(k for k in keep if k not in ("lang_pred", "score", "margin", "rejected"))

@@ -306,10 +306,10 @@ def test_leaks_of_the_table(spark, sf):
 def test_language(spark, docs, empty):
     big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     learned = op7_langid.dictionaries(big.filter(~op7_langid.held_out()))
-    assert [k for k, _ in learned] == ["de", "en", "es", "fr"]
+    assert learned[0][0] == "en" and sorted(k for k, _ in learned) == ["de", "en", "es", "fr"]
     judged = op7_langid.identify(big.filter(op7_langid.held_out()), learned, keep=("lang", "n_chars")).toPandas()
     clear = judged[judged.n_chars >= 100]
-    assert (clear.lang_pred == clear.lang).mean() >= 0.95
+    assert (clear.lang_pred == clear.lang).mean() >= 0.98
     assert judged.score.between(0, 1).all() and judged.rejected.mean() < 0.05
     odd = {r["doc_id"]: r for r in op7_langid.identify(docs, learned, keep=("score",)).collect()}
     assert len(odd) == len(TEXTS) and {i for i, r in odd.items() if r["lang_pred"] == "und"} == {3, 4, 5, 9, 100}
