@@ -49,6 +49,17 @@ def discounted(c: np.ndarray, d: np.ndarray) -> np.ndarray:
     return d[np.minimum(c, CUTOFF + 1)] * c
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and each entry's place among them; only the distinct values are sorted."""
+    import pandas as pd
+
+    code, values = pd.factorize(x)
+    order = np.argsort(values)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return values[order], place[code]
+
+
 class Tokens:
     """The tokens of a block: words, then one end token a document; contexts; distinct words in the order they travel."""
 
@@ -64,7 +75,7 @@ class Tokens:
         inner[last] = False
         h[inner], h[last] = w.hash, END
         self.train = ~np.repeat(self.held, self.size)
-        key, code = np.unique(h, return_inverse=True)
+        key, code = distinct(h)
         order, self.slices = deal(key, ranges)
         self.key = key[order]
         place = np.empty(len(order), np.int64)
@@ -82,7 +93,7 @@ class Tokens:
         """Distinct bigrams (places of context and word; context -1 is the start), by range, context id and word id."""
         before = np.concatenate(([-1], self.code[:-1]))
         before[self.edge[:-1]] = -1
-        pair, self.pair = np.unique((before + 1) << 32 | self.code, return_inverse=True)
+        pair, self.pair = distinct((before + 1) << 32 | self.code)
         v, w = (pair >> 32) - 1, pair & 0xFFFFFFFF
         vid = np.where(v < 0, START, self.id[v])
         # A context goes to one range, but the successors of very frequent ones are dealt out.
