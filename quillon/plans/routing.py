@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.catalog import Catalog
@@ -60,3 +61,15 @@ def route(questions: DataFrame, catalog: Catalog, question: str = "question") ->
     state = F.when(reason.isin("answerable"), "answerable").when(reason == "definition", "answer_from_catalog").when(reason == "unsupported", "refuse").otherwise("needs_clarification")
     plan = F.when(reason != "answerable", None).when(F.col("baseline").isNotNull(), "comparison").when(F.size("metric_ids") == 1, "single_metric").when((F.size("dimensions") > 0) | F.col("grain").isNotNull(), "grouped_multi_metric").otherwise("scalar_overview")
     return df.withColumns({"reason": reason, "state": state, "plan_type": plan})
+
+
+def carry_over(routed: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
+    """Follow-up questions take what they leave out (metrics, dimensions, grain, range) from the last turn that named it."""
+    before = W.partitionBy(conv).orderBy(turn).rowsBetween(W.unboundedPreceding, 0)
+    named = lambda c: F.when(F.size(c) > 0, F.col(c))
+    return routed.withColumns({
+        "metric_ids": F.coalesce(F.last(named("metric_ids"), ignorenulls=True).over(before), F.col("metric_ids")),
+        "dimensions": F.coalesce(F.last(named("dimensions"), ignorenulls=True).over(before), F.col("dimensions")),
+        "grain": F.last("grain", ignorenulls=True).over(before),
+        "range": F.last("range", ignorenulls=True).over(before),
+    })

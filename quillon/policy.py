@@ -7,7 +7,7 @@ result column depends on, through any CTE, derived table or set operation.
 from __future__ import annotations
 
 import threading
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException, ParseException
@@ -188,3 +188,13 @@ def run(spark: SparkSession, sql: str, catalog: Catalog, role: str = "analyst",
     finally:
         timer.cancel()
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def run_with_repair(spark: SparkSession, sql: str, catalog: Catalog, candidate: Callable[[str, str], str | None], role: str = "analyst") -> list:
+    """Rows of a query; if it names something unknown or is misspelt, of one other candidate, which meets the same policy."""
+    try:
+        return run(spark, sql, catalog, role)
+    except PolicyViolation as e:
+        if e.code not in ("syntax", "not_resolved") or not (other := candidate(sql, e.code)) or other.strip() == sql.strip():
+            raise
+        return run(spark, other, catalog, role)

@@ -5,6 +5,8 @@ from quillon import catalog as C
 from quillon.functions import text as T
 from quillon.operators import charts, metrics, quality
 from quillon.operators.validation import Contract, validate
+from quillon.plans.routing import carry_over, route
+from quillon.sources import history
 from quillon.sources.tables import Star, read_csv
 from quillon.streaming import events as stream
 
@@ -87,3 +89,30 @@ def test_stream_gives_the_batch_result(spark, sf, tmp_path):
     batch = {tuple(r) for r in stream.tumbling(spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))).collect()}
     # The last windows stay open until the watermark passes them.
     assert got <= batch and len(got) >= 0.9 * len(batch)
+
+
+def test_history_and_cases(spark, sf, tmp_path):
+    spark.read.parquet(f"{sf}/region.parquet").createOrReplaceTempView("region_view")
+    assert {"r_name", "r_regionkey"} <= {r["column_name"] for r in history.information_schema(spark).filter("table_name = 'region_view'").collect()}
+    log = spark.createDataFrame([("SELECT a FROM Sales", 5), ("SELECT a FROM Sales", 7), ("SELECT 1", 9), ("SELECT b FROM sales", 1)], "query_text string, rows_produced int")
+    assert [r[0] for r in history.query_history(log, "sales").collect()] == ["SELECT a FROM Sales"]
+    path = str(tmp_path / "cases.yaml")
+    cases = spark.createDataFrame([("1", "c", "q", {"state": "ok"}), ("2", "c", "r", {"state": "no"})], "id string, category string, question string, expected map<string,string>")
+    for p in (path, path.replace(".yaml", ".json")):
+        history.save_cases(cases, p)
+        assert [r["id"] for r in history.load_cases(spark, p, {"state": "ok"}).collect()] == ["1"]
+    (tmp_path / "notes").mkdir()
+    (tmp_path / "notes" / "a.txt").write_text("x" * 100 + " Needle " + "y" * 100)
+    found = history.search_files(spark, str(tmp_path / "notes"), "needle").first()
+    assert found["snippet"].startswith("…") and "Needle" in found["snippet"]
+    assert history.markdown(cases.select("id")).splitlines()[2] == "| 1 |"
+    assert len(history.json_summary(cases, max_chars=130)) <= 130
+    events = history.audit_events(spark.read.parquet(f"{sf}/events.parquet"), {"event_type": "click"}, "2024-01-02", "2024-01-03")
+    assert {r["event_type"] for r in events.collect()} == {"click"}
+
+
+def test_follow_up_questions(spark):
+    q = spark.createDataFrame([(1, 0, "gmv by state in 2017"), (1, 1, "by month"), (1, 2, "and orders weekly")], "conv_id int, turn int, question string")
+    got = {r["turn"]: r for r in carry_over(route(q, C.load_catalog())).collect()}
+    assert got[1]["metric_ids"] == ["gmv"] and got[1]["dimensions"] == ["customer_state"] and got[1]["grain"] == "month" and got[1]["range"]["start"] == "2017-01-01"
+    assert got[2]["metric_ids"] == ["paid_order_count"] and got[2]["grain"] == "week"

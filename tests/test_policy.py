@@ -42,3 +42,19 @@ def test_admin(spark, catalog):
     with pytest.raises(policy.PolicyViolation):
         policy.evaluate(spark, "SELECT n_name FROM nation", catalog, "guest")
     assert len(policy.run(spark, "SELECT n_name FROM nation ORDER BY n_name LIMIT 2", catalog)) == 2
+
+
+def test_one_repair(spark, catalog):
+    asked = []
+
+    def candidate(sql, code):
+        asked.append(code)
+        return "SELECT n_name FROM nation LIMIT 1" if len(asked) < 3 else "DELETE FROM nation"
+
+    assert len(policy.run_with_repair(spark, "SELECT n_nam FROM nation", catalog, candidate)) == 1
+    assert len(policy.run_with_repair(spark, "SELEC n_name FROM nation", catalog, candidate)) == 1
+    with pytest.raises(policy.PolicyViolation):
+        policy.run_with_repair(spark, "SELECT n_nam FROM nation", catalog, candidate)
+    with pytest.raises(policy.PolicyViolation):
+        policy.run_with_repair(spark, "DROP TABLE nation", catalog, candidate)
+    assert asked == ["not_resolved", "syntax", "not_resolved"]
