@@ -5,7 +5,7 @@ import numpy as np
 import corpus_pipeline
 from quillon.llm import op7_langid, op10_mix
 from quillon.llm.common import materialize, table
-from test_operators import reach, simhash, without_repeats
+from test_llm_operators import reach, simhash, without_repeats
 
 
 def test_stages(spark, sf, duck):
