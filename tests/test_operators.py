@@ -7,6 +7,7 @@ from quillon.operators import charts, metrics, quality
 from quillon.operators.validation import Contract, validate
 from quillon.plans.routing import carry_over, route
 from quillon.sources import history
+from quillon.sources.jdbc import Database
 from quillon.sources.tables import Star, read_csv
 from quillon.streaming import events as stream
 
@@ -116,3 +117,12 @@ def test_follow_up_questions(spark):
     got = {r["turn"]: r for r in carry_over(route(q, C.load_catalog())).collect()}
     assert got[1]["metric_ids"] == ["gmv"] and got[1]["dimensions"] == ["customer_state"] and got[1]["grain"] == "month" and got[1]["range"]["start"] == "2017-01-01"
     assert got[2]["metric_ids"] == ["paid_order_count"] and got[2]["grain"] == "week"
+
+
+def test_jdbc_round_trip(spark):
+    db = Database(spark, "derby", "memory:quillon;create=true")
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id int, name string")
+    db.write(df, "t1")
+    assert sorted(db.run_sql("SELECT * FROM t1;").collect()) == sorted(df.collect(), key=lambda r: r["id"])
+    assert db.run_sql("SELECT * FROM t1", "id", (1, 4), 3).rdd.getNumPartitions() == 3
+    assert Database(spark, "postgres", "d", "h").url() == "jdbc:postgresql://h:5432/d"
