@@ -26,16 +26,19 @@ NUM, NAME, UNIT = "<num>", "<name>", "<unit>"
 #: Units that may follow a number.
 UNITS = "kg g mg lb oz km m cm mm mi ft in l ml h hr hrs min s sec ms hours hour minutes minute seconds second days day weeks week months month years year dollars dollar euros euro cents cent percent % kmh mph meters meter metres metre miles mile grams gram liters liter litres litre pounds pound degrees degree".split()
 _SPLIT = r"[\x20\x09-\x0D]+"
+#: A capitalised word: any one, and one inside a sentence.
+_NAMES = r"""(?<![^\x20\x09-\x0D])["'(\[“‘]*\p{Lu}\p{Ll}+(?=[\p{P}\p{S}]*(?:[\x20\x09-\x0D]|$))"""
+_INNER = r"(?<=[\p{L}\d,;][\x20\x09-\x0D]{1,8})\p{Lu}\p{Ll}+(?=[\p{P}\p{S}]*(?:[\x20\x09-\x0D]|$))"
 
 
-def template(text: Column) -> Column:
+def template(text: Column, name: str = _NAMES) -> Column:
     """Words of the canonical template, one for each word of the text.
 
     Number: starts with a digit, after signs, currency or brackets. Unit: one of UNITS after a number. Name:
-    a capital and more letters, after a word that ends in a letter, digit, comma or semicolon. Other words are lower-cased and
-    lose punctuation at both ends.
+    a capital and more small letters, wherever it stands, so that a name that begins a sentence, a line or a quotation is a slot
+    like any other. Other words are lower-cased and lose punctuation at both ends.
     """
-    t = F.regexp_replace(text, r"(?<=[\p{L}\d,;]\x20)\p{Lu}\p{Ll}+(?=[\p{P}\p{S}]*(?:[\x20\x09-\x0D]|$))", NAME)
+    t = F.regexp_replace(text, name, NAME)
     t = F.regexp_replace(F.lower(t), r"(?<![^\x20\x09-\x0D])[+\-(\[\"'$€£]*\d[^\x20\x09-\x0D]*", NUM)
     t = F.regexp_replace(t, rf"(?<=<num>[\x20\x09-\x0D])(?:{'|'.join(UNITS)})[.,;:!?)\]]*(?![^\x20\x09-\x0D])", UNIT)
     t = F.regexp_replace(t, r"(?<=[\p{L}\d>])[\p{P}\p{S}&&[^<>]]+(?=[\x20\x09-\x0D]|$)", "")
@@ -76,11 +79,14 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     """
     bench = (
         items.select(F.col(item_id).alias("item_id"), F.coalesce(F.col(item_text), F.lit("")).alias("said"))
-        .withColumn("words", template(F.col("said")))
+        .withColumn("inner", template(F.col("said"), _INNER))
+        # A document may have the words that begin sentences, or all words, in small letters: then they are literals there.
+        .withColumn("words", F.explode(F.array(template(F.col("said")), F.col("inner"), template(F.lower("said")))))
         .withColumn("said", F.split("said", _SPLIT))
-        .select("item_id", "words", "said", F.posexplode(_hashes(F.col("words"), window)).alias("at", "h"))
-        .filter(F.size(F.filter(F.slice("words", F.col("at") + 1, F.lit(window)), lambda w: ~w.isin(NUM, NAME, UNIT, ""))) >= min(LITERALS, window))
+        .select("item_id", "words", "inner", "said", F.posexplode(_hashes(F.col("words"), window)).alias("at", "h"))
+        .filter(F.size(F.filter(F.slice("inner", F.col("at") + 1, F.lit(window)), lambda w: ~w.isin(NUM, NAME, UNIT, ""))) >= min(LITERALS, window))
         .select("item_id", "at", "h", _slots(F.col("words"), F.col("said"), F.col("at"), window).alias("slots"))
+        .distinct()
     )
     sizes = bench.groupBy("item_id").agg(F.countDistinct("at").alias("in_item"))
     keys = bench.select("h").distinct()
