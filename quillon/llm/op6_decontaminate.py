@@ -3,14 +3,16 @@
 Numbers, names and units become typed placeholders, word for word, so a question with other numbers or names keeps its
 template. Windows of the template are hash-joined between documents and benchmark items. Matches of one item at one
 offset in one document are kept if their slots agree: an item's value always stands for the same value in the
-document, and the other way round. A document is contaminated if the kept windows cover enough of an item.
+document, and the other way round. Offsets of one region, which differ where a value has another number of words or a word is
+put in, are added up as far as their slots agree. A document is contaminated if the kept windows cover enough of an item. Items
+without a window of their own are matched whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.common import materialize, table
@@ -20,6 +22,8 @@ WINDOW = 8
 LITERALS = 4
 #: Share of an item's windows that must match.
 MIN_SHARE = 0.5
+#: Matches of an item whose offsets differ by at most so many words from the next are one region.
+SHIFT = 8
 #: Windows of items, and hashes of documents, above this number are joined by a shuffle instead of a broadcast (16 bytes each).
 BROADCAST_WINDOWS = 1_000_000
 NUM, NAME, UNIT = "<num>", "<name>", "<unit>"
@@ -70,28 +74,46 @@ def _slots(words: Column, said: Column, at: Column, size: int) -> Column:
     return F.filter(one, lambda s: s["kind"].isin(NUM, NAME, UNIT))
 
 
+def _agree(pairs: Column) -> Column:
+    """Whether each of an item's values stands for one value in the document, and the other way round."""
+    kinds = lambda *of: F.size(F.array_distinct(F.transform(pairs, lambda x: F.struct(x["kind"], *[x[k] for k in of]))))
+    return (kinds("theirs", "ours") == kinds("theirs")) & (kinds("theirs", "ours") == kinds("ours"))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, min_share: float = MIN_SHARE) -> DataFrame:
     """One row per document id and item found in it: doc_id, item_id, share (of the item's windows), windows, changed (slots with other values).
 
-    Null and empty texts, on either side, match nothing, and neither do items with fewer words than a window or
-    with too few literal words in every window. Repeated rows and ids give one row. Null ids are ids. Empty tables give no
+    Null and empty texts, on either side, match nothing. Items with fewer words than a window, or with too few literal words in
+    every window, must be found whole, and with the same slots if they have fewer than LITERALS literal words in all. Repeated rows and ids give one row. Null ids are ids. Empty tables give no
     rows; other columns are ignored.
     """
-    bench = (
-        items.select(F.col(item_id).alias("item_id"), F.coalesce(F.col(item_text), F.lit("")).alias("said"))
+    literal = lambda w: ~w.isin(NUM, NAME, UNIT, "")
+    base = (
+        items.select(F.col(item_id).alias("item_id"), F.regexp_replace(F.coalesce(F.col(item_text), F.lit("")), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "").alias("said"))
+        .filter("said != ''")
         .withColumn("inner", template(F.col("said"), _INNER))
-        # A document may have the words that begin sentences, or all words, in small letters: then they are literals there.
-        .withColumn("words", F.explode(F.array(template(F.col("said")), F.col("inner"), template(F.lower("said")))))
+        .withColumns({"n": F.size("inner"), "literals": F.size(F.filter("inner", literal))})
+        .withColumn("rich", F.transform(F.sequence(F.lit(1), F.greatest(F.col("n") - window + 1, F.lit(1))), lambda at: F.size(F.filter(F.slice("inner", at, F.lit(window)), literal)) >= min(LITERALS, window)))
+        .withColumn("whole", (F.col("n") < window) | ~F.exists("rich", lambda x: x))
+        # A document may have the words that begin sentences, or all words, in small letters: then they are literals there. It may begin a sentence with the item.
+        .withColumn("first", F.concat(F.upper(F.substring("said", 1, 1)), F.expr("substring(said, 2)")))
+        .withColumn("words", F.explode(F.array(template(F.col("said")), F.col("inner"), template(F.lower("said")), template(F.col("first")))))
         .withColumn("said", F.split("said", _SPLIT))
-        .select("item_id", "words", "inner", "said", F.posexplode(_hashes(F.col("words"), window)).alias("at", "h"))
-        .filter(F.size(F.filter(F.slice("inner", F.col("at") + 1, F.lit(window)), lambda w: ~w.isin(NUM, NAME, UNIT, ""))) >= min(LITERALS, window))
-        .select("item_id", "at", "h", _slots(F.col("words"), F.col("said"), F.col("at"), window).alias("slots"))
-        .distinct()
     )
-    sizes = bench.groupBy("item_id").agg(F.countDistinct("at").alias("in_item"))
+    short = sorted(r["n"] for r in base.filter(F.col("n") < window).select("n").distinct().collect())
+
+    def windows_of(rows: DataFrame, size: int) -> DataFrame:
+        out = rows.select("item_id", "words", "said", "rich", "whole", "literals", F.posexplode(_hashes(F.col("words"), size)).alias("at", "h"))
+        return out.filter(F.col("whole") | F.get("rich", F.col("at"))).select("item_id", "whole", "literals", "at", "h", _slots(F.col("words"), F.col("said"), F.col("at"), size).alias("slots"))
+
+    bench = windows_of(base.filter(F.col("n") >= window), window)
+    for size in short:
+        bench = bench.union(windows_of(base.filter(F.col("n") == size), size))
+    bench = bench.distinct()
+    sizes = bench.groupBy("item_id").agg(F.countDistinct("at").alias("in_item"), F.first("whole").alias("whole"), F.first("literals").alias("literals"))
     keys = bench.select("h").distinct()
     wide = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("said"))
-    hits = wide.select("doc_id", "said", _hashes(template(F.col("said")), window).alias("hs"))
+    hits = wide.select("doc_id", "said", F.explode(_let(template(F.col("said")), lambda w: F.array(*[_hashes(w, k) for k in (*short, window)]))).alias("hs")) if short else wide.select("doc_id", "said", _hashes(template(F.col("said")), window).alias("hs"))
     small = bench.count() <= BROADCAST_WINDOWS
     keys = F.broadcast(keys) if small else keys
     # Each document keeps only its hits; texts are read again for the few documents that have some.
@@ -107,24 +129,25 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     )
     pairs = pairs.select("doc_id", "of", "item_id", "offset", F.col("s.k").alias("k"), F.col("s.value").alias("theirs"), F.lower(F.get("said", F.col("s.k") + F.col("offset"))).alias("ours"), F.col("s.kind").alias("kind")).distinct()
     key = ["doc_id", "of", "item_id", "offset"]
-    bad = (
-        pairs.groupBy(*key, "kind", "theirs").agg(F.countDistinct("ours").alias("n")).filter("n > 1").select(*key)
-        .union(pairs.groupBy(*key, "kind", "ours").agg(F.countDistinct("theirs").alias("n")).filter("n > 1").select(*key))
-        .distinct().withColumn("bad", F.lit(True))
-    )
-    changed = pairs.filter("NOT ours <=> theirs").groupBy(*key).agg(F.count("*").alias("changed"))
-    runs = matched.withColumn("offset", F.col("place") - F.col("at")).groupBy(*key).agg(F.countDistinct("at").alias("windows"))
-
-    def same(left: DataFrame, right: DataFrame) -> Column:
-        cond = F.lit(True)
-        for k in key:
-            cond = cond & left[k].eqNullSafe(right[k])
-        return cond
-
-    runs = runs.join(bad, same(runs, bad), "left").select(*[runs[k] for k in key], "windows", "bad")
-    runs = runs.join(changed, same(runs, changed), "left").select(*[runs[k] for k in key], "windows", "bad", F.coalesce("changed", F.lit(0)).alias("changed"))
-    runs = runs.filter("bad IS NULL")
-    runs = runs.join(sizes, runs["item_id"].eqNullSafe(sizes["item_id"])).select("doc_id", runs["item_id"].alias("item_id"), "windows", "changed", (F.col("windows") / F.col("in_item")).alias("share"))
+    empty = F.array().cast("array<struct<k:int,kind:string,theirs:string,ours:string>>")
+    slots = pairs.groupBy(*key).agg(F.collect_set(F.struct("k", "kind", "theirs", "ours")).alias("pairs"))
+    runs = matched.withColumn("offset", F.col("place") - F.col("at")).groupBy(*key).agg(F.collect_set("at").alias("ats"))
+    same = [runs[k].eqNullSafe(slots[k]) for k in key]
+    runs = runs.join(slots, same, "left").select(*[runs[k] for k in key], "ats", F.coalesce("pairs", empty).alias("pairs")).filter(_agree(F.col("pairs")))
+    near = Window.partitionBy("doc_id", "of", "item_id").orderBy("offset")
+    runs = runs.withColumn("far", F.when(F.col("offset") - F.lag("offset").over(near) > SHIFT, 1).otherwise(0)).withColumn("region", F.sum("far").over(near))
+    # The longest run of a region first, then the others where their slots agree with what is taken.
+    runs = runs.groupBy("doc_id", "of", "item_id", "region").agg(F.sort_array(F.collect_list(F.struct((-F.size("ats")).alias("rank"), "offset", "ats", "pairs"))).alias("runs"))
+
+    def add(taken: Column, run: Column) -> Column:
+        both = F.struct(F.array_union(taken["ats"], run["ats"]).alias("ats"), F.array_union(taken["pairs"], run["pairs"]).alias("pairs"))
+        return _let(both, lambda x: F.when(_agree(x["pairs"]), x).otherwise(taken))
+
+    none = F.struct(F.array().cast("array<int>").alias("ats"), empty.alias("pairs"))
+    runs = runs.withColumn("taken", F.aggregate("runs", none, add))
+    runs = runs.select("doc_id", F.col("item_id").alias("found_id"), F.size("taken.ats").alias("windows"), F.size(F.array_distinct(F.transform(F.filter("taken.pairs", lambda x: x["ours"] != x["theirs"]), lambda x: x["k"]))).alias("changed"))
+    runs = runs.join(sizes, F.col("found_id").eqNullSafe(F.col("item_id"))).withColumn("share", F.col("windows") / F.col("in_item"))
+    runs = runs.filter(~F.col("whole") | ((F.col("windows") == F.col("in_item")) & ((F.col("literals") >= LITERALS) | (F.col("changed") == 0))))
     return runs.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"), F.max_by("windows", "share").alias("windows"), F.max_by("changed", "share").cast("long").alias("changed")).filter(F.col("share") >= min_share)
 
 

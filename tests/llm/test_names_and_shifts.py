@@ -17,3 +17,31 @@ def test_names_begin_sentences_and_lines(spark):
     lines = "It says:\n" + TOM.replace(" ", "\n").replace("to\n", "to  \n ")
     got = found(spark, [TOM], [other, "So it goes. " + other, lines, TOM.lower(), TOM.replace("How", "how"), mixed])
     assert got == {0: (1.0, 8), 1: (1.0, 8), 2: (1.0, 0), 3: (1.0, 0), 4: (11 / 14, 0)}
+
+
+def test_values_of_other_lengths(spark):
+    item = "A shop near the old river sells pens for 60 cents each and the teacher wants to know how many of them she can buy there with all of her money today"
+    changed = item.replace("60 cents", "1 200 cents")
+    town = "The bus from Boston to Leeds takes 3 hours but the one that leaves Boston at noon is slower than the first one by far"
+    york = town.replace("Boston", "New York")
+    apart = " ".join(item.split()[:14]) + " filler" * 60 + " " + " ".join(item.split()[14:])
+    got = found(spark, [item], [changed, item.replace("teacher wants", "teacher really wants"), item, apart])
+    assert set(got) == {0, 1, 2} and got[0][0] > 0.6 and got[1][0] > 0.6 and got[2] == (1.0, 0)
+    assert set(found(spark, [town], [town, york])) >= {0}
+
+
+def test_slots_of_a_region_agree(spark):
+    item = "we ask how many of the 40 plums and pears were left over in that box when inside it only 40 plums and pears had ever been kept by us"
+    one = item.replace("40", "7").replace("left over in that box when", "left over in that old box when")
+    two = one.replace("only 7", "only 9")
+    got = found(spark, [item], [one, two])
+    assert got[0][0] > got.get(1, (0, 0))[0]
+
+
+def test_items_without_a_window(spark):
+    short, numbers, rich = "how old is Tom?", "1 2 3 4 5 6 7 8 9 10", "How many apples does Tom have left?"
+    docs = ["So he asks: How old is Tom? Nobody", "how old is Ann?", "so 1 2 3 4 5 6 7 8 9 10 end", "so 1 2 3 4 5 6 7 8 9 11 end", "Well. How many apples does Ann have left? Two", "how many apples"]
+    assert set(found(spark, [rich], docs)) == {4}
+    assert set(found(spark, [short], docs)) == {0}
+    assert set(found(spark, [numbers], docs)) == {2}
+    assert found(spark, ["", None, " \n"], docs) == {}
