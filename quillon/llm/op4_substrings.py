@@ -1,184 +1,161 @@
 """Removal of repeated word windows, found through difference-cover anchors.
 
-Only 8-word anchors that start at places 0, 1, 3 or 9 modulo 13 of their document are hashed and looked up: for
-any two places there is a shift below 13 that brings both to such places, so two equal 20-word windows share an
-aligned anchor inside. Around repeated anchors the windows themselves are then compared by hash, which extends the
-match. Each lookup is an exchange between blocks of documents and key ranges, one entry a distinct key and block.
+Only 8-word anchors that start at places 0, 1, 3 or 9 modulo 13 of their document are hashed and counted: for any two
+places there is a shift below 13 that brings both to such places, so two equal 20-word windows share an aligned anchor
+inside. Around repeated anchors the match is extended to whole windows, which are compared by the words themselves: by
+a 128-bit BLAKE2b digest of the window's text, so no hash of hashes decides what is removed. Documents are taken in
+blocks by a hash of their rows; a block sends each distinct anchor and window once, as a row, however often it occurs, so
+the rows of a key are at most the blocks. Spark counts, joins, ranks and brings the rows back to the blocks. The texts
+themselves are shuffled once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quillon.llm.blocks import ROWS, Words, at_blocks, at_ranges, batch, deal, from_ipc, make_blocks, pack, unpack, windows
 from quillon.llm.common import partitions, table
+from quillon.llm.words import Hashes, bounded, windows
 
 WINDOW = 20
 #: A perfect difference cover: every shift modulo 13 is a difference of two of its places.
 PERIOD, COVER = 13, (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
+#: Bytes of text in a block, about; there are at least four blocks a shuffle partition.
+BLOCK_BYTES = 6_000_000
+_COVER = np.isin(np.arange(PERIOD), COVER)
 
 
-def _texts(docs: pa.RecordBatch, text: str) -> list[bytes]:
-    return [(t.as_py() or "").encode() for t in docs.column(text)]
+def _words(part: pa.Table, text: str) -> list[list[bytes]]:
+    return [(t.as_py() or "").encode().split() for t in part.column(text)]
 
 
-def _anchors(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the anchors."""
-    h = windows(w.hash, ANCHOR)
-    cover = np.isin(np.arange(PERIOD), COVER)
-    at = np.flatnonzero((w.left[: len(h)] >= ANCHOR) & cover[w.place[: len(h)] % PERIOD])
+def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of a document's anchors."""
+    h = windows(hashes, ANCHOR)
+    at = np.flatnonzero(_COVER[np.arange(len(h)) % PERIOD])
     return at, h[at]
 
 
-def _windows(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    h = windows(w.hash, WINDOW)
-    at = np.flatnonzero(w.left[: len(h)] >= WINDOW)
-    return at, h[at]
-
-
-def _found(keys: np.ndarray, among: np.ndarray) -> np.ndarray:
-    if not len(among):
-        return np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(among, keys), len(among) - 1)
-    return among[at] == keys
-
+def near_anchors(words: int, hit: np.ndarray) -> np.ndarray:
+    """Places of the windows that contain an anchor at one of the places `hit`: they start up to 12 places before it."""
+    n = words - WINDOW + 1
+    if n <= 0 or not len(hit):
+        return np.empty(0, np.int64)
+    near = np.zeros(words + 1, np.int32)
+    np.add.at(near, np.maximum(hit - (PERIOD - 1), 0), 1)
+    np.add.at(near, hit + 1, -1)
+    return np.flatnonzero(np.cumsum(near)[:n] > 0)
 
-def _merged(rows: list[tuple[int, bytes]], name: str) -> np.ndarray:
-    return np.sort(np.concatenate([unpack(d)[name] for _, d in rows])) if rows else np.empty(0, np.uint64)
 
-
-def _send(home: int, ranges: int, key: np.ndarray, **more: np.ndarray) -> Iterator[pa.RecordBatch]:
-    order, slices = deal(key, ranges)
-    key, more = key[order], {k: v[order] for k, v in more.items()}
-    if slices:
-        yield batch([(r, home, pack(key=key[s], **{k: v[s] for k, v in more.items()})) for r, s in slices])
+def digests(words: list[bytes], at: np.ndarray) -> list[bytes]:
+    """Digest of the text of each window."""
+    text = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    begins = np.concatenate(([0], ends[:-1] + 1))
+    return [blake2b(text[b:e], digest_size=16).digest() for b, e in zip(begins[at].tolist(), ends[at + WINDOW - 1].tolist(), strict=True)]
 
 
 def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", normalize: bool = True) -> DataFrame:
     """Every column of docs, with `text` replaced by the words that are kept, joined by one space, and n_words, n_removed.
 
     A word goes if a window of 20 words that covers it has the same words as one that starts earlier: in a smaller
-    doc_id, or earlier in the same document. Windows are judged on the input. Rows with equal ids are ordered by
-    block and place, null ids come last. A null or empty text, or one under 20 words, loses nothing; a null
-    text stays null. Other texts come back with single spaces; without `normalize`, texts that lose nothing come back as they were. Existing columns n_words and n_removed are replaced. An empty table gives no rows.
+    doc_id, or earlier in the same document. Windows are judged on the input. Ids may be of any type with an order. Rows with equal
+    ids are ordered by a hash of id and text, null ids come last. A null or empty text, or one under 20 words, loses
+    nothing; a null text stays null. Other texts come back with single spaces; without `normalize`, texts that lose nothing come
+    back as they were. Existing columns n_words and n_removed are replaced. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    ranges = partitions(spark)
     docs = docs.drop("n_words", "n_removed")
-    blocks = make_blocks(docs, text, doc_id, "substring-blocks")
-
-    def ask_anchors(home: int, rows: list) -> Iterator[pa.RecordBatch]:
-        _, h = _anchors(Words(_texts(from_ipc(rows[0][1]), text)))
-        yield from _send(home, ranges, np.unique(h))
-
-    def shared(home: int, rows: list) -> Iterator[pa.RecordBatch]:
-        """Keys that more than one block has, back to each of them."""
-        keys = [unpack(d)["key"] for _, d in rows]
-        source = np.repeat(np.arange(len(keys)), list(map(len, keys)))
-        key = np.concatenate(keys)
-        order = np.argsort(key, kind="stable")
-        same = np.diff(key[order]) == 0
-        many = np.concatenate((same, [False])) | np.concatenate(([False], same))
-        key, source = key[order][many], source[order][many]
-        for k, (block, _) in enumerate(rows):
-            if len(own := key[source == k]):
-                yield batch([(block, home, pack(key=own))])
-
-    def ask_windows(home: int, rows: list) -> Iterator[pa.RecordBatch]:
-        if rows[0][0] != -1:
-            return
-        part = from_ipc(rows[0][1])
-        w = Words(_texts(part, text))
-        at, h = _anchors(w)
-        order = np.argsort(h, kind="stable")
-        same = np.diff(h[order]) == 0
-        here = np.zeros(len(h), bool)
-        here[order] = np.concatenate((same, [False])) | np.concatenate(([False], same)) if len(h) else False
-        hit = at[here | _found(h, _merged(rows[1:], "key"))]
-        # Windows that contain a repeated anchor start up to 12 places before it.
-        near = np.zeros(len(w.hash) + 1, np.int64)
-        np.add.at(near, np.maximum(hit - (PERIOD - 1), 0), 1)
-        np.add.at(near, hit + 1, -1)
-        near = np.cumsum(near)[:-1] > 0
-        at, h = _windows(w)
-        at, h = at[near[at]], h[near[at]]
-        key, first = np.unique(h, return_index=True)
-        ids = part.column(doc_id).cast(pa.int64()).fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
-        owner = ids[np.searchsorted(w.edge, at[first], "right") - 1] if len(first) else np.empty(0, np.int64)
-        yield from _send(home, ranges, key, doc=owner)
-
-    def earlier(home: int, rows: list) -> Iterator[pa.RecordBatch]:
-        """Keys that another block has earlier, to the blocks that have them later."""
-        got = [unpack(d) for _, d in rows]
-        key, doc = np.concatenate([g["key"] for g in got]), np.concatenate([g["doc"] for g in got])
-        source = np.repeat(np.arange(len(got)), [len(g["key"]) for g in got])
-        order = np.lexsort((source, doc, key))
-        later = np.concatenate(([False], np.diff(key[order]) == 0))
-        key, source = key[order][later], source[order][later]
-        for k, (block, _) in enumerate(rows):
-            if len(own := key[source == k]):
-                yield batch([(block, home, pack(key=own))])
-
-    out = T_schema(docs, text)
-
-    def finish(home: int, rows: list) -> Iterator[pa.RecordBatch]:
-        if rows[0][0] != -1:
-            return
-        part = from_ipc(rows[0][1])
-        w = Words(_texts(part, text))
-        at, h = _windows(w)
-        later = _found(h, _merged(rows[1:], "key"))
-        order = np.argsort(h, kind="stable")
-        later[order[1:][np.diff(h[order]) == 0]] = True
-        cover = np.zeros(len(w.hash) + 1, np.int32)
-        np.add.at(cover, at[later], 1)
-        np.add.at(cover, at[later] + WINDOW, -1)
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    long = T.LongType()
+    many = max(4 * partitions(docs.sparkSession), -(-size // BLOCK_BYTES))
+    blocks = docs.withColumn("__block", F.pmod(F.xxhash64(doc_id, text), F.lit(many))).repartition("__block")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Distinct anchors of a block, and how often each occurs (2: twice or more)."""
+        memo = Hashes()
+        for part in bounded(batches, text):
+            block = part.column("__block").to_numpy()
+            found = [anchors(memo.of(w))[1] for w in _words(part, text)]
+            owner, found = np.repeat(block, list(map(len, found))), np.concatenate(found)
+            for own in np.unique(owner):
+                key, n = np.unique(found[owner == own], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), own)), pa.array(key.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int8))], names=["__block", "anchor", "n"])
+
+    # Dealt by anchor once, for the count and for the way back: both read the same columns, so that Spark sees one exchange.
+    entries = T.StructType().add("__block", long, False).add("anchor", long, False).add("n", T.ByteType(), False)
+    asked = blocks.mapInArrow(ask, entries).repartition("anchor")
+    known = asked.groupBy(F.col("anchor").alias("shared")).agg(F.sum("n").alias("total"), F.max("__block").alias("last")).filter("total > 1")
+    flags = asked.join(known.hint("shuffle_hash"), F.expr("anchor = shared AND n <= total AND __block <= last")).select("__block", "anchor")
+
+    def ordered(part: pa.Table) -> pa.Table:
+        import pyarrow.compute  # noqa: F401
+
+        return part.take(pa.compute.sort_indices(part, sort_keys=[(doc_id, "ascending"), (text, "ascending")], null_placement="at_end"))
+
+    def extend(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The distinct windows of a block at their earliest places, counted in words of the block. Repeats within the block are marked."""
+        left = ordered(left)
+        repeated = np.unique(right.column("anchor").to_numpy().view(np.uint64))
+        memo, seen, ids, places, again, keys, at = Hashes(), set(), [], [], [], [], 0
+        for k, words in enumerate(_words(left, text) if len(repeated) else ()):
+            place, h = anchors(memo.of(words))
+            hit = np.minimum(np.searchsorted(repeated, h), len(repeated) - 1)
+            near = near_anchors(len(words), place[repeated[hit] == h])
+            if len(near):
+                own = digests(words, near)
+                for d in own:
+                    again.append(d in seen)
+                    seen.add(d)
+                ids.append(np.full(len(near), k))
+                places.append(near + at)
+                keys += own
+            at += len(words)
+        ids, places = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (ids, places))
+        block = left.column("__block").slice(0, 1).to_pylist() * len(places)
+        key = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2).copy()
+        # A marked row has a key of its own.
+        mark = np.array(again, bool)
+        key[mark, 0], key[mark, 1] = places[mark], block[0] if block else 0
+        return pa.table([pa.array(block, pa.int64()), left.column(doc_id).take(pa.array(ids)), pa.array(places.astype(np.int32)), pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array(mark)], names=["__block", "__id", "at", "k0", "k1", "again"])
+
+    windows_of = T.StructType().add("__block", long).add("__id", docs.schema[doc_id].dataType).add("at", T.IntegerType()).add("k0", long).add("k1", long).add("again", T.BooleanType())
+    found = blocks.groupBy("__block").cogroup(flags.groupBy("__block")).applyInArrow(extend, windows_of)
+    rank = F.row_number().over(W.partitionBy("k0", "k1").orderBy(F.col("__id").asc_nulls_last(), "__block", "at"))
+    later = found.withColumn("rank", rank).filter("again OR rank > 1").select("__block", "at")
+
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = ordered(left)
+        said = _words(left, text)
+        edge = np.concatenate(([0], np.cumsum(list(map(len, said)), dtype=np.int64)))
+        cover = np.zeros(edge[-1] + 1, np.int32)
+        at = right.column("at").to_numpy()
+        np.add.at(cover, at, 1)
+        np.add.at(cover, at + WINDOW, -1)
         gone = np.cumsum(cover)[:-1] > 0
         total = np.concatenate(([0], np.cumsum(gone)))
-        removed = total[w.edge[1:]] - total[w.edge[:-1]]
+        removed = total[edge[1:]] - total[edge[:-1]]
         texts = []
-        for i, t in enumerate(part.column(text)):
-            said = t.as_py()
-            if said is not None and (normalize or removed[i]):
-                words = said.encode().split()
+        for i, t in enumerate(left.column(text).to_pylist()):
+            if t is not None and (normalize or removed[i]):
+                words = said[i]
                 if removed[i]:
-                    words = [words[k] for k in np.flatnonzero(~gone[w.edge[i] : w.edge[i + 1]]).tolist()]
-                said = b" ".join(words).decode()
-            texts.append(said)
-        cols = {n: part.column(n) for n in part.schema.names}
-        cols[text] = pa.array(texts, pa.string())
-        cols |= {"n_words": pa.array(w.size, pa.int64()), "n_removed": pa.array(removed, pa.int64())}
-        for i in range(0, part.num_rows, 2_000):
-            yield pa.RecordBatch.from_arrays([c.slice(i, 2_000) for c in cols.values()], names=list(cols))
-
-    flags = at_ranges(by_block(blocks, ask_anchors), shared)
-    asked = at_blocks(blocks.unionByName(flags), ask_windows)
-    back = at_ranges(asked, earlier)
-    return at_blocks(blocks.unionByName(back), finish, out)
-
+                    words = [words[k] for k in np.flatnonzero(~gone[edge[i] : edge[i + 1]]).tolist()]
+                t = b" ".join(words).decode()
+            texts.append(t)
+        out = left.drop_columns(["__block"]).set_column(column, text, pa.array(texts, pa.string()))
+        return out.append_column("n_words", pa.array(np.diff(edge), pa.int64())).append_column("n_removed", pa.array(removed, pa.int64()))
 
-def by_block(blocks: DataFrame, run) -> DataFrame:
-    """`run` for each block where it lies, without a shuffle."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for h, p, d in zip(b.column(0), b.column(1), b.column(2), strict=True):
-                yield from run(h.as_py(), [(p.as_py(), d.as_py())])
-
-    return blocks.mapInArrow(each, ROWS)
-
-
-def T_schema(docs: DataFrame, text: str):
-    from pyspark.sql import types as T
-
-    fields = [T.StructField(f.name, T.StringType() if f.name == text else f.dataType) for f in docs.schema]
-    return T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
+    column = docs.columns.index(text)
+    kept = T.StructType([*(T.StructField(f.name, T.StringType() if f.name == text else f.dataType) for f in docs.schema), T.StructField("n_words", long), T.StructField("n_removed", long)])
+    return blocks.groupBy("__block").cogroup(later.groupBy("__block")).applyInArrow(finish, kept)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,8 +163,6 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-
-
 ORACLE = f"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
