@@ -53,6 +53,12 @@ def _expressions(e) -> Iterator:
         yield from _expressions(c)
 
 
+def _subquery(e) -> bool:
+    """Whether an expression holds a plan."""
+    kind = _kind(e)
+    return kind in ("Exists", "ListQuery") or kind.endswith("Subquery") and kind != "InSubquery"
+
+
 def _plans(plan) -> Iterator:
     """The plan's nodes, those of CTEs, and those of subqueries inside expressions."""
     yield plan
@@ -61,16 +67,39 @@ def _plans(plan) -> Iterator:
             yield from _plans(c)
     for e in _seq(plan.expressions()):
         for x in _expressions(e):
-            if "Subquery" in _kind(x) or _kind(x) in ("Exists", "ListQuery"):
+            if _subquery(x):
                 yield from _plans(x.plan())
 
 
+def _relations(plan, scope: frozenset[str]) -> Iterator[list[str]]:
+    """Name parts of the relations that no CTE in scope defines. A CTE is known to those after it and to its own query, nowhere else."""
+    if _kind(plan) == "UnresolvedWith":
+        for t in _seq(plan.cteRelations()):
+            yield from _relations(t._2(), scope)
+            scope = scope | {t._1().lower()}
+    elif _kind(plan) == "UnresolvedRelation":
+        parts = list(_seq(plan.multipartIdentifier()))
+        if len(parts) > 1 or parts[0].lower() not in scope:
+            yield parts
+    for c in _seq(plan.children()):
+        yield from _relations(c, scope)
+    for e in _seq(plan.expressions()):
+        for x in _expressions(e):
+            if _subquery(x):
+                yield from _relations(x.plan(), scope)
+
+
+#: Logical nodes whose results are their children's columns and aliases.
+_PLAIN = set("Project Filter Aggregate Join Sort GlobalLimit LocalLimit Offset SubqueryAlias Distinct Deduplicate Window View WithCTE CTERelationDef Subquery OneRowRelation LocalRelation LogicalRelation LogicalRDD LateralJoin ResolvedHint".split())
+
+
 class _Lineage:
-    """Which attributes of an analysed plan depend on sensitive columns outside COUNT."""
+    """Which attributes of an analysed plan depend on sensitive columns outside COUNT. A node whose lineage is not known is refused."""
 
     def __init__(self, plan, sensitive: frozenset[str]):
         self.bad: set[int] = set()
         self.sensitive = sensitive
+        self.definitions: dict[int, list] = {}
         self.visit(plan)
 
     def uses(self, e) -> bool:
@@ -79,21 +108,41 @@ class _Lineage:
             return False
         if kind == "AttributeReference":
             return e.exprId().id() in self.bad
+        if kind == "OuterReference":
+            return self.uses(e.e())
         if kind == "ScalarSubquery":
-            self.visit(e.plan())
             return any(a.exprId().id() in self.bad for a in _seq(e.plan().output()))
         return any(self.uses(c) for c in _seq(e.children()))
 
     def visit(self, plan) -> None:
-        children = list(_seq(plan.children())) + [c for c in _seq(plan.innerChildren()) if hasattr(c, "output")]
+        children = list(_seq(plan.children())) + [c for c in _seq(plan.innerChildren()) if "plans.logical" in c.getClass().getName()]
         for c in children:
             self.visit(c)
-        kind = _kind(plan)
-        if not children:
-            self.bad |= {a.exprId().id() for a in _seq(plan.output()) if a.name().lower() in self.sensitive}
-        elif kind in ("Union", "Except", "Intersect", "CTERelationRef"):
+        for e in _seq(plan.expressions()):
+            for x in _expressions(e):
+                if _subquery(x):
+                    self.visit(x.plan())
+        kind, out = _kind(plan), list(_seq(plan.output()))
+        mark = lambda sources: self.bad.update(o.exprId().id() for o, bad in zip(out, sources, strict=False) if bad)
+        if kind == "CTERelationDef":
+            self.definitions[plan.id()] = out
+        elif kind == "CTERelationRef":
+            if plan.cteId() not in self.definitions:
+                raise PolicyViolation("lineage_unknown", kind)
+            mark(a.exprId().id() in self.bad for a in self.definitions[plan.cteId()])
+        elif kind in ("Union", "Except", "Intersect"):
             for c in _seq(plan.children()):
-                self.bad |= {o.exprId().id() for o, a in zip(_seq(plan.output()), _seq(c.output()), strict=False) if a.exprId().id() in self.bad}
+                mark(a.exprId().id() in self.bad for a in _seq(c.output()))
+        elif kind == "Generate":
+            made = {a.exprId().id() for a in _seq(plan.generatorOutput())}
+            self.bad |= made if self.uses(plan.generator()) else set()
+        elif kind == "Expand":
+            for row in _seq(plan.projections()):
+                mark([self.uses(e) for e in _seq(row)])
+        elif kind not in _PLAIN:
+            raise PolicyViolation("lineage_unknown", kind)
+        elif not children:
+            mark(a.name().lower() in self.sensitive for a in out)
         for e in _seq(plan.expressions()):
             if _kind(e) == "Alias" and self.uses(e.child()):
                 self.bad.add(e.exprId().id())
@@ -119,16 +168,11 @@ def evaluate(spark: SparkSession, sql: str, catalog: Catalog, role: str = "analy
     for n in nodes:
         if _kind(n) not in _NODES:
             raise PolicyViolation("not_a_query", _kind(n))
-    ctes = {t._1().lower() for n in nodes if _kind(n) == "UnresolvedWith" for t in _seq(n.cteRelations())}
     tables = set()
-    for n in nodes:
-        if _kind(n) == "UnresolvedRelation":
-            parts = list(_seq(n.multipartIdentifier()))
-            name = parts[-1].lower()
-            if len(parts) > 1 or name not in catalog.tables and name not in ctes:
-                raise PolicyViolation("table_not_allowed", ".".join(parts))
-            if name not in ctes:
-                tables.add(name)
+    for parts in _relations(parsed, frozenset()):
+        if len(parts) > 1 or parts[0].lower() not in catalog.tables:
+            raise PolicyViolation("table_not_allowed", ".".join(parts))
+        tables.add(parts[0].lower())
     if not tables:
         raise PolicyViolation("no_table")
     for n in nodes:

@@ -10,10 +10,16 @@ REFUSED = [
     "SELECT vec_id FROM embeddings", "SELECT n_name FROM other.nation", "SELECT 1", "SELECT n_name FROM nation LIMIT -1", "WITH x AS (SELECT o_orderkey k FROM orders) SELECT max(k) AS m FROM x",
     "SELECT o_orderstatus FROM orders WHERE EXISTS (SELECT 1 FROM secret)", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus, o_custkey", "SELECT o_orderstatus FROM orders ORDER BY o_custkey",
     "SELECT r_name AS a FROM region UNION SELECT c_name FROM customer", "SELECT nope FROM orders", "SELECT (SELECT max(c_custkey) FROM customer) AS z, r_name FROM region", "SELECT r_name AS c_name FROM region", "SELECT * FROM range(5)", "",
+    "SELECT k FROM orders LATERAL VIEW explode(array(o_orderkey)) t AS k", "SELECT t.k FROM orders, LATERAL (SELECT o_orderkey AS k) t", "SELECT o_orderkey + 0 AS k, count(*) AS n FROM orders GROUP BY ROLLUP(o_orderkey)",
+    "SELECT k FROM (SELECT o_orderkey + 0 AS k, count(*) AS n FROM orders GROUP BY CUBE(o_orderkey)) x", "SELECT k FROM orders LATERAL VIEW inline(transform(array(1), x -> named_struct('k', o_orderkey))) t AS k",
+    "SELECT s.v FROM secret s, nation WHERE EXISTS (WITH secret AS (SELECT 1 AS q FROM nation) SELECT q FROM secret)", "WITH a AS (SELECT v FROM secret), secret AS (SELECT 1 AS v FROM nation) SELECT v FROM a",
+    "WITH x AS (SELECT o_orderkey AS k FROM orders), y AS (SELECT k + 1 AS z FROM x) SELECT z FROM y", "SELECT max(o_custkey) OVER (PARTITION BY o_orderstatus) AS m FROM orders",
 ]
 ALLOWED = [
     ("SELECT n_name FROM nation LIMIT 999999", 200), ("SELECT n_name FROM nation -- harmless", 200), ("SELECT COUNT(o_orderkey) AS n FROM orders", 200), ("SELECT n_name FROM nation LIMIT 1", 1),
     ("WITH x AS (SELECT o_orderkey k, o_totalprice p FROM orders) SELECT sum(p) AS s, count(k) AS n FROM x", 200), ("SELECT o_orderstatus FROM orders WHERE o_custkey = 5", 200),
+    ("SELECT o_orderstatus, o_orderpriority, count(o_orderkey) AS n FROM orders GROUP BY ROLLUP(o_orderstatus, o_orderpriority)", 200), ("SELECT p FROM orders LATERAL VIEW explode(array(o_orderpriority)) t AS p", 200),
+    ("WITH x AS (SELECT n_name AS v FROM nation) SELECT v FROM x WHERE EXISTS (SELECT 1 FROM x AS y)", 200),
     ("SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey", 200),
 ]
 
@@ -23,6 +29,7 @@ def catalog(spark, sf):
     c = C.load_catalog()
     for t in c.tables:
         spark.read.parquet(f"{sf}/{t}.parquet").createOrReplaceTempView(t)
+    spark.sql("SELECT 'hidden' AS v").createOrReplaceTempView("secret")
     return c
 
 
