@@ -16,27 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import materialize, partitions
+from quillon.llm.words import BLOCK_BYTES, Hashes
 
-#: Bytes of text in a block, unless one document has more.
-BLOCK_BYTES = 12_000_000
-#: Texts are hashed in pieces of about so many bytes, cut at white space, which bounds temporary arrays.
-SEGMENT = 1_000_000
 #: Rows that travel: `home` is a block or a key range, `peer` the other side.
 ROWS = "home long, peer long, data binary"
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BYTE = np.random.default_rng(42).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_STEP = np.uint64(0xD1342543DE82EF95)
-
-
-def mix64(h: np.ndarray) -> np.ndarray:
-    """A bijection that spreads every input bit."""
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
-
 
 def pack(**arrays: np.ndarray) -> bytes:
     """Arrays as one compressed value; bytes of equal weight stand together."""
@@ -61,41 +45,6 @@ def unpack(data: bytes) -> dict[str, np.ndarray]:
     return out
 
 
-def hash_words(data: bytes) -> np.ndarray:
-    """64-bit hash of each word of a text."""
-    out, at = [], 0
-    while at < len(data):
-        end = min(len(data), at + SEGMENT)
-        while end < len(data) and not _SPACE[data[end]]:
-            end += 1
-        b = np.frombuffer(data, np.uint8, end - at, at)
-        gap = _SPACE[b]
-        edge = np.diff(np.concatenate(([True], gap, [True])).astype(np.int8))
-        begin, stop = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        if len(begin):
-            size = stop - begin
-            first = np.cumsum(size) - size
-            letters = b[~gap]
-            power = np.multiply.accumulate(np.full(int(size.max()) + 1, _BASE))
-            place = np.arange(len(letters)) - np.repeat(first, size)
-            h = np.add.reduceat(_BYTE[letters] * power[place], first)
-            out.append(mix64(h ^ (size.astype(np.uint64) * _STEP)))
-        at = end
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
-
-
-def windows(h: np.ndarray, size: int) -> np.ndarray:
-    """Hash of the `size` entries from each place on; as many as there are such places."""
-    n = len(h) - size + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    acc = h[:n].copy()
-    for i in range(1, size):
-        acc *= _STEP
-        acc += h[i : i + n]
-    return mix64(acc)
-
-
 def to_ipc(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as out:
@@ -184,23 +133,13 @@ def batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 
 
 class Words:
-    """The words of a block's documents: hashes in one array, each document's place in `edge`."""
+    """The words of a block's documents: XXH64 of each in one array, each document's place in `edge`."""
 
     def __init__(self, texts: Iterable[bytes]):
-        parts, edge = [], [0]
+        memo, parts, edge = Hashes(), [], [0]
         for t in texts:
-            parts.append(hash_words(t))
+            parts.append(memo.of(t.split()))
             edge.append(edge[-1] + len(parts[-1]))
         self.hash = np.concatenate(parts) if parts else np.empty(0, np.uint64)
         self.edge = np.array(edge)
         self.size = np.diff(self.edge)
-
-    @property
-    def place(self) -> np.ndarray:
-        """Each word's place in its document."""
-        return np.arange(len(self.hash), dtype=np.int32) - np.repeat(self.edge[:-1].astype(np.int32), self.size)
-
-    @property
-    def left(self) -> np.ndarray:
-        """Words of the document from each word on."""
-        return np.repeat(self.edge[1:].astype(np.int32), self.size) - np.arange(len(self.hash), dtype=np.int32)

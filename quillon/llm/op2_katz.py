@@ -19,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.blocks import ROWS, Words, at_blocks, at_ranges, batch, deal, from_ipc, make_blocks, mix64, pack, unpack
+from quillon.llm.blocks import ROWS, Words, at_blocks, at_ranges, batch, deal, from_ipc, make_blocks, pack, unpack
 from quillon.llm.common import materialize, partitions, table
+from quillon.llm.words import mix64
 
 CUTOFF = 5
 LARGE_DISCOUNT = 0.005

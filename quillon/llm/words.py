@@ -6,9 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-
-from quillon.llm.common import materialize
 
 #: Bytes of text in a block, unless one document has more.
 BLOCK_BYTES = 12_000_000
@@ -84,26 +81,6 @@ def bounded(batches: Iterator[pa.RecordBatch], text: str, limit: int = BLOCK_BYT
         yield pa.Table.from_batches(held)
 
 
-def in_blocks(docs: DataFrame, text: str, name: str, block: str = "__block", row: str = "__row") -> DataFrame:
-    """A written table of docs with two more columns: a block of at most BLOCK_BYTES of text, and the row's place in it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        base = TaskContext.get().partitionId() << 32
-        for k, t in enumerate(bounded(batches, text)):
-            n = t.num_rows
-            yield from t.append_column(block, pa.array(np.full(n, base + k))).append_column(row, pa.array(np.arange(n, dtype=np.int32))).combine_chunks().to_batches(max_chunksize=2_000)
-
-    return materialize(docs.mapInArrow(run, _with(docs, block, row)), name)
-
-
-def _with(docs: DataFrame, block: str, row: str):
-    from pyspark.sql import types as T
-
-    return T.StructType([*docs.schema.fields, T.StructField(block, T.LongType()), T.StructField(row, T.IntegerType())])
-
-
 def ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """begin[0], begin[0] + 1, ... for every range, one after the other."""
     ends = np.cumsum(size)
