@@ -28,13 +28,13 @@ WINDOW = 20
 #: A perfect difference cover: every shift modulo 13 is a difference of two of its places.
 PERIOD, COVER = 13, (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
-#: Bytes of text in a block, about; there are at least four blocks a shuffle partition.
-BLOCK_BYTES = 6_000_000
+#: Bytes of text in a block, about; there are at least as many blocks as shuffle partitions.
+BLOCK_BYTES = 12_000_000
 _COVER = np.isin(np.arange(PERIOD), COVER)
 
 
-def _words(part: pa.Table, text: str) -> list[list[bytes]]:
-    return [(t.as_py() or "").encode().split() for t in part.column(text)]
+def _words(part: pa.Table, text: str) -> Iterator[list[bytes]]:
+    return ((t.as_py() or "").encode().split() for t in part.column(text))
 
 
 def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,12 +55,12 @@ def near_anchors(words: int, hit: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.cumsum(near)[:n] > 0)
 
 
-def digests(words: list[bytes], at: np.ndarray) -> list[bytes]:
-    """Digest of the text of each window."""
+def digests(words: list[bytes], at: np.ndarray) -> bytes:
+    """Digest of the text of each window, 16 bytes each."""
     text = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     begins = np.concatenate(([0], ends[:-1] + 1))
-    return [blake2b(text[b:e], digest_size=16).digest() for b, e in zip(begins[at].tolist(), ends[at + WINDOW - 1].tolist(), strict=True)]
+    return b"".join(blake2b(text[b:e], digest_size=16).digest() for b, e in zip(begins[at].tolist(), ends[at + WINDOW - 1].tolist(), strict=True))
 
 
 def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", normalize: bool = True) -> DataFrame:
@@ -75,7 +75,7 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     docs = docs.drop("n_words", "n_removed")
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     long = T.LongType()
-    many = max(4 * partitions(docs.sparkSession), -(-size // BLOCK_BYTES))
+    many = max(partitions(docs.sparkSession), -(-size // BLOCK_BYTES))
     blocks = docs.withColumn("__block", F.pmod(F.xxhash64(doc_id, text), F.lit(many))).repartition("__block")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,27 +104,25 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         """The distinct windows of a block at their earliest places, counted in words of the block. Repeats within the block are marked."""
         left = ordered(left)
         repeated = np.unique(right.column("anchor").to_numpy().view(np.uint64))
-        memo, seen, ids, places, again, keys, at = Hashes(), set(), [], [], [], [], 0
+        memo, ids, places, keys, at = Hashes(), [], [], bytearray(), 0
         for k, words in enumerate(_words(left, text) if len(repeated) else ()):
             place, h = anchors(memo.of(words))
             hit = np.minimum(np.searchsorted(repeated, h), len(repeated) - 1)
             near = near_anchors(len(words), place[repeated[hit] == h])
             if len(near):
-                own = digests(words, near)
-                for d in own:
-                    again.append(d in seen)
-                    seen.add(d)
-                ids.append(np.full(len(near), k))
-                places.append(near + at)
-                keys += own
+                ids.append(np.full(len(near), k, np.int32))
+                places.append((near + at).astype(np.int32))
+                keys += digests(words, near)
             at += len(words)
-        ids, places = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (ids, places))
-        block = left.column("__block").slice(0, 1).to_pylist() * len(places)
-        key = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2).copy()
+        ids, places = (np.concatenate(x) if x else np.empty(0, np.int32) for x in (ids, places))
+        block = left.column("__block").slice(0, 1).to_pylist()
+        key = np.frombuffer(keys, np.int64).reshape(-1, 2).copy()
+        order = np.lexsort((key[:, 1], key[:, 0]))
+        mark = np.zeros(len(key), bool)
+        mark[order[1:]] = (key[order[1:]] == key[order[:-1]]).all(1)
         # A marked row has a key of its own.
-        mark = np.array(again, bool)
         key[mark, 0], key[mark, 1] = places[mark], block[0] if block else 0
-        return pa.table([pa.array(block, pa.int64()), left.column(doc_id).take(pa.array(ids)), pa.array(places.astype(np.int32)), pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array(mark)], names=["__block", "__id", "at", "k0", "k1", "again"])
+        return pa.table([pa.array(np.full(len(places), block[0] if block else 0)), left.column(doc_id).take(pa.array(ids)), pa.array(places), pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array(mark)], names=["__block", "__id", "at", "k0", "k1", "again"])
 
     windows_of = T.StructType().add("__block", long).add("__id", docs.schema[doc_id].dataType).add("at", T.IntegerType()).add("k0", long).add("k1", long).add("again", T.BooleanType())
     found = blocks.groupBy("__block").cogroup(flags.groupBy("__block")).applyInArrow(extend, windows_of)
@@ -133,8 +131,7 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         left = ordered(left)
-        said = _words(left, text)
-        edge = np.concatenate(([0], np.cumsum(list(map(len, said)), dtype=np.int64)))
+        edge = np.concatenate(([0], np.cumsum([len(w) for w in _words(left, text)], dtype=np.int64)))
         cover = np.zeros(edge[-1] + 1, np.int32)
         at = right.column("at").to_numpy()
         np.add.at(cover, at, 1)
@@ -143,9 +140,10 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         total = np.concatenate(([0], np.cumsum(gone)))
         removed = total[edge[1:]] - total[edge[:-1]]
         texts = []
-        for i, t in enumerate(left.column(text).to_pylist()):
+        for i, t in enumerate(left.column(text)):
+            t = t.as_py()
             if t is not None and (normalize or removed[i]):
-                words = said[i]
+                words = t.encode().split()
                 if removed[i]:
                     words = [words[k] for k in np.flatnonzero(~gone[edge[i] : edge[i + 1]]).tolist()]
                 t = b" ".join(words).decode()
