@@ -6,11 +6,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from quillon.llm import blocks, components, op1_licenses, op2_katz, op3_simhash, op4_substrings, op5_chat, op6_decontaminate, op7_langid, op8_search, op9_tokens, op10_mix, registry
+from quillon.llm.words import Hashes, bounded
 
 LONG = " ".join(f"word{i % 997} the of" for i in range(30_000))
 PASSAGE = " ".join(f"pass{i}" for i in range(60))
@@ -59,12 +61,34 @@ def test_blocks_round_trip():
     a = {"x": np.array([1, 2, 2**40]), "y": np.array([], np.uint32), "z": np.array([0.5, -1.0])}
     b = blocks.unpack(blocks.pack(**a))
     assert all((a[k] == b[k]).all() and a[k].dtype == b[k].dtype for k in a)
-    text = (LONG + "  \n x").encode()
-    h = blocks.hash_words(text)
-    seen = {}
-    for w, x in zip(text.split(), h.tolist(), strict=True):
-        assert seen.setdefault(w, x) == x
-    assert len(set(seen.values())) == len(seen)
+
+
+def thue_morse(n):
+    """Two words of n letters that every polynomial hash modulo 2^64 confuses."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_word_hashes():
+    one, two = (w.encode() for w in thue_morse(1024))
+    said = [one, two, b"x", one]
+    h = Hashes().of(said)
+    assert h[0] == h[3] and len(set(h.tolist())) == 3 and h[2] == xxhash.xxh64_intdigest(b"x")
+
+
+def test_equal_words_only(spark):
+    """Windows, scores and hits go by words, not by a hash that two words share."""
+    one, two = thue_morse(2048)
+    rest = " ".join(f"w{i}" for i in range(19))
+    df = spark.createDataFrame([(1, f"{one} {rest}"), (2, f"{two} {rest}"), (3, f"{one} {rest}")], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in op4_substrings.repeated_windows(df).collect()} == {1: 0, 2: 0, 3: 20}
+    hits = op8_search.search(df, spark.createDataFrame([(9, one)], "query_id long, text string")).collect()
+    assert [r["doc_id"] for r in hits] == [1, 3]
+
+
+def test_bounded():
+    batches = pa.table({"text": ["aa", None, "bbb", "c" * 9, "", "dd"]}).to_batches(max_chunksize=4)
+    assert [t.column("text").to_pylist() for t in bounded(iter(batches), "text", 4)] == [["aa", None], ["bbb"], ["c" * 9], ["", "dd"]]
 
 
 # --- 1 -------------------------------------------------------------------------------------------------------------
