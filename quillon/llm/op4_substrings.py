@@ -76,6 +76,8 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     long = T.LongType()
     many = max(partitions(docs.sparkSession), -(-size // BLOCK_BYTES))
+    # Anchors only tell where to look: so many bits that chance repeats are below one in a hundred.
+    mask = np.uint64(2 ** min(64, size.bit_length() + 6) - 1)
     blocks = docs.withColumn("__block", F.pmod(F.xxhash64(doc_id, text), F.lit(many))).repartition("__block")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +88,7 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
             found = [anchors(memo.of(w))[1] for w in _words(part, text)]
             owner, found = np.repeat(block, list(map(len, found))), np.concatenate(found)
             for own in np.unique(owner):
-                key, n = np.unique(found[owner == own], return_counts=True)
+                key, n = np.unique(found[owner == own] & mask, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), own)), pa.array(key.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int8))], names=["__block", "anchor", "n"])
 
     # Dealt by anchor once, for the count and for the way back: both read the same columns, so that Spark sees one exchange.
@@ -101,12 +103,13 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         return part.take(pa.compute.sort_indices(part, sort_keys=[(doc_id, "ascending"), (text, "ascending")], null_placement="at_end"))
 
     def extend(left: pa.Table, right: pa.Table) -> pa.Table:
-        """The distinct windows of a block at their earliest places, counted in words of the block. Repeats within the block are marked."""
+        """The distinct windows of a block at their earliest places, counted in words of the block. Of repeats within the block, runs of such places."""
         left = ordered(left)
         repeated = np.unique(right.column("anchor").to_numpy().view(np.uint64))
         memo, ids, places, keys, at = Hashes(), [], [], bytearray(), 0
         for k, words in enumerate(_words(left, text) if len(repeated) else ()):
             place, h = anchors(memo.of(words))
+            h &= mask
             hit = np.minimum(np.searchsorted(repeated, h), len(repeated) - 1)
             near = near_anchors(len(words), place[repeated[hit] == h])
             if len(near):
@@ -120,22 +123,28 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         order = np.lexsort((key[:, 1], key[:, 0]))
         mark = np.zeros(len(key), bool)
         mark[order[1:]] = (key[order[1:]] == key[order[:-1]]).all(1)
-        # A marked row has a key of its own.
-        key[mark, 0], key[mark, 1] = places[mark], block[0] if block else 0
-        return pa.table([pa.array(np.full(len(places), block[0] if block else 0)), left.column(doc_id).take(pa.array(ids)), pa.array(places), pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array(mark)], names=["__block", "__id", "at", "k0", "k1", "again"])
-
-    windows_of = T.StructType().add("__block", long).add("__id", docs.schema[doc_id].dataType).add("at", T.IntegerType()).add("k0", long).add("k1", long).add("again", T.BooleanType())
+        again = places[mark]
+        begin = np.flatnonzero(np.diff(again, prepend=-2) != 1)
+        run = np.diff(np.append(begin, len(again)))
+        # A run has a key of its own.
+        home = block[0] if block else 0
+        own = np.stack([again[begin].astype(np.int64), np.full(len(begin), home)], 1)
+        ids, places = np.concatenate((ids[~mark], ids[mark][begin])), np.concatenate((places[~mark], again[begin]))
+        key, run = np.concatenate((key[~mark], own)), np.concatenate((np.zeros((~mark).sum(), np.int32), run.astype(np.int32)))
+        return pa.table([pa.array(np.full(len(places), home)), left.column(doc_id).take(pa.array(ids)), pa.array(places), pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array(run)], names=["__block", "__id", "at", "k0", "k1", "run"])
+
+    windows_of = T.StructType().add("__block", long).add("__id", docs.schema[doc_id].dataType).add("at", T.IntegerType()).add("k0", long).add("k1", long).add("run", T.IntegerType())
     found = blocks.groupBy("__block").cogroup(flags.groupBy("__block")).applyInArrow(extend, windows_of)
     rank = F.row_number().over(W.partitionBy("k0", "k1").orderBy(F.col("__id").asc_nulls_last(), "__block", "at"))
-    later = found.withColumn("rank", rank).filter("again OR rank > 1").select("__block", "at")
+    later = found.withColumn("rank", rank).filter("run > 0 OR rank > 1").select("__block", "at", F.greatest("run", F.lit(1)).alias("run"))
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         left = ordered(left)
         edge = np.concatenate(([0], np.cumsum([len(w) for w in _words(left, text)], dtype=np.int64)))
         cover = np.zeros(edge[-1] + 1, np.int32)
-        at = right.column("at").to_numpy()
+        at, run = right.column("at").to_numpy(), right.column("run").to_numpy()
         np.add.at(cover, at, 1)
-        np.add.at(cover, at + WINDOW, -1)
+        np.add.at(cover, at + run - 1 + WINDOW, -1)
         gone = np.cumsum(cover)[:-1] > 0
         total = np.concatenate(([0], np.cumsum(gone)))
         removed = total[edge[1:]] - total[edge[:-1]]
