@@ -29,21 +29,27 @@ BROADCAST_WINDOWS = 1_000_000
 NUM, NAME, UNIT = "<num>", "<name>", "<unit>"
 #: Units that may follow a number.
 UNITS = "kg g mg lb oz km m cm mm mi ft in l ml h hr hrs min s sec ms hours hour minutes minute seconds second days day weeks week months month years year dollars dollar euros euro cents cent percent % kmh mph meters meter metres metre miles mile grams gram liters liter litres litre pounds pound degrees degree".split()
+#: Numbers in words.
+_UP_TO_NINE = "one two three four five six seven eight nine".split()
+_NUMBERS = [*_UP_TO_NINE, *"zero ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split()]
+_WORDS = rf"(?:{'|'.join(_NUMBERS)})(?:-(?:{'|'.join(_UP_TO_NINE)}))?"
 _SPLIT = r"[\x20\x09-\x0D]+"
 #: A capitalised word: any one, and one inside a sentence.
-_NAMES = r"""(?<![^\x20\x09-\x0D])["'(\[“‘]*\p{Lu}\p{Ll}+(?=[\p{P}\p{S}]*(?:[\x20\x09-\x0D]|$))"""
-_INNER = r"(?<=[\p{L}\d,;][\x20\x09-\x0D]{1,8})\p{Lu}\p{Ll}+(?=[\p{P}\p{S}]*(?:[\x20\x09-\x0D]|$))"
+_NAMES = rf"""(?<![^\x20\x09-\x0D])["'(\[“‘]*(?!(?i:{_WORDS})(?!\p{{L}}))\p{{Lu}}\p{{Ll}}+(?=[\p{{P}}\p{{S}}]*(?:[\x20\x09-\x0D]|$))"""
+_INNER = rf"(?<=[\p{{L}}\d,;][\x20\x09-\x0D]{{1,8}})(?!(?i:{_WORDS})(?!\p{{L}}))\p{{Lu}}\p{{Ll}}+(?=[\p{{P}}\p{{S}}]*(?:[\x20\x09-\x0D]|$))"
+
+_NUMBER = rf"(?<![^\x20\x09-\x0D])(?:[+\-(\[\"'$€£]*\d[^\x20\x09-\x0D]*|[(\[\"'“‘]*{_WORDS}\p{{P}}*(?![^\x20\x09-\x0D]))"
 
 
 def template(text: Column, name: str = _NAMES) -> Column:
     """Words of the canonical template, one for each word of the text.
 
-    Number: starts with a digit, after signs, currency or brackets. Unit: one of UNITS after a number. Name:
+    Number: starts with a digit, after signs, currency or brackets, or is a number in words (twenty-five, a hundred). Unit: one of UNITS after a number. Name:
     a capital and more small letters, wherever it stands, so that a name that begins a sentence, a line or a quotation is a slot
     like any other. Other words are lower-cased and lose punctuation at both ends.
     """
     t = F.regexp_replace(text, name, NAME)
-    t = F.regexp_replace(F.lower(t), r"(?<![^\x20\x09-\x0D])[+\-(\[\"'$€£]*\d[^\x20\x09-\x0D]*", NUM)
+    t = F.regexp_replace(F.lower(t), _NUMBER, NUM)
     t = F.regexp_replace(t, rf"(?<=<num>[\x20\x09-\x0D])(?:{'|'.join(UNITS)})[.,;:!?)\]]*(?![^\x20\x09-\x0D])", UNIT)
     t = F.regexp_replace(t, r"(?<=[\p{L}\d>])[\p{P}\p{S}&&[^<>]]+(?=[\x20\x09-\x0D]|$)", "")
     t = F.regexp_replace(t, r"(?<![^\x20\x09-\x0D])[\p{P}\p{S}&&[^<]]+(?=[\p{L}<])", "")
@@ -81,10 +87,10 @@ def _agree(pairs: Column) -> Column:
 
 
 def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, min_share: float = MIN_SHARE) -> DataFrame:
-    """One row per document id and item found in it: doc_id, item_id, share (of the item's windows), windows, changed (slots with other values).
+    """One row per document and item found in it: doc_id, text_hash (xxhash64 of the text), item_id, share (of the item's windows), windows, changed (slots with other values).
 
     Null and empty texts, on either side, match nothing. Items with fewer words than a window, or with too few literal words in
-    every window, must be found whole, and with the same slots if they have fewer than LITERALS literal words in all. Repeated rows and ids give one row. Null ids are ids. Empty tables give no
+    every window, must be found whole, and with the same slots if they have fewer than LITERALS literal words in all. Repeated rows give one row, texts that share an id one each. Null ids are ids. Empty tables give no
     rows; other columns are ignored.
     """
     literal = lambda w: ~w.isin(NUM, NAME, UNIT, "")
@@ -145,24 +151,25 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
 
     none = F.struct(F.array().cast("array<int>").alias("ats"), empty.alias("pairs"))
     runs = runs.withColumn("taken", F.aggregate("runs", none, add))
-    runs = runs.select("doc_id", F.col("item_id").alias("found_id"), F.size("taken.ats").alias("windows"), F.size(F.array_distinct(F.transform(F.filter("taken.pairs", lambda x: x["ours"] != x["theirs"]), lambda x: x["k"]))).alias("changed"))
+    runs = runs.select("doc_id", F.col("of").alias("text_hash"), F.col("item_id").alias("found_id"), F.size("taken.ats").alias("windows"), F.size(F.array_distinct(F.transform(F.filter("taken.pairs", lambda x: x["ours"] != x["theirs"]), lambda x: x["k"]))).alias("changed"))
     runs = runs.join(sizes, F.col("found_id").eqNullSafe(F.col("item_id"))).withColumn("share", F.col("windows") / F.col("in_item"))
     runs = runs.filter(~F.col("whole") | ((F.col("windows") == F.col("in_item")) & ((F.col("literals") >= LITERALS) | (F.col("changed") == 0))))
-    return runs.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"), F.max_by("windows", "share").alias("windows"), F.max_by("changed", "share").cast("long").alias("changed")).filter(F.col("share") >= min_share)
+    return runs.groupBy("doc_id", "text_hash", "item_id").agg(F.max("share").alias("share"), F.max_by("windows", "share").alias("windows"), F.max_by("changed", "share").cast("long").alias("changed")).filter(F.col("share") >= min_share)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **more) -> DataFrame:
-    """The documents, with all their columns, in which no item is found; those with a null id stay."""
-    bad = contaminated(docs, items, doc_id, text, **more).select(F.col("doc_id").alias("__bad")).filter("__bad IS NOT NULL").distinct()
-    bad = materialize(bad, "contaminated-ids")
+    """The rows, with all their columns, in whose text no item is found, whatever their ids. Null and empty texts stay."""
+    bad = contaminated(docs, items, doc_id, text, **more).select(F.col("doc_id").alias("__bad"), F.col("text_hash").alias("__hash")).distinct()
+    bad = materialize(bad, "contaminated-rows")
     if bad.count() <= BROADCAST_WINDOWS:
         bad = F.broadcast(bad)
-    return docs.join(bad, docs[doc_id] == bad["__bad"], "left_anti")
+    return docs.join(bad, docs[doc_id].eqNullSafe(bad["__bad"]) & (F.xxhash64(docs[text]) == bad["__hash"]), "left_anti")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: doc_id, contaminated, item_ids (sorted), changed_slots."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = contaminated(docs, table(spark, sf_dir, "benchmark")).groupBy("doc_id").agg(F.sort_array(F.collect_list("item_id")).alias("item_ids"), F.sum("changed").alias("changed_slots"))
-    out = docs.select("doc_id").join(found, "doc_id", "left")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.xxhash64("text").alias("text_hash"))
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"))
+    found = found.agg(F.sort_array(F.collect_list("item_id")).alias("item_ids"), F.sum("changed").alias("changed_slots"))
+    out = docs.join(found, docs["doc_id"].eqNullSafe(F.col("d")) & (docs["text_hash"] == F.col("t")), "left")
     return out.select("doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"), F.coalesce("changed_slots", F.lit(0)).alias("changed_slots"))

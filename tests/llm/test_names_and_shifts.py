@@ -1,5 +1,7 @@
 """Decontamination of re-parameterised items: names that begin sentences and lines."""
 
+import numpy as np
+
 from quillon.llm import op6_decontaminate
 
 TOM = "Tom has 5 red marbles. Tom buys 3 more marbles. Tom gives 2 to Ann. How many marbles does Tom have?"
@@ -45,3 +47,41 @@ def test_items_without_a_window(spark):
     assert set(found(spark, [short], docs)) == {0}
     assert set(found(spark, [numbers], docs)) == {2}
     assert found(spark, ["", None, " \n"], docs) == {}
+
+
+def test_recall_of_reparameterised_questions(spark):
+    """Questions with other names, numbers (digits or words) and units of the same lengths, inside other text: at least 0.9 are found, and
+    none whose values do not map one to one, nor texts that only share words with them."""
+    rng = np.random.default_rng(11)
+    names = ["Alice", "Bob", "Carol", "Dan", "Erin", "Frank", "Grace", "Henry", "Ivy", "Jack"]
+    words = ["seven", "twelve", "twenty-five", "forty", "ninety"]
+    things = [f"{a} {b}" for a in ("red", "small", "old", "green", "heavy") for b in ("marbles", "apples", "boxes", "ropes", "stones")]
+    forms = [
+        "{a} has {x} {t}. {b} has {y} {t}. {a} gives {z} of them to {b} before lunch. How many {t} does {b} have in the end?",
+        "{a} buys {x} kg of {t} on Monday and {y} kg on Friday, while {b} sells {z} kg. What is left for {a} after that week?",
+        "In the morning {a} walks {x} km with {t}. {b} walks {y} km. Together they rest {z} minutes, so how far did both of them go?",
+    ]
+
+    def values(k):
+        number = lambda: str(rng.integers(2, 900)) if rng.random() < 0.7 else str(rng.choice(words))
+        a, b = rng.choice(names, 2, replace=False)
+        x, y, z = (number() for _ in range(3))
+        while len({x, y, z}) < 3:
+            x, y, z = (number() for _ in range(3))
+        return {"a": a, "b": b, "x": x, "y": y, "z": z, "t": things[k % len(things)]}
+
+    items, docs, clean = [], [], []
+    for k in range(75):
+        form, old, new = forms[k % 3], values(k), values(k)
+        items.append(form.format(**old))
+        filler = [" ".join(f"plain{x}" for x in rng.integers(0, 5_000, 40)) for _ in range(2)]
+        docs.append(f"{filler[0]}. {form.format(**new)} {filler[1]}")
+        clean.append(f"{filler[0]}. {old['a']} likes {old['t']} and {new['b']} has {new['x']} of them. {filler[1]}")
+        broken = form.format(**new).replace(new["a"], "Zoe", 1).replace(new["b"], "Zoe", 1)  # two people become one
+        clean.append(f"{filler[1]} {broken if k % 3 == 0 else filler[0]}")
+    items_df = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    df = spark.createDataFrame(list(enumerate(docs + clean)), "doc_id long, text string")
+    hit = {(r["doc_id"], r["item_id"]) for r in op6_decontaminate.contaminated(df, items_df).collect()}
+    recall = sum((k, k) in hit for k in range(len(docs))) / len(docs)
+    assert recall >= 0.9, recall
+    assert {d for d, _ in hit if d >= len(docs)} == set()
