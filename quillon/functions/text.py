@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 #: A key that contains one of these hides its value.
-SECRET_KEYS = ("password", "secret", "token", "api_key", "apikey", "credential", "authorization", "private_key", "access_key")
+SECRET_KEYS = ("password", "secret", "token", "api_key", "apikey", "credential", "auth", "private_key", "access_key")
 IDENTIFIER = "^[a-z][a-z0-9_]+$"
 
 
@@ -48,6 +48,14 @@ def redact(values: Column) -> Column:
     return F.transform_values(values, lambda k, v: F.when(F.lower(k).rlike(pattern), F.lit("[REDACTED]")).otherwise(v))
 
 
+def redact_json(text: Column) -> Column:
+    """JSON text with the values of secret keys replaced, also in JSON inside its strings."""
+    keys = "|".join(map(re.escape, SECRET_KEYS))
+    plain = rf'(?i)"([^"\\]*(?:{keys})[^"\\]*)"\s*:\s*("(?:[^"\\]|\\.)*"|[^,}}\]\s"\[{{]+)'
+    inside = rf'(?i)\\"([^"\\]*(?:{keys})[^"\\]*)\\"\s*:\s*(\\"[^"\\]*\\"|[^,}}\]\s"\\\[{{]+)'
+    return F.regexp_replace(F.regexp_replace(text, plain, '"$1":"[REDACTED]"'), inside, r'\\"$1\\":\\"[REDACTED]\\"')
+
+
 def snippet(text: Column, term: str, around: int = 60) -> Column:
     """`around` characters on both sides of the first occurrence, case ignored, with an ellipsis where text was left out."""
     at = F.locate(term.lower(), F.lower(text))
@@ -64,9 +72,12 @@ def strict_int(text: Column) -> Column:
 
 
 def strict_decimal(text: Column) -> Column:
-    """struct(value, bad): two places, half to even."""
+    """struct(value, bad): two places, rounded once, half to even. Plain and exponent notation."""
     t = F.trim(text)
-    value = F.bround(F.when(t.rlike(r"^[+-]?\d{1,20}(\.\d+)?$"), t).try_cast("decimal(38,10)"), 2).cast("decimal(14,2)")
+    plain = F.when(t.rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d{1,2})?$"), t)
+    # Digits beyond the 17th place count only as more than nothing, so that the cast rounds nothing.
+    short = F.regexp_replace(F.regexp_replace(plain, r"^([+-]?\d*\.\d{17})\d*[1-9]\d*$", "$11"), r"^([+-]?\d*\.\d{17})0+$", "$1")
+    value = F.bround(short.try_cast("decimal(38,18)"), 2).try_cast("decimal(14,2)")
     return F.struct(value.alias("value"), ((t != "") & value.isNull()).alias("bad"))
 
 
@@ -128,8 +139,20 @@ def error_category(message: Column) -> Column:
     return out
 
 
+#: Where SQL stands in a model's answer, in order of preference; the last match counts.
+SQL_PATTERNS = (r"(?is)\b(CREATE\s+TABLE\b.*?\bAS\b.*?;)", r"(?is)\b(WITH\b .*?;)", r"(?is)\b(SELECT\b .*?;)", r"(?is)```sql\s*\n(.*?)```", r"(?is)```(.*?)```")
+
+
 def extract_sql(text: Column) -> Column:
-    """SQL inside a model's answer: a fenced block, else from WITH or SELECT to the semicolon or the end; null without any."""
-    fenced = F.trim(F.regexp_extract(text, r"(?is)```(?:sql)?\s*(.+?)```", 1))
-    bare = F.trim(F.regexp_extract(text, r"(?is)\b((?:with\s+\w+\s+as\s*\(|select\b).*?)(?:;|$)", 1))
-    return F.when(fenced != "", F.regexp_replace(fenced, r";\s*$", "")).when(bare != "", bare)
+    """SQL inside a model's answer: a statement up to its semicolon, else a fenced block, else the whole text."""
+    found = [F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in SQL_PATTERNS]
+    return F.coalesce(*[F.when(F.size(x) > 0, F.regexp_replace(F.element_at(x, -1), r"^\s+|\s+$", "")) for x in found], text)
+
+
+#: Names of result files that charts may read, and the largest table that makes a chart.
+RESULT_FILE, CHART_ROWS, CHART_COLUMNS = r"^query_results_[0-9a-f]{8}\.csv$", 200, 3
+
+
+def chartable(name: Column, rows: Column, columns: Column) -> Column:
+    """Whether a result file may be charted: its name is that of a result, and it is small."""
+    return name.rlike(RESULT_FILE) & (rows <= CHART_ROWS) & (columns <= CHART_COLUMNS)

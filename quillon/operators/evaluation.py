@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 PASS_SCORE = 0.7
 
 
-def trajectory_score(expected: Column, actual: Column) -> Column:
-    """1, less half the share of expected tools that were not called and half the share of calls that were not expected."""
-    missing = F.try_divide(F.size(F.array_except(expected, actual)), F.size(F.array_distinct(expected)))
-    extra = F.try_divide(F.size(F.array_except(actual, expected)), F.size(F.array_distinct(actual)))
-    return F.greatest(F.round(1 - 0.5 * F.coalesce(missing, F.lit(0.0)) - 0.5 * F.coalesce(extra, F.lit(0.0)), 6), F.lit(0.0))
+def trajectory_score(expected: Column, forbidden: Column, actual: Column) -> Column:
+    """1, less half the share of expected tools that were not called and half the share of forbidden tools that were; other calls are free."""
+    share = lambda tools, bad: F.coalesce(F.try_divide(F.size(F.filter(tools, bad)), F.size(tools)), F.lit(0.0))
+    missing = share(expected, lambda x: ~F.array_contains(actual, x))
+    wrong = share(forbidden, lambda x: F.array_contains(actual, x))
+    return F.greatest(F.round(1 - 0.5 * missing - 0.5 * wrong, 6), F.lit(0.0))
 
 
 def output_score(text: Column, wanted: Column, unwanted: Column) -> Column:
@@ -22,10 +23,10 @@ def output_score(text: Column, wanted: Column, unwanted: Column) -> Column:
     return F.round(F.coalesce(F.try_divide(met, F.size(wanted) + F.size(unwanted)), F.lit(1.0)), 6)
 
 
-def efficiency_score(millis: Column, calls: Column, tokens: Column, max_millis: float, max_calls: int, max_tokens: int) -> Column:
-    """1, less a third for each budget of time, calls and tokens that is exceeded."""
+def efficiency_score(millis: Column, tokens: Column, max_millis: float, max_tokens: int, case_millis: Column) -> Column:
+    """1, less 0.33 each if time or tokens exceed their budgets, and 0.34 if time exceeds the case's own; a null budget is none."""
     over = lambda x, m, w: F.when(x > m, w).otherwise(0.0)
-    return F.round(1 - over(millis, max_millis, 0.33) - over(calls, max_calls, 0.33) - over(tokens, max_tokens, 0.34), 6)
+    return F.round(1 - over(millis, max_millis, 0.33) - over(tokens, max_tokens, 0.33) - over(millis, case_millis, 0.34), 6)
 
 
 def report(results: DataFrame, by: list[str], score: str = "score", millis: str = "millis", tokens: str = "tokens") -> DataFrame:
@@ -53,3 +54,11 @@ def golden_diff(expected: DataFrame, actual: DataFrame, key: str, fields: list[s
     a = actual.select(F.col(key).alias("key"), F.posexplode(F.array(*[F.col(f).cast("string") for f in fields])).alias("i", "actual"))
     both = e.join(a, ["key", "i"], "full").filter(~F.col("expected").eqNullSafe(F.col("actual")))
     return both.select("key", F.element_at(F.array(*[F.lit(f) for f in fields]), F.col("i") + 1).alias("field"), "expected", "actual")
+
+
+def case_table(results: DataFrame, scores: list[str], variant: str = "variant", case: str = "case_id", message: str = "message", score: str = "score", millis: str = "millis", tokens: str = "tokens", error: str = "error") -> DataFrame:
+    """One row per variant and case, for comparison: the message's first 50 characters, passed, score, time, tokens, error and every evaluator's score as JSON."""
+    return results.select(
+        F.col(variant).alias("variant"), F.col(case).alias("case_id"), F.substring(message, 1, 50).alias("message"), (F.col(score) >= PASS_SCORE).alias("passed"), F.col(score).alias("score"), F.col(millis).alias("millis"),
+        F.col(tokens).alias("tokens"), F.coalesce(F.col(error), F.lit("")).alias("error"), F.to_json(F.struct(*scores)).alias("evaluator_scores"),
+    )

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.functions import text as T
+
 
 class BadRows(ValueError):
     """Rows that a strict conversion cannot read."""
@@ -61,21 +64,57 @@ def row_counts(frames: dict[str, DataFrame]) -> DataFrame:
 
 
 def publish(df: DataFrame, path: str, fmt: str = "parquet", **options: str) -> None:
-    """Write beside the target and rename when complete, so that readers never see half a result; the old result is replaced."""
+    """Write beside the target and rename when complete, so that readers never see half a result; the old result is replaced.
+
+    A rename that fails raises and leaves the old result in place. A run that died between its renames is repaired first.
+    """
     spark = df.sparkSession
     jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
     target, staging, old = (jvm.org.apache.hadoop.fs.Path(path + s) for s in ("", "__staging", "__old"))
     fs = target.getFileSystem(conf)
+    if fs.exists(old) and not fs.exists(target):
+        _rename(fs, old, target)
     try:
         df.write.mode("overwrite").format(fmt).options(**options).save(path + "__staging")
-        if fs.exists(target):
-            fs.rename(target, old)
-        fs.rename(staging, target)
-        fs.delete(old, True)
+        swap(fs, staging, target, old)
     finally:
         fs.delete(staging, True)
 
 
+def _rename(fs, source, target) -> None:
+    if not fs.rename(source, target):
+        raise OSError(f"cannot rename {source} to {target}")
+
+
+def swap(fs, staging, target, old) -> None:
+    """Put `staging` in the place of `target`; Hadoop reports a failed rename by its result."""
+    if not fs.exists(target):
+        _rename(fs, staging, target)
+        return
+    fs.delete(old, True)
+    _rename(fs, target, old)
+    try:
+        _rename(fs, staging, target)
+    except Exception:
+        _rename(fs, old, target)
+        raise
+    fs.delete(old, True)
+
+
+def publish_all(frames: dict[str, DataFrame], root: str, expected: dict[str, int] | None = None, fmt: str = "parquet") -> None:
+    """All tables or none: each is written beside its target, rows are compared with `expected`, and only then all are renamed."""
+    for name, df in frames.items():
+        df.write.mode("overwrite").format(fmt).save(f"{root}/{name}__staging")
+    spark = next(iter(frames.values())).sparkSession
+    for name, n in (expected or {}).items():
+        if (found := spark.read.format(fmt).load(f"{root}/{name}__staging").count()) != n:
+            raise BadRows(f"{name}: {found} rows instead of {n}")
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    path = lambda p: jvm.org.apache.hadoop.fs.Path(f"{root}/{p}")
+    for name in frames:
+        swap(path(name).getFileSystem(conf), path(f"{name}__staging"), path(name), path(f"{name}__old"))
+
+
 def checksums(spark: SparkSession, path: str) -> DataFrame:
     """path, sha256 of every file under a folder."""
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
@@ -95,5 +134,18 @@ def write_artifact(df: DataFrame, path: str, limit: int = 1000) -> None:
 
 
 def append_audit(df: DataFrame, path: str) -> None:
-    """Audit rows as Parquet, one folder a day, with a redacted JSON copy for logs."""
-    df.withColumn("day", F.to_date("created_at")).withColumn("line", F.to_json(F.struct(*df.columns))).write.mode("append").partitionBy("day").parquet(path)
+    """Audit rows as Parquet, one folder a day, with secrets replaced: in columns and map keys with secret names, and in JSON text.
+
+    `line` is the row as JSON, for logs.
+    """
+    secret = re.compile("|".join(map(re.escape, T.SECRET_KEYS)))
+
+    def safe(f) -> Column:
+        kind = f.dataType.simpleString()
+        c = F.col(f"`{f.name}`")
+        if secret.search(f.name.lower()):
+            return F.when(c.isNotNull(), F.lit("[REDACTED]")).alias(f.name)
+        return (T.redact(c) if kind == "map<string,string>" else T.redact_json(c) if kind == "string" else c).alias(f.name)
+
+    clean = df.select(*map(safe, df.schema))
+    clean.withColumn("day", F.to_date("created_at")).withColumn("line", T.redact_json(F.to_json(F.struct(*df.columns)))).write.mode("append").partitionBy("day").parquet(path)

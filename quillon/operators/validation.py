@@ -19,6 +19,7 @@ class Contract:
     start: str | None = None
     end: str | None = None
     max_rows: int = 1000
+    limit_applied: bool = False
     grain: tuple[str, ...] = ()
     aliases: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
@@ -44,7 +45,7 @@ def _actual(df: DataFrame, name: str, contract: Contract) -> str | None:
 
 def validate(df: DataFrame, contract: Contract) -> Verdict:
     """Checks in order: missing column, multiplied rows, empty, metric all null, metric not finite, truncated, time missing, time out
-    of range. The end day is included. A result as long as max_rows counts as truncated."""
+    of range. The end day is included. A result as long as max_rows, or one that a limit was put on, counts as truncated."""
     names = {n: _actual(df, n, contract) for n in (*contract.required, *contract.metrics, *([contract.time] if contract.time else []))}
     missing = [n for n in (*contract.required, *contract.metrics) if names[n] is None]
     if missing:
@@ -69,7 +70,7 @@ def validate(df: DataFrame, contract: Contract) -> Verdict:
     for i, m in enumerate(contract.metrics):
         if r[f"f{i}"]:
             return Verdict("refuse", f"not_finite:{m}", r["n"])
-    if r["n"] >= contract.max_rows:
+    if r["n"] >= contract.max_rows or contract.limit_applied:
         return Verdict("needs_clarification", "truncated", r["n"], True)
     if not contract.time:
         return Verdict("valid", "ok", r["n"])

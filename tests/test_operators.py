@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from quillon import catalog as C
 from quillon.functions import text as T
-from quillon.operators import charts, metrics, quality
+from quillon.operators import charts, metrics, quality, sessions
 from quillon.operators.validation import Contract, validate
 from quillon.plans.routing import carry_over, route
 from quillon.sources import history
@@ -79,7 +79,7 @@ def test_chart_kinds(spark):
 def test_text_functions(spark):
     one = spark.createDataFrame([("ＡＢＣ Straße", "see ```sql\nSELECT 1;\n``` ok", "2017-01-01 to 2017-02-03")], "a string, b string, c string")
     r = one.select(T.normalize("a").alias("n"), T.extract_sql(F.col("b")).alias("s"), T.requested_range(F.col("c")).alias("r")).first()
-    assert (r["n"], r["s"], r["r"]["start"], r["r"]["end"]) == ("abc strasse", "SELECT 1", "2017-01-01", "2017-02-03")
+    assert (r["n"], r["s"], r["r"]["start"], r["r"]["end"]) == ("abc strasse", "SELECT 1;", "2017-01-01", "2017-02-03")
 
 
 def test_stream_gives_the_batch_result(spark, sf, tmp_path):
@@ -126,3 +126,89 @@ def test_jdbc_round_trip(spark):
     assert sorted(db.run_sql("SELECT * FROM t1;").collect()) == sorted(df.collect(), key=lambda r: r["id"])
     assert db.run_sql("SELECT * FROM t1", "id", (1, 4), 3).rdd.getNumPartitions() == 3
     assert Database(spark, "postgres", "d", "h").url() == "jdbc:postgresql://h:5432/d"
+
+
+def test_extract_sql(spark):
+    said = ["a ```sql\nSELECT x\n``` b", "```\nfoo\n```", "CREATE TABLE t AS SELECT 1; SELECT 2;", "WITH a AS (SELECT 1) SELECT * FROM a; done", "SELECT 1; then SELECT 2;", "nothing"]
+    got = [r[0] for r in spark.createDataFrame(enumerate(said), "i int, t string").orderBy("i").select(T.extract_sql(F.col("t"))).collect()]
+    assert got == ["SELECT x", "foo", "CREATE TABLE t AS SELECT 1;", "WITH a AS (SELECT 1) SELECT * FROM a;", "SELECT 2;", "nothing"]
+
+
+def test_decimals_round_once(spark):
+    from decimal import ROUND_HALF_EVEN, Decimal
+
+    said = ["1.01499999999999", "58.915", "58.905", ".5", "1e2", "-2.5e-1", "0.125", "0.12500000000000000000000001", "7.00500000000000000000", "+3", "4."]
+    got = {r["t"]: r["d"]["value"] for r in spark.createDataFrame([(x,) for x in said], "t string").select("t", T.strict_decimal(F.col("t")).alias("d")).collect()}
+    assert got == {x: Decimal(x).quantize(Decimal("0.01"), ROUND_HALF_EVEN) for x in said}
+    bad = spark.createDataFrame([("1.2.3",), ("x",), ("1e",), ("1,5",)], "t string").select(T.strict_decimal(F.col("t")).alias("d")).collect()
+    assert all(r["d"]["bad"] for r in bad)
+
+
+class Files:
+    """A file system of which some renames fail, reported as Hadoop does."""
+
+    def __init__(self, *names, refuse=()):
+        self.names, self.refuse = dict.fromkeys(names, 0), refuse
+        for n in names:
+            self.names[n] = n
+
+    def exists(self, p):
+        return p in self.names
+
+    def delete(self, p, _):
+        self.names.pop(p, None)
+
+    def rename(self, a, b):
+        if (a, b) in self.refuse or a not in self.names or b in self.names:
+            return False
+        self.names[b] = self.names.pop(a)
+        return True
+
+
+def test_swap_keeps_one_copy():
+    fs = Files("staging", "target")
+    quality.swap(fs, "staging", "target", "old")
+    assert fs.names == {"target": "staging"}
+    for refuse in ([("staging", "target")], [("target", "old")]):
+        fs = Files("staging", "target", refuse=refuse)
+        with pytest.raises(OSError):
+            quality.swap(fs, "staging", "target", "old")
+        assert fs.names["target"] == "target"
+
+
+def test_publish_all(spark, tmp_path):
+    a, b = spark.range(3), spark.range(5)
+    quality.publish_all({"a": a, "b": b}, str(tmp_path), {"a": 3})
+    assert spark.read.parquet(f"{tmp_path}/b").count() == 5
+    with pytest.raises(quality.BadRows):
+        quality.publish_all({"a": b, "b": a}, str(tmp_path), {"b": 4})
+    assert spark.read.parquet(f"{tmp_path}/a").count() == 3
+
+
+def test_audit_holds_no_secret(spark, tmp_path):
+    rows = [("2024-01-01 00:00:00", '{"password":"hunter2","n":1}', "hunter2", {"oauth": "hunter2", "x": "1"}, '{"a":{"auth_header":"hunter2"}}')]
+    df = spark.createDataFrame(rows, "created_at string, sql string, api_token string, params map<string,string>, detail string")
+    quality.append_audit(df, str(tmp_path / "audit"))
+    r = spark.read.parquet(str(tmp_path / "audit")).collect()[0]
+    assert "hunter2" not in str(r) and r["params"]["x"] == "1" and '"n":1' in r["sql"]
+
+
+def test_memories_without_a_time(spark):
+    df = spark.createDataFrame([(1, "a", None), (2, "a", "2024-01-05 00:00:00"), (3, "a", "2024-02-01 00:00:00"), (4, "b", None)], "id int, tool_name string, created_at string").withColumn("created_at", F.col("created_at").cast("timestamp"))
+    left = lambda *a, **k: [r["id"] for r in sessions.clear_memories(df, *a, **k).orderBy("id").collect()]
+    assert left("a", "2024-01-10") == [3, 4] and left("a") == [4] and left() == [] and left(None, "2024-01-10") == [3]
+    assert left("a", text=True) == [1, 2, 3, 4] and left(None, "2024-01-10", text=True) == [3]
+
+
+def test_packing_skips_what_does_not_fit(spark):
+    df = spark.createDataFrame([(1, 0, 3.0), (1, 1, 9.0), (1, 2, 4.0), (1, 3, 3.0), (2, 0, 99.0)], "g int, turn int, tokens double")
+    assert [(r["g"], r["turn"], r["running"]) for r in sessions.pack_context(df, "g", "turn", "tokens", 10.0).orderBy("turn").collect()] == [(1, 0, 3.0), (1, 2, 7.0)]
+
+
+def test_chartable(spark):
+    df = spark.createDataFrame([("query_results_0a1b2c3d.csv", 200, 3), ("query_results_0a1b2c3d.csv", 201, 3), ("../x.csv", 1, 1), ("query_results_0a1b2c3d.csv", 1, 4)], "f string, r int, c int")
+    assert [r[0] for r in df.select(T.chartable(F.col("f"), F.col("r"), F.col("c"))).collect()] == [True, False, False, False]
+
+
+def test_limit_applied(spark):
+    assert validate(spark.range(3), Contract(("id",), limit_applied=True)).truncated
