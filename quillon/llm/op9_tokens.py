@@ -1,35 +1,106 @@
 """Token counts under a unigram model, by dynamic programming over a trie of pre-tokens.
 
-The distinct pre-tokens of a batch of texts are visited in sorted order, which is the preorder of their trie; a
-stack holds the forward scores of the current path, so the scores of a shared prefix are computed once. A
-terminal's count is the length of its best segmentation. Documents then add up their terminals' counts. All of
-it happens beside the scan: nothing is shuffled.
+The model: the pieces of a public vocabulary, with probabilities estimated here from how often each piece occurs when the
+vocabulary's own tokenizer splits the corpus' pre-tokens, counted with their frequencies over all documents. Pre-tokens are
+visited in sorted order, which is the preorder of their trie; a stack holds the forward scores of the current path, so the
+scores of a shared prefix are computed once. A terminal's count is the length of its best segmentation. Terminals of
+frequent pre-tokens are solved once and stored in a table of bounded size that all tasks use; the others are solved where
+they occur. Documents then add up their terminals' counts beside the scan.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillon.llm.common import table
+from quillon.llm.common import materialize, table
+from quillon.llm.words import MEMO, bounded
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Texts are taken together up to so many bytes, which bounds the trie.
 BATCH_BYTES = 16_000_000
+#: Frequent pre-tokens whose counts are stored and sent to all tasks, at most (about 20 bytes each).
+STORED = 200_000
 SPACE = "▁"
 
 
-def load_pieces(path: str = VOCABULARY) -> dict[str, float]:
-    """Pieces of a public vocabulary with log probabilities after Zipf's law of their ranks."""
+@dataclass
+class Model:
+    #: Piece -> log probability.
+    pieces: dict[str, float]
+    #: Stored terminals: pre-token (string), n (its frequency), tokens; in the order of the trie.
+    terminals: DataFrame
+
+
+def pre_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
+    """word, n: the distinct pre-tokens of all texts and how often each occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in bounded(batches, text, BATCH_BYTES):
+            n: Counter = Counter()
+            for t in part.column(text):
+                n.update((t.as_py() or "").encode().split())
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in n]), pa.array(n.values(), pa.int64())], names=["word", "n"])
+
+    return docs.select(text).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def fit(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> Model:
+    """Piece probabilities from the whole corpus, and the stored terminals.
+
+    Counts are smoothed by half an occurrence, so pieces that never occur stay possible. `vocabulary` must be readable at this path on
+    the driver and on every executor. Null and empty texts teach nothing; from an empty table all pieces are equally likely.
+    """
+    words = materialize(pre_tokens(docs, text), "pre-tokens")
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import sentencepiece
+
+        sp = sentencepiece.SentencePieceProcessor(model_file=vocabulary)
+        for b in batches:
+            found = sp.encode(b.column(0).to_pylist(), num_threads=1)
+            ids = np.fromiter((i for f in found for i in f), np.int64)
+            times = np.bincount(ids, np.repeat(b.column(1).to_numpy(), list(map(len, found))).astype(float)) if len(ids) else np.empty(0)
+            used = np.flatnonzero(times)
+            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(times[used].astype(np.int64))], names=["piece", "n"])
+
+    # A row a piece comes to the driver, as the model itself does.
+    counts = dict(words.mapInArrow(split, "piece long, n long").groupBy("piece").agg(F.sum("n")).collect())
+    names = load_pieces(vocabulary)
+    total = sum(counts.get(i, 0) + 0.5 for i in names)
+    pieces = {p: math.log((counts.get(i, 0) + 0.5) / total) for i, p in names.items()}
+    # The smallest power of two of which at most STORED pre-tokens have that frequency.
+    sizes = sorted(words.groupBy(F.floor(F.log2("n")).alias("k")).count().collect(), key=lambda r: -r["k"])
+    least, held = None, 0
+    for r in sizes:
+        held += r["count"]
+        if held > STORED:
+            break
+        least = 2 ** r["k"]
+    frequent = words.filter(F.col("n") >= F.lit(least)) if least else words.limit(0)
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = trie_counts({w.encode() for w in b.column(0).to_pylist()}, pieces)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([found[w.encode()] for w in b.column(0).to_pylist()], pa.int64())], names=["word", "n", "tokens"])
+
+    return Model(pieces, materialize(frequent.repartitionByRange("word").sortWithinPartitions("word").mapInArrow(solve, "word string, n long, tokens long"), "terminals"))
+
+
+def load_pieces(path: str = VOCABULARY) -> dict[int, str]:
+    """Id -> piece of a public vocabulary, without control, unknown and byte pieces."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
-    total = math.log(sum(1 / (r + 2.7) for r in range(len(pieces))))
-    return {p: -math.log(r + 2.7) - total for r, p in enumerate(pieces)}
+    return {i: sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
 
 
 def trie_counts(words: set[bytes], pieces: dict[str, float]) -> dict[bytes, int]:
@@ -63,36 +134,44 @@ def trie_counts(words: set[bytes], pieces: dict[str, float]) -> dict[bytes, int]
     return out
 
 
-def count_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+class Solved(dict):
+    """Token counts of pre-tokens: the stored ones, and those that this task solves, forgotten when there are too many."""
+
+    def __init__(self, stored: dict[bytes, int], pieces: dict[str, float]):
+        super().__init__(stored)
+        self.stored, self.pieces = stored, pieces
+
+    def learn(self, words: set[bytes]) -> None:
+        new = words.difference(self)
+        if len(self) + len(new) > len(self.stored) + MEMO:
+            self.clear()
+            self.update(self.stored)
+            new = words.difference(self)
+        self.update(trie_counts(new, self.pieces))
+
+
+def count_tokens(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words (pre-tokens), n_tokens, one row per input row.
 
     A null or empty text, or one of white space only, has zero of both. Repeated rows and ids are counted alike,
     other columns are ignored, an empty table gives no rows. White space between pre-tokens is part of the next one.
     """
+    spark = docs.sparkSession
+    # At most STORED rows.
+    stored = spark.sparkContext.broadcast(({r["word"].encode(): r["tokens"] for r in model.terminals.select("word", "tokens").toLocalIterator()}, model.pieces))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = load_pieces(vocabulary)
-
-        def flush(ids: list, texts: list[list[bytes]]) -> pa.RecordBatch:
-            counts = trie_counts(set().union(*texts), pieces)
-            totals = [sum(map(counts.__getitem__, t)) for t in texts]
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(list(map(len, texts)), pa.int64()), pa.array(totals, pa.int64())], names=["doc_id", "n_words", "n_tokens"])
-
-        for batch in batches:
-            ids, texts, size = [], [], 0
-            for i, t in zip(batch.column(doc_id), batch.column(text), strict=True):
-                raw = (t.as_py() or "").encode()
-                ids.append(i.as_py())
-                texts.append(raw.split())
-                size += len(raw)
-                if size >= BATCH_BYTES:
-                    yield flush(ids, texts)
-                    ids, texts, size = [], [], 0
-            if ids:
-                yield flush(ids, texts)
+        solved = Solved(*stored.value)
+        for part in bounded(batches, text, BATCH_BYTES):
+            texts = [(t.as_py() or "").encode().split() for t in part.column(text)]
+            solved.learn(set().union(*texts))
+            totals = [sum(map(solved.__getitem__, t)) for t in texts]
+            out = pa.table({"doc_id": part.column(doc_id).cast(pa.int64()), "n_words": pa.array(list(map(len, texts)), pa.int64()), "n_tokens": pa.array(totals, pa.int64())})
+            yield from out.combine_chunks().to_batches()
 
-    return docs.select(doc_id, text).mapInArrow(run, "doc_id long, n_words long, n_tokens long")
+    return docs.select(*dict.fromkeys([doc_id, text])).mapInArrow(run, "doc_id long, n_words long, n_tokens long")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_tokens(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return count_tokens(docs, fit(docs))

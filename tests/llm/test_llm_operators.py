@@ -370,24 +370,42 @@ def test_search(spark, docs, empty, size, monkeypatch):
 # --- 9 -------------------------------------------------------------------------------------------------------------
 
 
-def test_token_counts(spark, docs, empty):
-    pieces = op9_tokens.load_pieces()
+def best_split(word, pieces):
+    """Length of the best segmentation of one pre-token, alone."""
     low = min(pieces.values()) - 10
-
-    def alone(w):
-        w = op9_tokens.SPACE + w.decode()
-        best = [(0.0, 0)]
-        for e in range(1, len(w) + 1):
-            width = len(w[e - 1].encode())
-            cand = [(best[e - 1][0] + width * low, best[e - 1][1] + width)] + [(best[b][0] + pieces[w[b:e]], best[b][1] + 1) for b in range(e) if w[b:e] in pieces]
-            top = max(s for s, _ in cand)
-            best.append(min((c for c in cand if c[0] == top), key=lambda c: c[1]))
-        return best[-1][1]
-
-    memo = {}
-    want = {i: (len(words(t)), sum(memo.setdefault(w, alone(w)) if w not in memo else memo[w] for w in words(t))) for i, t, _ in TEXTS}
-    assert {r["doc_id"]: (r["n_words"], r["n_tokens"]) for r in op9_tokens.count_tokens(docs).collect()} == want
-    assert op9_tokens.count_tokens(empty).count() == 0
+    w = op9_tokens.SPACE + word.decode()
+    best = [(0.0, 0)]
+    for e in range(1, len(w) + 1):
+        width = len(w[e - 1].encode())
+        cand = [(best[e - 1][0] + width * low, best[e - 1][1] + width)] + [(best[b][0] + pieces[w[b:e]], best[b][1] + 1) for b in range(e) if w[b:e] in pieces]
+        top = max(s for s, _ in cand)
+        best.append(min((c for c in cand if c[0] == top), key=lambda c: c[1]))
+    return best[-1][1]
+
+
+@pytest.mark.parametrize("stored", [op9_tokens.STORED, 3])
+def test_token_counts(spark, docs, empty, stored, monkeypatch):
+    monkeypatch.setattr(op9_tokens, "STORED", stored)
+    model = op9_tokens.fit(docs)
+    assert abs(sum(math.exp(p) for p in model.pieces.values()) - 1) < 1e-9
+    import sentencepiece
+
+    said = Counter(w for _, t, _ in TEXTS for w in words(t))
+    sp = sentencepiece.SentencePieceProcessor(model_file=op9_tokens.VOCABULARY)
+    seen = Counter()
+    for w, n in said.items():
+        for i in sp.encode(w.decode()):
+            seen[sp.id_to_piece(i)] += n
+    known = {p: seen[p] + 0.5 for p in model.pieces}
+    assert all(abs(model.pieces[p] - math.log(c / sum(known.values()))) < 1e-9 for p, c in list(known.items())[::97])
+    held = {r["word"].encode(): (r["n"], r["tokens"]) for r in model.terminals.collect()}
+    assert len(held) <= stored and all(said[w] == n and best_split(w, model.pieces) == k for w, (n, k) in list(held.items())[:50])
+    memo = {w: best_split(w, model.pieces) for w in said}
+    want = {i: (len(words(t)), sum(memo[w] for w in words(t))) for i, t, _ in TEXTS}
+    assert {r["doc_id"]: (r["n_words"], r["n_tokens"]) for r in op9_tokens.count_tokens(docs, model).collect()} == want
+    assert op9_tokens.count_tokens(empty, model).count() == 0
+    nothing = op9_tokens.fit(empty)
+    assert nothing.terminals.count() == 0 and len(set(nothing.pieces.values())) == 1
 
 
 # --- 10 ------------------------------------------------------------------------------------------------------------
