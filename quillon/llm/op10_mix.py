@@ -4,7 +4,7 @@ Every source is a queue of shuffled documents, repeated up to `max_repeats` time
 source's cumulative words up to the middle of that copy, divided by the source's target (half a document before
 the finish time, so that truncation rounds to the nearest document). All copies are range-sorted by virtual time
 and cut where the words before it reach the budget. Running totals never gather a source in one task: ranges of
-the (uniform) shuffle key and of virtual time are summed first, then each range is ordered alone.
+the (uniform) shuffle key and of virtual time are summed first, in two levels, then each range is ordered alone.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from quillon.llm.common import WORD, materialize, table
 
 CYCLE = (5, 2, 1)
 REPEATS = 3
-#: Ranges of virtual time for one target's worth of words.
-RANGES = 256
+#: Ranges of virtual time for one target's worth of words, and ranges that are summed together first.
+RANGES, SPAN = 256, 1_024
 
 
 def targets(sizes: DataFrame, max_repeats: int = REPEATS) -> DataFrame:
@@ -82,7 +82,12 @@ def mix(docs: DataFrame, cycle: tuple[int, ...] = CYCLE, max_repeats: int = REPE
     # Global range sort by virtual time: ranges in order, each ordered alone, totals of earlier ranges added.
     copies = copies.withColumn("slot", F.floor(F.col("virtual_time") * RANGES * max(1, 16 ** (digits - 2))))
     slots = copies.filter("epoch IS NOT NULL").groupBy("slot").agg(F.sum("size").alias("in_slot"))
-    slots = slots.select("slot", (F.sum("in_slot").over(W.orderBy("slot").rowsBetween(W.unboundedPreceding, 0)) - F.col("in_slot")).alias("served"))
+    # Words before each slot: before its span of slots, and before it in its span. Only the spans' sums are ordered in one task.
+    slots = slots.withColumn("span", F.floor(F.col("slot") / SPAN))
+    spans = slots.groupBy("span").agg(F.sum("in_slot").alias("in_span"))
+    spans = spans.select("span", (F.sum("in_span").over(W.orderBy("span").rowsBetween(W.unboundedPreceding, 0)) - F.col("in_span")).alias("earlier"))
+    in_span = F.sum("in_slot").over(W.partitionBy("span").orderBy("slot").rowsBetween(W.unboundedPreceding, 0)) - F.col("in_slot")
+    slots = slots.withColumn("served", in_span).join(spans, "span").select("slot", (F.col("served") + F.col("earlier")).alias("served"))
     order = W.partitionBy("slot").orderBy("virtual_time", "shuffle_key", "n", "epoch").rowsBetween(W.unboundedPreceding, 0)
     served = F.col("served") + F.sum("size").over(order)
     some = copies.filter("epoch IS NOT NULL").join(slots, "slot").withColumn("taken", served.cast("double") - F.col("size") / 2.0 <= F.col("budget").cast("double"))
