@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import table
 
-#: Bounds of the training sample: labelled documents a language, and bytes of each and in all.
-SAMPLE_DOCS, DOC_BYTES, DICT_BYTES = 400, 500, 32_000
+#: Bounds of the training sample: labelled documents a language, and characters of each, a span at a random place.
+SAMPLE_DOCS, SPAN = 400, 300
 CHUNK, LEVEL = 2_048, 6
 #: Relative gain over the second language below which a prediction is rejected.
 MIN_MARGIN = 0.01
@@ -37,7 +37,7 @@ def dictionaries(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """Raw-content dictionaries from at most SAMPLE_DOCS documents of every language; languages with more labelled rows come first.
 
     Rows with a null language or a text without letters teach nothing. The sample is by hash of id and text, so reruns agree.
-    It comes to the driver: SAMPLE_DOCS * DOC_BYTES bytes a language at most, whatever the input.
+    It comes to the driver: SAMPLE_DOCS * SPAN characters a language at most, whatever the input. All of it goes into the dictionary.
     """
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.lit(7), doc_id, text).alias("h"))
     counts = rows.groupBy("lang").count().collect()  # a row a language, as the model itself
@@ -46,14 +46,14 @@ def dictionaries(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text"
     # A first cut by hash, beside the scan, leaves about twice the sample; languages with fewer rows keep all.
     size = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], r["count"])])
     unit = F.pmod("h", F.lit(1_000_000)) / 1_000_000
-    near = rows.filter(unit * F.element_at(size, F.col("lang")) <= 2.0 * SAMPLE_DOCS).withColumn("text", F.substring("text", 1, DOC_BYTES))
+    near = rows.filter(unit * F.element_at(size, F.col("lang")) <= 2.0 * SAMPLE_DOCS).withColumn("text", F.substr("text", F.pmod(F.xxhash64("h"), F.greatest(F.char_length("text") - SPAN, F.lit(0)) + 1).cast("int") + 1, F.lit(SPAN)))
     best = near.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "text"))).filter(F.col("r") <= SAMPLE_DOCS)
     taken: dict[str, list[bytes]] = {}
     for r in best.select("lang", "text", "r").orderBy("lang", "r").collect():
-        if said := letters(r["text"]).encode()[:DOC_BYTES]:
+        if said := letters(r["text"]).encode():
             taken.setdefault(r["lang"], []).append(said)
     taken = {r["lang"]: list(dict.fromkeys(taken[r["lang"]])) for r in sorted(counts, key=lambda r: (-r["count"], r["lang"])) if r["lang"] in taken}
-    return [(k, b"\n".join(v)[:DICT_BYTES]) for k, v in _cleaned(taken).items()]
+    return [(k, b"\n".join(v)) for k, v in _cleaned(taken).items()]
 
 
 def _cleaned(taken: dict[str, list[bytes]]) -> dict[str, list[bytes]]:
@@ -63,7 +63,7 @@ def _cleaned(taken: dict[str, list[bytes]]) -> dict[str, list[bytes]]:
         return taken
     names, kept = list(taken), {k: [] for k in taken}
     for half in (0, 1):
-        coders = _coders([b"\n".join(v[half::2])[:DICT_BYTES] for v in taken.values()])
+        coders = _coders([b"\n".join(v[half::2]) for v in taken.values()])
         for k, v in taken.items():
             kept[k] += [t for t in v[1 - half :: 2] if names[_judge(t, coders)[0]] == k]
     return {k: v or taken[k] for k, v in kept.items()}
