@@ -1,19 +1,22 @@
 """Licence scan: a trained paragraph classifier over sparse word n-grams, with DataFrame functions only.
 
 A multinomial logistic regression with elastic-net penalty (Spark's own, on the JVM) learns licence families from notices, names in usual
-phrases, and a bounded sample of paragraphs as the unknown class. Its probabilities are calibrated by a temperature on held-out
-examples. Scoring is relational: n-grams of the paragraphs that hold any evidence word are joined with the table of
-weights and summed. A family counts only if a template of that family confirms it by shared word trigrams.
+phrases, and a bounded sample of paragraphs as the unknown class. Its probabilities are calibrated by a temperature on phrases and
+notices that it is not trained on. Scoring is relational: n-grams of the paragraphs that hold any evidence (a word or a pair of words)
+are joined with the table of weights and summed. A paragraph is a line, and also a block of lines, for notices that are wrapped. A
+family counts only if its templates confirm it: one of its names stands in the paragraph, or enough trigrams of one of its notices.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.llm.common import materialize, table
@@ -25,18 +28,21 @@ UNKNOWN = "unknown"
 
 #: Names and typical sentences of public licences.
 NAMES = {
-    "apache": ["Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0 license", "Apache Software License"],
-    "mit": ["MIT License", "MIT license terms", "Expat License"],
-    "bsd": ["BSD License", "BSD 3-Clause License", "BSD 2-Clause License", "New BSD License"],
-    "gpl": ["GNU General Public License, version 3", "GNU General Public License version 2", "GNU GPL v3", "GPL-3.0 license", "GPL version 2 or later"],
-    "lgpl": ["GNU Lesser General Public License", "GNU Lesser General Public License, version 2.1", "LGPL-3.0 license", "LGPL version 2.1"],
-    "agpl": ["GNU Affero General Public License", "GNU Affero General Public License, version 3", "AGPL-3.0 license"],
-    "mpl": ["Mozilla Public License, version 2.0", "Mozilla Public License", "MPL-2.0 license"],
-    "cc-by": ["CC BY 4.0", "Creative Commons Attribution 4.0 International License", "Creative Commons Attribution License"],
-    "cc-by-sa": ["CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License", "Creative Commons Attribution-ShareAlike License"],
-    "cc-by-nc": ["CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License", "Creative Commons Attribution-NonCommercial License", "CC BY-NC-SA 4.0"],
-    "cc0": ["CC0 1.0 Universal", "Creative Commons Zero public domain dedication", "CC0 public domain dedication"],
-    "isc": ["ISC License", "ISC license terms"],
+    "apache": ["Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0 license", "Apache Software License", "Apache-2.0"],
+    "mit": ["MIT License", "MIT license terms", "Expat License", "MIT"],
+    "bsd": ["BSD License", "BSD 3-Clause License", "BSD 2-Clause License", "New BSD License", "BSD-3-Clause", "BSD-2-Clause"],
+    "gpl": ["GNU General Public License, version 3", "GNU General Public License version 2", "GNU GPL v3", "GPL-3.0 license", "GPL version 2 or later", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later"],
+    "lgpl": ["GNU Lesser General Public License", "GNU Lesser General Public License, version 2.1", "LGPL-3.0 license", "LGPL version 2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only"],
+    "agpl": ["GNU Affero General Public License", "GNU Affero General Public License, version 3", "AGPL-3.0 license", "AGPL-3.0-only", "AGPL-3.0-or-later"],
+    "mpl": ["Mozilla Public License, version 2.0", "Mozilla Public License", "MPL-2.0 license", "MPL-2.0"],
+    "cc-by": ["CC BY 4.0", "Creative Commons Attribution 4.0 International License", "Creative Commons Attribution License", "CC-BY-4.0"],
+    "cc-by-sa": ["CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License", "Creative Commons Attribution-ShareAlike License", "CC-BY-SA-4.0"],
+    "cc-by-nc": ["CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License", "Creative Commons Attribution-NonCommercial License", "CC BY-NC-SA 4.0", "CC-BY-NC-4.0"],
+    "cc0": ["CC0 1.0 Universal", "Creative Commons Zero public domain dedication", "CC0 public domain dedication", "CC0-1.0"],
+    "isc": ["ISC License", "ISC license terms", "ISC"],
+    "epl": ["Eclipse Public License 2.0", "Eclipse Public License, version 1.0", "EPL-2.0"],
+    "unlicense": ["The Unlicense", "Unlicense license terms", "Unlicense"],
+    "boost": ["Boost Software License 1.0", "Boost Software License, Version 1.0", "BSL-1.0"],
     "proprietary": ["proprietary license, all rights reserved", "commercial license of its owner, all rights reserved"],
 }
 NOTICES = {
@@ -52,9 +58,15 @@ NOTICES = {
     "cc-by-nc": ["You may not use the material for commercial purposes under the Creative Commons Attribution-NonCommercial license"],
     "cc0": ["The person who associated a work with this deed has dedicated the work to the public domain by waiving all rights to the work worldwide under CC0"],
     "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"],
+    "epl": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at eclipse.org/legal/epl-2.0"],
+    "unlicense": ["This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"],
+    "boost": ["Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license to use, reproduce, display, distribute, execute, and transmit the Software"],
     "proprietary": ["All rights reserved. No part of this publication may be reproduced or transmitted without prior written permission of the publisher", "Confidential and proprietary. Unauthorized copying of this file, via any medium, is strictly prohibited"],
 }
-PHRASES = ["Licensed under {}.", "Licensed under the {}.", "Released under the {}.", "This work is licensed under {}.", "This work is licensed under the {}.", "Distributed under the terms of the {}.", "This project is made available under {}.", "The code is published under the {}, see LICENSE for details."]
+PHRASES = ["Licensed under {}.", "Licensed under the {}.", "Released under the {}.", "This work is licensed under {}.", "This work is licensed under the {}.", "Distributed under the terms of the {}.", "This project is made available under {}.", "The code is published under the {}, see LICENSE for details.", "SPDX-License-Identifier: {}", "Distributed under {} terms.", "License: {}"]
+#: Phrases and beginnings of notices that calibrate the probabilities and are not trained on.
+TRIAL_PHRASES = ["Covered by the {}.", "You may use these files under the terms of {}.", "Dual licensed; see also {}.", "It was put under {} by its authors in 2019.", "License identifier {} applies"]
+TRIAL_WORDS = slice(3, 18)
 #: Words that always make a paragraph worth a look.
 CUES = ("license", "licence", "licensed", "licenced", "copyright")
 #: Sentences that use the same words for something else, or name no known licence.
@@ -87,10 +99,19 @@ def examples() -> list[tuple[str, str]]:
     return rows + [(UNKNOWN, t) for t in OTHERS for _ in range(3)]
 
 
+def trials() -> list[tuple[str, str]]:
+    rows = [(f, p.format(n)) for f, names in NAMES.items() for n in names for p in TRIAL_PHRASES]
+    return rows + [(f, " ".join(t.split()[TRIAL_WORDS])) for f, notices in NOTICES.items() for t in notices]
+
+
 def paragraphs(docs: DataFrame, doc_id: str, text: str, only: Column | None = None) -> DataFrame:
+    """doc_id, of (hash of the text), level (line, or block of several lines), place, paragraph."""
     d = docs.filter(F.col(text).isNotNull())
     d = d if only is None else d.filter(only)
-    return d.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("of"), F.posexplode(F.split(text, r"[\n\r]+")).alias("place", "paragraph")).filter(F.trim("paragraph") != "")
+    d = d.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("of"), F.col(text).alias("said"))
+    lines = F.transform(F.split("said", r"[\n\r]+"), lambda x, i: F.struct(F.lit("line").alias("level"), i.alias("place"), x.alias("paragraph")))
+    blocks = F.filter(F.transform(F.split("said", r"(?:\r?\n[ \t]*){2,}"), lambda x, i: F.struct(F.lit("block").alias("level"), i.alias("place"), x.alias("paragraph"))), lambda x: F.trim(x["paragraph"]).contains("\n"))
+    return d.select("doc_id", "of", F.explode(F.concat(lines, blocks)).alias("p")).select("doc_id", "of", "p.*").filter(F.trim("paragraph") != "")
 
 
 @dataclass
@@ -100,8 +121,9 @@ class Model:
     #: n-gram -> weight of every class; only n-grams with some weight.
     weights: dict[str, list[float]]
     temperature: float
-    #: Words of which a paragraph needs one at least to be looked at.
+    #: Words, and pairs of words, of which a paragraph needs one at least to be looked at.
     evidence: list[str]
+    pairs: list[str]
 
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Model:
@@ -110,53 +132,72 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Model:
     cue = r"(?i)licen[cs]|copyright|\bgpl|creative commons|rights reserved|\bcc[ -]?(by|0)"
     n = docs.count()
     near = docs.filter(F.pmod(F.xxhash64(F.lit(1), doc_id), F.lit(1_000_000)) * (n / 1_000_000) <= SAMPLE_PARAGRAPHS / 4)
-    sample = paragraphs(near, doc_id, text).filter(~F.col("paragraph").rlike(cue)).select(F.substring("paragraph", 1, 1_000).alias("paragraph"))
+    sample = paragraphs(near, doc_id, text).filter(~F.col("paragraph").rlike(cue) & (F.col("level") == "line")).select("paragraph")
     sample = sample.orderBy(F.xxhash64("paragraph"), "paragraph").limit(SAMPLE_PARAGRAPHS).withColumn("family", F.lit(UNKNOWN))
     given = spark.createDataFrame(examples(), "family string, paragraph string")
     rows = materialize(given.unionByName(sample).withColumn("grams", grams(tokens(F.col("paragraph")))).coalesce(1), "licence-examples")
     vocabulary = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=VOCABULARY, binary=True).fit(rows.filter(F.col("family") != UNKNOWN).unionByName(rows.filter(F.col("paragraph").isin(OTHERS))))
     classes = [UNKNOWN, *NAMES]
     label = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("family")).cast("double") - 1
-    data = vocabulary.transform(rows.withColumn("label", label)).select("features", "label", "paragraph")
-    check = F.pmod(F.xxhash64("paragraph"), F.lit(5)) == 0
+    data = vocabulary.transform(rows.withColumn("label", label)).select("features", "label")
     fit = LogisticRegression(family="multinomial", regParam=0.00002, elasticNetParam=0.5, maxIter=60).fit
-    trial = fit(data.filter(~check))
-    judged = trial.transform(data.filter(check)).select("rawPrediction", "label").collect()
-    temperature = min((t / 10 for t in range(3, 31)), key=lambda t: sum(math.log(sum(math.exp((x - r["rawPrediction"][int(r["label"])]) / t) for x in r["rawPrediction"])) for r in judged)) if judged else 1.0
     model = fit(data)
+    tried = spark.createDataFrame(trials(), "family string, paragraph string").withColumn("grams", grams(tokens(F.col("paragraph")))).withColumn("label", label)
+    judged = model.transform(vocabulary.transform(tried)).select("rawPrediction", "label").collect()
+    temperature = min((t / 10 for t in range(3, 61)), key=lambda t: sum(math.log(sum(math.exp((x - r["rawPrediction"][int(r["label"])]) / t) for x in r["rawPrediction"])) for r in judged))
     w = model.coefficientMatrix.toArray()
     weights = {g: [float(x) for x in w[:, k]] for k, g in enumerate(vocabulary.vocabulary) if w[:, k].any()}
-    plain = {r["g"] for r in rows.filter((F.col("family") == UNKNOWN) & ~F.col("paragraph").isin(OTHERS)).select(F.explode("grams").alias("g")).distinct().filter(F.col("g").isin([g for g in weights if " " not in g])).collect()}
-    evidence = sorted({*CUES, *(g for g, x in weights.items() if " " not in g and max(x[1:]) > 0 and g not in plain)})
-    return Model(classes, [float(x) for x in model.interceptVector], weights, temperature, evidence)
+    plain = {r["g"] for r in rows.filter((F.col("family") == UNKNOWN) & ~F.col("paragraph").isin(OTHERS)).select(F.explode("grams").alias("g")).distinct().join(F.broadcast(spark.createDataFrame([(g,) for g in weights], "g string")), "g").collect()}
+    telling = sorted(g for g, x in weights.items() if max(x[1:]) > 0 and g not in plain)
+    return Model(classes, [float(x) for x in model.interceptVector], weights, temperature, sorted({*CUES, *(g for g in telling if " " not in g)}), [g for g in telling if " " in g])
+
+
+def _confirmed(words: Column, guess: Column) -> Column:
+    """1 if one of the family's names stands in the paragraph, else the largest share of a notice's trigrams that are shared, either way."""
+    plain = lambda t: re.sub(r"[\W_]+", " ", t.lower()).strip()
+    # A name of one word counts only beside a word that makes it one.
+    names = {f: sorted({n for x in own for n in ([plain(x)] if " " in plain(x) else [f"identifier {plain(x)}", f"{plain(x)} license", f"{plain(x)} licence", f"{plain(x)} terms", f"license {plain(x)}", f"under {plain(x)}"])}) for f, own in NAMES.items()}
+    names["proprietary"].append("all rights reserved")
+    by_name = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*[F.lit(n) for n in x]) for f, own in names.items() for x in (f, own)])
+    said = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    named = F.exists(F.element_at(by_name, guess), lambda n: said.contains(F.concat(F.lit(" "), n, F.lit(" "))))
+    notices = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*[F.array(*[F.lit(w) for w in plain(t).split()]) for t in x]) for f, own in NOTICES.items() for x in (f, own)])
+    mine = trigrams(words)
+    share = F.array_max(F.transform(F.element_at(notices, guess), lambda t: F.size(F.array_intersect(mine, trigrams(t))) / F.greatest(F.least(F.size(mine), F.size(trigrams(t))), F.lit(1))))
+    return F.when(F.coalesce(named, F.lit(False)), 1.0).otherwise(F.coalesce(share, F.lit(0.0)))
 
 
 def scan(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Paragraphs that hold evidence words: doc_id, of (hash of the text), place, paragraph, family, probability, shared, confirmed.
+    """Paragraphs that hold evidence: doc_id, of (hash of the text), level, place, paragraph, family, probability, shared, confirmed.
 
-    A paragraph without evidence words, a null or empty text and an empty table give no rows. Repeated rows give
+    Lines with an evidence word, or with a family more likely than not, have a row: unknown unless confirmed. A block of lines has one
+    only if it confirms a family that none of the document's lines does. A reservation of rights is proprietary only where the
+    document names no licence. A paragraph without evidence, a null or empty text and an empty table give no rows. Repeated rows give
     their paragraphs once; null ids are kept; other columns are ignored. Equal probabilities go to the class named first.
     """
     spark = docs.sparkSession
-    evidence = F.array(*[F.lit(w) for w in model.evidence or ["\0"]])
-    some = F.arrays_overlap(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), evidence)
-    held = paragraphs(docs, doc_id, text, some).withColumn("words", tokens(F.col("paragraph"))).filter(F.arrays_overlap("words", evidence)).dropDuplicates(["doc_id", "of", "place"])
+    listed = lambda x: F.array(*[F.lit(w) for w in x or ["\0"]])
+    all_words = F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+")
+    two = lambda w: F.filter(F.zip_with(w, F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b)), lambda p: p.isNotNull())
+    some = F.arrays_overlap(all_words, listed(model.evidence)) | F.arrays_overlap(two(all_words), listed(model.pairs))
+    cue = F.arrays_overlap("words", listed(model.evidence))
+    held = paragraphs(docs, doc_id, text, some).withColumn("words", tokens(F.col("paragraph"))).withColumn("cue", cue).filter(F.col("cue") | F.arrays_overlap(two(F.col("words")), listed(model.pairs))).dropDuplicates(["doc_id", "of", "level", "place"])
+    key = ["doc_id", "of", "level", "place"]
     table_ = F.broadcast(spark.createDataFrame([(g, w) for g, w in model.weights.items()], "g string, w array<double>"))  # at most VOCABULARY rows
-    parts = held.select("doc_id", "of", "place", "paragraph", "words", F.explode(grams(F.col("words"))).alias("g")).join(table_, "g", "left")
+    parts = held.select(*key, "paragraph", "words", "cue", F.explode(grams(F.col("words"))).alias("g")).join(table_, "g", "left")
     k = len(model.classes)
-    sums = parts.groupBy("doc_id", "of", "place").agg(F.first("paragraph").alias("paragraph"), F.first("words").alias("words"), F.array(*[F.coalesce(F.sum(F.get("w", F.lit(i))), F.lit(0.0)) + model.intercepts[i] for i in range(k)]).alias("z"))
+    sums = parts.groupBy(*key).agg(*[F.first(c).alias(c) for c in ("paragraph", "words", "cue")], F.array(*[F.coalesce(F.sum(F.get("w", F.lit(i))), F.lit(0.0)) + model.intercepts[i] for i in range(k)]).alias("z"))
     sums = sums.withColumn("z", F.transform("z", lambda x: x / model.temperature)).withColumn("top", F.array_max("z"))
     sums = sums.withColumn("best", F.array_position("z", F.col("top")).cast("int")).withColumn("probability", 1 / F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top"))))
     family = F.element_at(F.array(*[F.lit(c) for c in model.classes]), F.col("best"))
-    sums = sums.select("doc_id", "of", "place", "paragraph", "words", family.alias("guess"), "probability")
-    templates = spark.createDataFrame([(f, t) for f, t in dict.fromkeys(examples()) if f != UNKNOWN], "guess string, template string")
-    templates = F.broadcast(templates.select("guess", trigrams(tokens(F.col("template"))).alias("known")).groupBy("guess").agg(F.collect_list("known").alias("templates")))  # one row a family
-    both = sums.join(templates, "guess", "left").withColumn("said", trigrams(F.col("words")))
-    # Containment either way: a short notice inside a template, or a template inside a longer paragraph.
-    shared = F.coalesce(F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect("said", t)) / F.greatest(F.least(F.size("said"), F.size(t)), F.lit(1)))), F.lit(0.0))
-    both = both.withColumn("shared", shared)
+    sums = sums.select(*key, "paragraph", "words", "cue", family.alias("guess"), "probability").withColumn("shared", _confirmed(F.col("words"), F.col("guess")))
     sure = (F.col("guess") != UNKNOWN) & (F.col("probability") >= MIN_PROBABILITY) & (F.col("shared") >= MIN_SHARED)
-    return both.select("doc_id", "of", "place", "paragraph", F.when(sure, F.col("guess")).otherwise(UNKNOWN).alias("family"), "probability", "shared", sure.alias("confirmed"))
+    mine = W.partitionBy("doc_id", "of")
+    sums = sums.withColumn("sure", sure).withColumns({"in_lines": F.collect_set(F.when(F.col("sure") & (F.col("level") == "line"), F.col("guess"))).over(mine), "in_all": F.collect_set(F.when(F.col("sure"), F.col("guess"))).over(mine)})
+    likely = (F.col("guess") != UNKNOWN) & (F.col("probability") >= MIN_PROBABILITY)
+    sums = sums.filter(F.when(F.col("level") == "line", F.col("cue") | likely).otherwise(F.col("sure") & ~F.array_contains("in_lines", F.col("guess"))))
+    sure = F.col("sure") & ((F.col("guess") != "proprietary") | (F.size(F.array_remove("in_all", "proprietary")) == 0))
+    return sums.filter((F.col("level") == "line") | sure).select(*key, "paragraph", F.when(sure, F.col("guess")).otherwise(UNKNOWN).alias("family"), "probability", "shared", sure.alias("confirmed"))
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
