@@ -12,14 +12,35 @@ from quillon.catalog import load_catalog
 from quillon.functions import text as T
 from quillon.operators import charts, evaluation, quality, sessions, similarity
 from quillon.operators.validation import Contract, validate
-from quillon.plans.routing import route
+from quillon.plans.retrieval import retrieve
+from quillon.plans.routing import contracts, route
 from quillon.sources.tables import TABLES, Star, load
 from quillon.streaming import events as stream
 
 TERM = "that the"
-#: Questions that exercise the router: id, text.
-QUESTIONS = [(1, "gmv by month in 2017"), (2, "orders by category"), (3, "average delivery days by category"), (4, "delete all orders"), (5, "what is gmv"), (6, ""), (7, "hello"), (8, "gmv year over year"), (9, "sales and orders by state weekly"), (10, "positive review rate by language")]
-_ROUTED = [(1, "gmv", "", "month", "2017-01-01", "2017-12-31", "answerable"), (2, "paid_order_count", "category", None, None, None, "answerable"), (3, "average_delivery_days", "category", None, None, None, "dimension_policy"), (4, "paid_order_count", "", None, None, None, "unsupported"), (5, "gmv", "", None, None, None, "definition"), (6, "", "", None, None, None, "empty"), (7, "", "", None, None, None, "missing_metric"), (8, "gmv", "", None, None, None, "missing_time"), (9, "paid_order_count,gmv", "customer_state", "week", None, None, "answerable"), (10, "positive_review_rate", "lang", None, None, None, "answerable")]
+#: Questions that exercise the router: text, whether a result is known, metrics, dimensions, grain, first and last day, reason.
+QUESTIONS = [
+    ("gmv by month in 2017", False, "gmv", "", "month", "2017-01-01", "2017-12-31", "answerable"),
+    ("orders by category", False, "paid_order_count", "category", None, None, None, "answerable"),
+    ("average delivery days by category", False, "average_delivery_days", "category", None, None, None, "dimension_policy"),
+    ("delete all orders", False, "paid_order_count", "", None, None, None, "unauthorized"),
+    ("what is gmv", False, "gmv", "", None, None, None, "definition"),
+    ("", False, "", "", None, None, None, "empty"),
+    ("hello", False, "", "", None, None, None, "missing_metric"),
+    ("gmv year over year", False, "gmv", "", None, None, None, "answerable"),
+    ("sales and orders by state weekly", False, "paid_order_count,gmv", "customer_state", "week", None, None, "answerable"),
+    ("positive review rate by language", False, "positive_review_rate", "lang", None, None, None, "answerable"),
+    ("help", False, "", "", None, None, None, "help"),
+    ("this result by month", True, "", "", "month", None, None, "followup_new_scope"),
+    ("why so high", True, "", "", None, None, None, "followup"),
+    ("why so high", False, "", "", None, None, None, "followup_without_result"),
+    ("what is churn", False, "", "", None, None, None, "general_definition"),
+    ("how can we improve good reviews", False, "positive_review_rate", "", None, None, None, "general_business"),
+    ("gmv last month", False, "gmv", "", None, None, None, "missing_time"),
+    ("highest gmv", False, "gmv", "", None, None, None, "missing_comparison"),
+    ("forecast the gmv of next year", False, "gmv", "", None, None, None, "unsupported"),
+    ("gmv growth compared with 2016", False, "gmv", "", None, "2016-01-01", "2016-12-31", "answerable"),
+]
 #: Questions, failures and raw cells that are dealt out over whole tables by id.
 FAILURES = ("ERROR: column x.y does not exist", "canceling statement due to statement timeout", "[TABLE_OR_VIEW_NOT_FOUND] t", "permission denied for table a", "[PARSE_SYNTAX_ERROR] near x", "something else", "could not connect to server")
 
@@ -143,13 +164,28 @@ def raw_converted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.unionByName(bad.select(F.col("id").cast("long").alias("id"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("double").alias("amount"), F.lit(None).cast("string").alias("seen_at"), F.lit(None).cast("string").alias("state"), F.array_join("bad_columns", ",").alias("bad")))
 
 
-def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _asked_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event asks one of QUESTIONS, by its id."""
-    asked = load(spark, sf_dir, "events").select(F.col("event_id").alias("id"), _pick([t for _, t in QUESTIONS], F.col("event_id")).alias("question"))
-    q = route(asked, load_catalog())
+    k = F.col("event_id")
+    return load(spark, sf_dir, "events").select(k.alias("id"), _pick([q[0] for q in QUESTIONS], k).alias("question"), F.when(_pick([q[1] for q in QUESTIONS], k), "gmv was 5").alias("summary"))
+
+
+def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = route(_asked_questions(spark, sf_dir), load_catalog(), result=F.col("summary"))
     return q.select("id", F.array_join("metric_ids", ",").alias("metrics"), F.array_join("dimensions", ",").alias("dimensions"), "grain", F.col("range.start").alias("first_day"), F.col("range.end").alias("last_day"), "reason")
 
 
+def question_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = contracts(route(_asked_questions(spark, sf_dir), load_catalog(), result=F.col("summary")), load_catalog()).filter("contract IS NOT NULL")
+    return q.select("id", F.array_join("contract.required", ",").alias("required"), F.col("contract.start").alias("first_day"), F.array_join("contract.warnings", ",").alias("warnings"))
+
+
+def catalog_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event asks one of QUESTIONS; what of the catalog it needs."""
+    r = retrieve(_asked_questions(spark, sf_dir), load_catalog())
+    return r.select("id", F.array_join("metrics", ",").alias("metrics"), F.array_join("tables", ",").alias("tables"), F.array_join("joins", ",").alias("joins"), "reason")
+
+
 def validated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts on three results: a good one, one whose item join multiplied orders, and an empty one."""
     star = Star(spark, sf_dir)
@@ -262,6 +298,8 @@ QUERIES = {
     "trajectory_scores": trajectory_scores,
     "golden_differences": golden_differences,
     "routed_questions": routed,
+    "question_contracts": question_contracts,
+    "catalog_context": catalog_context,
     "validated_results": validated,
     "ui_search": ui_search,
     "formatted_values": formatted_overview,
@@ -272,7 +310,7 @@ QUERIES = {
     "events_sessions": lambda s, d: stream.sessions(load(s, d, "events")),
 }
 
-_EV = "VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x) for x in (i - 1, *r)) + ")" for i, *r in _ROUTED)
+_EV = "VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x) for x in (i, *r)) + ")" for i, (_, _, *r) in enumerate(QUESTIONS))
 _DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE)))"
 _VEC = f"""(SELECT query_id, vec_id, dot, dot / (sqrt({_DOT.format('embedding', 'embedding')}) * sqrt({_DOT.format('q', 'q')})) AS cosine, l2 FROM (
   SELECT query_id, vec_id, embedding, q, {_DOT.format('embedding', 'q')} AS dot,
@@ -359,7 +397,8 @@ ORACLES = {
     "best_variants": " UNION ALL ".join(f"SELECT '{m}' AS metric, (SELECT variant FROM {_REPORT} ORDER BY {c}, variant LIMIT 1) AS best_variant" for m, c in {"score": "-avg_score", "time": "avg_millis", "pass_rate": "-pass_rate"}.items()),
     "trajectory_scores": "WITH j AS (SELECT b.item_id, lower(b.text) AS t, string_split(lower(b.text), ' ') AS e, string_split(lower(o.text), ' ') AS a, string_split(lower(x.text), ' ') AS x FROM benchmark b JOIN benchmark o ON o.item_id = b.item_id + 1 JOIN benchmark x ON x.item_id = b.item_id + 2) SELECT item_id, greatest(round(1 - CAST(0.5 AS DOUBLE) * (len(list_filter(e, lambda w: NOT list_contains(a, w))) / CAST(len(e) AS DOUBLE)) - CAST(0.5 AS DOUBLE) * (len(list_filter(x, lambda w: list_contains(a, w))) / CAST(len(x) AS DOUBLE)), 6), 0.0) AS trajectory, round((CAST(contains(t, 'the') AS INT) + CAST(contains(t, 'of ') AS INT) + CAST(NOT contains(t, 'zz') AS INT) + CAST(NOT contains(t, 'of the') AS INT)) / CAST(4 AS DOUBLE), 6) AS output FROM j",
     "golden_differences": "SELECT CAST(n_nationkey AS INT) AS key, 'n_regionkey' AS field, CAST(n_regionkey AS VARCHAR) AS expected, CASE WHEN n_nationkey = 3 THEN NULL ELSE CAST(n_regionkey + 1 AS VARCHAR) END AS actual FROM nation WHERE n_nationkey % 7 = 0 OR n_nationkey = 3 UNION ALL SELECT n_nationkey, 'n_name', n_name, NULL FROM nation WHERE n_nationkey = 3",
-    "routed_questions": f"SELECT event_id AS id, metrics, dimensions, grain, first_day, last_day, reason FROM events JOIN ({_EV}) t(k, metrics, dimensions, grain, first_day, last_day, reason) ON event_id % {len(_ROUTED)} = k",
+    "routed_questions": f"SELECT event_id AS id, metrics, dimensions, grain, first_day, last_day, reason FROM events JOIN ({_EV}) t(k, metrics, dimensions, grain, first_day, last_day, reason) ON event_id % {len(QUESTIONS)} = k",
+    "question_contracts": f"SELECT event_id AS id, concat_ws(',', nullif(metrics, ''), nullif(dimensions, ''), CASE WHEN grain IS NOT NULL THEN 'time' END) AS required, first_day, concat_ws(',', CASE WHEN first_day IS NULL THEN 'no_time_range' END, CASE WHEN contains(metrics, ',') AND dimensions <> '' THEN 'dimensions_shared_by_metrics' END) AS warnings FROM events JOIN ({_EV}) t(k, metrics, dimensions, grain, first_day, last_day, reason) ON event_id % {len(QUESTIONS)} = k WHERE reason IN ('answerable', 'followup_new_scope')",
     "validated_results": "SELECT 'good' AS name, CASE WHEN max(c) > 1 THEN 'refuse' WHEN count(*) = 0 THEN 'needs_clarification' ELSE 'valid' END AS state, CASE WHEN max(c) > 1 THEN 'join_multiplied_rows' WHEN count(*) = 0 THEN 'empty' ELSE 'ok' END AS reason FROM (SELECT count(*) AS c FROM orders GROUP BY o_orderkey) UNION ALL SELECT 'multiplied', CASE WHEN max(c) > 1 THEN 'refuse' ELSE 'valid' END, CASE WHEN max(c) > 1 THEN 'join_multiplied_rows' ELSE 'ok' END FROM (SELECT count(*) AS c FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_orderkey) UNION ALL SELECT 'empty', CASE WHEN count(*) = 0 THEN 'needs_clarification' ELSE 'valid' END, CASE WHEN count(*) = 0 THEN 'empty' ELSE 'ok' END FROM orders WHERE false UNION ALL SELECT 'missing', 'refuse', 'missing_column:nothing' FROM (SELECT count(*) FROM information_schema.columns WHERE table_name = 'orders' AND column_name = 'nothing' HAVING count(*) = 0)",
     "ui_search": "SELECT c_custkey, c_acctbal, c_mktsegment FROM customer WHERE lower(c_mktsegment) LIKE '%mach%' OR lower(c_name) LIKE '%mach%' ORDER BY c_acctbal DESC NULLS LAST, c_custkey LIMIT 100",
     "formatted_values": "SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'no data' WHEN event_id % 4 = 0 THEN printf('%.2f', floor(value) * 100) || '%' WHEN event_id % 4 = 1 THEN printf('%.2f', floor(value)) || ' days' WHEN event_id % 4 = 2 THEN CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) ELSE printf('%.2f', floor(value)) END AS shown FROM events",
