@@ -3,8 +3,10 @@
 P(w | v) = d(c) c(v w) / c(v) if the bigram was seen, else alpha(v) P(w); P(w) = d(c) c(w) / N if the word was
 seen, else the mass that the seen words leave, as one class of unknown words. d is the Good-Turing discount for
 counts up to CUTOFF. alpha(v) is the mass that the seen successors of v leave, divided by the unigram mass of all
-other words, so that the probabilities after v add up to one. Counts above CUTOFF keep all but LARGE_DISCOUNT of
-their mass, so that every context leaves some.
+other words, so that the probabilities after v add up to one. Katz's own rule leaves counts above CUTOFF as they are; here they keep
+all but LARGE_DISCOUNT of their mass, so that a context of frequent successors only leaves some, too.
+
+This is the scoring of the corpus that the model is learned from; `katz_model` stores the model as tables and scores other texts.
 
 Blocks of documents ask key ranges: first for words (ids, counts), then for bigrams (counts, and what alpha needs of
 each context). The answers are written tables, partitioned by range. Then each block scores its documents.

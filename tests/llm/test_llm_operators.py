@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quillon.llm import blocks, components, op1_licenses, op2_katz, op3_simhash, op4_substrings, op5_chat, op6_decontaminate, op7_langid, op8_search, op9_tokens, op10_mix, registry
+from quillon.llm import blocks, components, katz_model, op1_licenses, op2_katz, op3_simhash, op4_substrings, op5_chat, op6_decontaminate, op7_langid, op8_search, op9_tokens, op10_mix, registry
 from quillon.llm.words import Hashes, bounded
 
 LONG = " ".join(f"word{i % 997} the of" for i in range(30_000))
@@ -235,6 +235,30 @@ def test_katz(spark, sf, docs, empty):
     assert [r["score"] for r in nothing] == [0.0, 0.0]
 
 
+def test_katz_model_as_tables(spark, sf, docs, empty):
+    """The stored model scores as the corpus scorer does, for texts it learned from and others, and each context adds up to one."""
+    df = spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id < 60").select("doc_id", "text").union(docs.select(F.col("doc_id") + 1000, "text"))
+    unseen = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
+    want = {r["doc_id"]: r for r in op2_katz.score(df, unseen).collect()}
+    model = katz_model.fit(df.filter(~unseen))
+    assert model.tokens == next(iter(want.values()))["train_tokens"] and "bucket" in model.bigrams.columns
+    got = katz_model.score_texts(df, model).collect()
+    assert len(got) == len(want)
+    for r in got:
+        w = want[r["doc_id"]]
+        assert (r["n_tokens"], r["n_known"]) == (w["n_tokens"], w["n_known"]) and abs(r["score"] - w["score"]) < 1e-6
+    p1 = {r["word"]: r["p"] for r in model.unigrams.collect()}
+    alpha = {r["context"]: r["alpha"] for r in model.contexts.collect()}
+    after = defaultdict(dict)
+    for r in model.bigrams.collect():
+        after[r["context"]][r["word"]] = r["p"]
+    for v in list(after)[:50]:
+        assert abs(sum(after[v].values()) + alpha[v] * (1 - sum(p1[w] for w in after[v])) - 1) < 1e-9
+    assert katz_model.score_texts(empty, model).count() == 0
+    nothing = katz_model.fit(empty)
+    assert {r["score"] for r in katz_model.score_texts(docs.filter("doc_id < 3"), nothing).collect()} == {0.0}
+
+
 # --- 3 -------------------------------------------------------------------------------------------------------------
 
 
