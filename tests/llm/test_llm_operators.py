@@ -426,6 +426,35 @@ def test_language(spark, docs, empty):
     assert nothing == [] and {r["lang_pred"] for r in op7_langid.identify(docs, nothing).collect()} == {"und"}
 
 
+def test_language_against_brute_force(spark, sf, docs):
+    """Sizes by plain loops over chunks; ties go to the language named first and are rejected, one language alone is sure, short texts are judged too."""
+    import zstandard
+
+    learned = op7_langid.dictionaries(spark.read.parquet(f"{sf}/documents.parquet"))
+    rows = spark.createDataFrame([(1, "a"), (2, "der Hund und die Katze"), (3, "x" * 10_000), (4, "Ça va? 12"), (5, "12")], "doc_id long, text string")
+    for known in (learned, [("one", learned[0][1]), ("two", learned[0][1])], learned[:1], []):
+        everything = rows.union(docs.select(F.col("doc_id") + 100, "text")).union(spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id + 1000", "text"))
+        got = {r["doc_id"]: r for r in op7_langid.identify(everything, known).collect()}
+        for r in everything.collect():
+            data = " ".join(w for w in "".join(c if c.isalpha() else " " for c in (r["text"] or "").lower()).split()).encode()
+            g = got[r["doc_id"]]
+            if not data or not known:
+                assert (g["lang_pred"], g["score"], g["rejected"]) == ("und", 0.0, True)
+                continue
+            sizes = []
+            for _, raw in known:
+                d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                d.precompute_compress(level=op7_langid.LEVEL)
+                coder = zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_dict_id=False)
+                sizes.append(sum(len(coder.compress(data[i : i + op7_langid.CHUNK])) for i in range(0, len(data), op7_langid.CHUNK)))
+            best = sizes.index(min(sizes))
+            others = [x for k, x in enumerate(sizes) if k != best]
+            margin = (min(others) - sizes[best]) / min(others) if others else 1.0
+            assert g["lang_pred"] == known[best][0] and abs(g["margin"] - margin) < 1e-12 and g["rejected"] == (margin < op7_langid.MIN_MARGIN) and 0 <= g["score"] <= 1
+        if len(known) == 2 and known[0][0] == "one":
+            assert all(r["rejected"] for r in got.values()) and {r["lang_pred"] for r in got.values()} == {"one", "und"}
+
+
 # --- 8 -------------------------------------------------------------------------------------------------------------
 
 
