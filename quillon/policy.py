@@ -6,14 +6,19 @@ result column depends on, through any CTE, derived table or set operation.
 
 from __future__ import annotations
 
+import hashlib
 import threading
+import time
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from datetime import UTC, datetime
 
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.catalog import Catalog
+from quillon.operators.quality import append_audit
+from quillon.operators.validation import Contract, Verdict, validate
 
 ROW_LIMITS = {"analyst": 200, "admin": 1000}
 TIMEOUT_SECONDS = 5.0
@@ -220,9 +225,8 @@ def _check_output(parsed, df: DataFrame, catalog: Catalog) -> None:
         node = kids[0]
 
 
-def run(spark: SparkSession, sql: str, catalog: Catalog, role: str = "analyst", timeout: float = TIMEOUT_SECONDS) -> list:
-    """Rows of a checked query; its jobs are cancelled at the timeout."""
-    decision = evaluate(spark, sql, catalog, role)
+def _rows(spark: SparkSession, decision: Decision, timeout: float) -> list:
+    """The result's rows, at most the decision's limit; its jobs are cancelled at the timeout."""
     group = f"policy-{id(decision)}"
     spark.sparkContext.setJobGroup(group, decision.sql[:100], interruptOnCancel=True)
     timer = threading.Timer(timeout, spark.sparkContext.cancelJobGroup, [group])
@@ -234,6 +238,35 @@ def run(spark: SparkSession, sql: str, catalog: Catalog, role: str = "analyst",
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
+def run(spark: SparkSession, sql: str, catalog: Catalog, role: str = "analyst", timeout: float = TIMEOUT_SECONDS) -> list:
+    """Rows of a checked query; its jobs are cancelled at the timeout."""
+    return _rows(spark, evaluate(spark, sql, catalog, role), timeout)
+
+
+def guarded(spark: SparkSession, sql: str, catalog: Catalog, contract: Contract | None = None, audit: str | None = None, role: str = "analyst", timeout: float = TIMEOUT_SECONDS) -> tuple[DataFrame | None, Verdict]:
+    """(rows, verdict) of one scan: policy, the role's limit, execution under the timeout, validation against the contract, and an audit row.
+
+    The rows are None unless the verdict is valid or, without a contract, always there. A result as long as the role's limit counts as cut
+    off. A refused or failed query raises as in `run`; it is audited all the same, with its secrets replaced.
+    """
+    began, seen = time.monotonic(), {"status": "failed", "reason": "", "rows": 0, "tables": ""}
+    try:
+        decision = evaluate(spark, sql, catalog, role)
+        rows = _rows(spark, decision, timeout)
+        seen |= {"rows": len(rows), "tables": ",".join(decision.tables)}
+        df = spark.createDataFrame(rows, decision.result.schema)
+        verdict = Verdict("valid", "unchecked", len(rows)) if contract is None else validate(df, replace(contract, limit_applied=contract.limit_applied or len(rows) >= ROW_LIMITS[role]))
+        seen |= {"status": verdict.state, "reason": verdict.reason}
+        return (df if verdict.state == "valid" else None), verdict
+    except PolicyViolation as e:
+        seen |= {"status": "refused", "reason": e.code}
+        raise
+    finally:
+        if audit:
+            row = (datetime.now(UTC).replace(tzinfo=None), role, hashlib.sha256(sql.encode()).hexdigest()[:16], sql, seen["tables"], seen["status"], seen["reason"], seen["rows"], int((time.monotonic() - began) * 1000))
+            append_audit(spark.createDataFrame([row], "created_at timestamp, role string, fingerprint string, sql string, tables string, status string, reason string, rows long, millis long"), audit)
+
+
 def run_with_repair(spark: SparkSession, sql: str, catalog: Catalog, candidate: Callable[[str, str], str | None], role: str = "analyst") -> list:
     """Rows of a query; if it names something unknown or is misspelt, of one other candidate, which meets the same policy."""
     try:

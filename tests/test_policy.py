@@ -2,6 +2,7 @@ import pytest
 
 from quillon import catalog as C
 from quillon import policy
+from quillon.operators.validation import Contract
 
 REFUSED = [
     "DELETE FROM orders", "UPDATE orders SET o_orderstatus = 'x'", "INSERT INTO orders VALUES ('x')", "DROP TABLE orders", "SELECT 1; DROP TABLE orders", "SELECT * FROM information_schema.tables",
@@ -65,3 +66,18 @@ def test_one_repair(spark, catalog):
     with pytest.raises(policy.PolicyViolation):
         policy.run_with_repair(spark, "DROP TABLE nation", catalog, candidate)
     assert asked == ["not_resolved", "syntax", "not_resolved"]
+
+
+def test_guarded_scan(spark, catalog, tmp_path):
+    log = str(tmp_path / "audit")
+    rows, verdict = policy.guarded(spark, "SELECT n_name AS name, n_regionkey AS size FROM nation LIMIT 5", catalog, Contract(("name",), ("size",)), log)
+    assert rows.count() == 5 and verdict.state == "valid"
+    rows, verdict = policy.guarded(spark, "SELECT o_orderstatus AS name FROM orders", catalog, Contract(("name",)), log)
+    assert rows is None and verdict.truncated
+    rows, verdict = policy.guarded(spark, "SELECT n_name AS name FROM nation WHERE false", catalog, Contract(("name",)), log)
+    assert rows is None and verdict.reason == "empty"
+    with pytest.raises(policy.PolicyViolation):
+        policy.guarded(spark, 'SELECT o_orderkey FROM orders WHERE o_orderstatus = \'{"password":"hunter2"}\'', catalog, audit=log)
+    audit = spark.read.parquet(log).orderBy("created_at").collect()
+    assert [(r["status"], r["reason"], r["rows"]) for r in audit] == [("valid", "ok", 5), ("needs_clarification", "truncated", 200), ("needs_clarification", "empty", 0), ("refused", "sensitive_column", 0)]
+    assert audit[0]["tables"] == "nation" and "hunter2" not in str(audit)
