@@ -32,7 +32,9 @@ UNITS = "kg g mg lb oz km m cm mm mi ft in l ml h hr hrs min s sec ms hours hour
 #: Numbers in words.
 _UP_TO_NINE = "one two three four five six seven eight nine".split()
 _NUMBERS = [*_UP_TO_NINE, *"zero ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split()]
-_WORDS = rf"(?:{'|'.join(_NUMBERS)})(?:-(?:{'|'.join(_UP_TO_NINE)}))?"
+# Branches by first letter, so that most words fail at once.
+_BY_LETTER = "|".join(f"{a}(?:{'|'.join(w[1:] for w in _NUMBERS if w[0] == a)})" for a in sorted({w[0] for w in _NUMBERS}))
+_WORDS = rf"(?:{_BY_LETTER})(?:-(?:{'|'.join(_UP_TO_NINE)}))?"
 _SPLIT = r"[\x20\x09-\x0D]+"
 #: A capitalised word: any one, and one inside a sentence.
 _NAMES = rf"""(?<![^\x20\x09-\x0D])["'(\[“‘]*(?!(?i:{_WORDS})(?!\p{{L}}))\p{{Lu}}\p{{Ll}}+(?=[\p{{P}}\p{{S}}]*(?:[\x20\x09-\x0D]|$))"""
