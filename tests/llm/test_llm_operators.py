@@ -542,3 +542,13 @@ def test_mix(spark, sf, docs, empty):
         took[s] += k
         goal[s] = t
     assert all(abs(took[s] - goal[s]) <= 0.1 * goal[s] for s in goal)
+
+
+def test_shard_ends_with_a_frequent_term():
+    """Postings of the last term, which many documents of several runs have, are read to their end."""
+    texts = [f"own{i} common last" for i in range(300)]
+    row = op8_search.index_shard(pa.table({"doc_id": pa.array(range(300), pa.int64()), "text": texts}))
+    shard = op8_search.Shard({c: pa.array(row[c]) for c in op8_search.LISTS}, 3.0)
+    place = row["terms"].index("last")
+    scores, docs = shard.search(np.array([place]), np.array([2.0]), np.empty(0), np.empty(0, np.int64), 5)
+    assert docs.tolist() == [0, 1, 2, 3, 4] and np.allclose(scores, 2.0)
