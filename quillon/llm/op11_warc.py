@@ -158,7 +158,7 @@ def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url
     new = rows.repartition(n, "row").join(again.select("row").repartition(n, "row"), "row", "left_anti").select(*_fields(rows))
     old = again.select(*_fields(again)).repartition(max(1, -(-again.count() // REVISITS)))
     # Frames are bytes; the cast to string only passes them on.
-    out = new.mapInArrow(frames, "frame binary").unionAll(old.mapInArrow(frames, "frame binary"))
+    out = new.unionAll(old).mapInArrow(frames, "frame binary")
     out.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", EMPTY_FRAME).text(path)
     for t in (rows, again):
         discard(t)
