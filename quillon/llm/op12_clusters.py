@@ -169,10 +169,10 @@ def cluster(vectors: DataFrame, k: int = CLUSTERS, rounds: int = ROUNDS, vec_id:
         old, bounds = bounds, Bucketed(moved, n)
         if old:
             old.drop()
-        change = bounds.rows.filter("n IS NOT NULL").select("cluster", "n", F.posexplode("sums").alias("i", "v")).groupBy("cluster", "i")
-        for r in change.agg(F.sum("n").alias("n"), F.sum(F.col("v").cast("decimal(38,0)")).alias("v")).collect():
-            sums[r.cluster][r.i] += int(r.v)
-            counts[r.cluster] += int(r.n) if r.i == 0 else 0
+        change = bounds.rows.filter("n IS NOT NULL").groupBy("cluster").agg(F.sum("n").alias("n"), *[F.sum(F.get("sums", F.lit(i)).cast("decimal(38,0)")).alias(f"s{i}") for i in range(dimensions)])
+        for r in change.collect():
+            counts[r.cluster] += int(r.n)
+            sums[r.cluster] = [s + int(r[f"s{i}"]) for i, s in enumerate(sums[r.cluster])]
         before, centroids = centroids, [[s // c for s in row] if c else old_row for row, c, old_row in zip(sums, counts, centroids, strict=True)]
     done = materialize(known().mapInArrow(_final(Round(centroids, before), dimensions), f"vec_id {kind.simpleString()}, cluster int, distance long"), "clusters")
     for t in (stored, bounds):
