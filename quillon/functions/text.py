@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -9,7 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BooleanType, DataType, DateType, DecimalType, DoubleType, FloatType, IntegralType, StringType, TimestampNTZType, TimestampType
 
 #: A key that contains one of these hides its value.
 SECRET_KEYS = ("password", "secret", "token", "api_key", "apikey", "credential", "auth", "private_key", "access_key")
@@ -48,12 +49,58 @@ def redact(values: Column) -> Column:
     return F.transform_values(values, lambda k, v: F.when(F.lower(k).rlike(pattern), F.lit("[REDACTED]")).otherwise(v))
 
 
+_SECRET = re.compile("|".join(map(re.escape, SECRET_KEYS)), re.IGNORECASE)
+_HIDDEN = "[REDACTED]"
+#: What parsing cannot reach: secrets in text that only looks like JSON. A value that is open to the end hides the rest.
+_PLAIN = re.compile(rf'"([^"\\]*(?:{_SECRET.pattern})[^"\\]*)"\s*:\s*("(?:[^"\\]|\\.)*"|[^,}}\]\s"\[{{]+)', re.IGNORECASE)
+_INSIDE = re.compile(rf'\\+"([^"\\]*(?:{_SECRET.pattern})[^"\\]*)\\+"\s*:\s*(\\+"[^"\\]*\\+"|[^,}}\]\s"\\\[{{]+)', re.IGNORECASE)
+_OPEN = re.compile(rf'(\\*")([^"\\]*(?:{_SECRET.pattern})[^"\\]*)\\*"\s*:\s*(?:[\[{{]|\\*"[^"]*$).*', re.IGNORECASE | re.DOTALL)
+_DECODER = json.JSONDecoder()
+#: Brackets that begin no JSON, after which the rest of a text is left to the patterns.
+_TRIES = 1000
+
+
+def _clean(value: object) -> object:
+    """A JSON value with the whole values of secret keys replaced, whatever their type, also in JSON inside strings."""
+    if isinstance(value, dict):
+        return {k: _HIDDEN if _SECRET.search(k) else _clean(v) for k, v in value.items()}
+    if isinstance(value, list):
+        return [_clean(v) for v in value]
+    return scrub(value) if isinstance(value, str) and _SECRET.search(value) else value
+
+
+def scrub(text: str) -> str:
+    """Text with secrets replaced in every JSON value that it holds; other text stays as it is."""
+    out, done, tries = [], 0, 0
+    at = re.search(r"[\[{]", text)
+    while at and tries < _TRIES:
+        try:
+            value, end = _DECODER.raw_decode(text, at.start())
+            cleaned = _clean(value)
+        except RecursionError:
+            return "".join(out) + text[done : at.start()] + _HIDDEN
+        except json.JSONDecodeError:
+            tries, end = tries + 1, at.start() + 1
+        else:
+            whole = text[at.start() : end] if cleaned == value else json.dumps(cleaned, ensure_ascii=False, separators=(",", ":"))
+            out += [text[done : at.start()], whole]
+            done = end
+        at = re.compile(r"[\[{]").search(text, end)
+    rest = "".join(out) + text[done:]
+    rest = _INSIDE.sub(lambda m: f'\\"{m[1]}\\":\\"{_HIDDEN}\\"', _PLAIN.sub(lambda m: f'"{m[1]}":"{_HIDDEN}"', rest))
+    return _OPEN.sub(lambda m: f"{m[1]}{m[2]}{m[1]}:{m[1]}{_HIDDEN}{m[1]}" if _HIDDEN not in m[0][:80] else m[0], rest)
+
+
+@F.pandas_udf(StringType())
+def _scrub(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for s in batches:
+        yield s.map(lambda x: None if x is None else scrub(x))
+
+
 def redact_json(text: Column) -> Column:
-    """JSON text with the values of secret keys replaced, also in JSON inside its strings."""
-    keys = "|".join(map(re.escape, SECRET_KEYS))
-    plain = rf'(?i)"([^"\\]*(?:{keys})[^"\\]*)"\s*:\s*("(?:[^"\\]|\\.)*"|[^,}}\]\s"\[{{]+)'
-    inside = rf'(?i)\\"([^"\\]*(?:{keys})[^"\\]*)\\"\s*:\s*(\\"[^"\\]*\\"|[^,}}\]\s"\\\[{{]+)'
-    return F.regexp_replace(F.regexp_replace(text, plain, '"$1":"[REDACTED]"'), inside, r'\\"$1\\":\\"[REDACTED]\\"')
+    """Text with the values of secret keys replaced in all JSON that it holds. Only texts that name such a key leave the JVM."""
+    named = F.when(F.lower(text).rlike("|".join(map(re.escape, SECRET_KEYS))), text)
+    return F.coalesce(_scrub(named), text)
 
 
 def snippet(text: Column, term: str, around: int = 60) -> Column:
@@ -114,9 +161,21 @@ def format_value(metric_id: Column, value: Column) -> Column:
     )
 
 
-def json_safe(value: Column) -> Column:
-    """Doubles for JSON: no NaN or infinity, six places."""
-    return F.when(F.isnan(value) | (F.abs(value) == float("inf")), None).otherwise(F.round(value, 6))
+def json_safe(value: Column, kind: DataType | None = None) -> Column:
+    """A value for JSON by its type (a double if none is given): numbers without NaN or infinity at six places, at most 160 characters of
+    text, ISO dates and times; whole numbers and booleans as they are, anything else as text."""
+    if kind is None or isinstance(kind, DoubleType | FloatType):
+        return F.when(F.isnan(value) | (F.abs(value) == float("inf")), None).otherwise(F.round(value, 6))
+    if isinstance(kind, DecimalType):
+        return F.round(value.cast("double"), 6)
+    if isinstance(kind, DateType):
+        return F.date_format(value, "yyyy-MM-dd")
+    if isinstance(kind, TimestampType | TimestampNTZType):
+        micros = F.when(F.date_format(value, "SSSSSS") != "000000", F.date_format(value, ".SSSSSS")).otherwise("")
+        return F.concat(F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss"), micros)
+    if isinstance(kind, IntegralType | BooleanType):
+        return value
+    return F.left(value.cast("string"), F.lit(160))
 
 
 #: Error categories by pattern, in order, and whether one repair may be tried.

@@ -29,10 +29,12 @@ def convert(df: DataFrame, spec: dict[str, tuple[str, Callable[[Column], Column]
 
 
 def require_clean(rejected: DataFrame, name: str) -> None:
-    """Fail with the number of bad rows and one example."""
-    row = rejected.agg(F.count("*").alias("n"), F.first("bad_columns").alias("example")).first()
+    """Fail with the number of bad rows and one example: its columns, and its file and row if it comes from `sources.release.raw`."""
+    place = [c for c in ("_file", "_row") if c in rejected.columns]
+    row = rejected.agg(F.count("*").alias("n"), F.min_by(F.struct("bad_columns", *place), *(["_row"] if place else [F.size("bad_columns")])).alias("example")).first()
     if row["n"]:
-        raise BadRows(f"{name}: {row['n']} rows cannot be read, one in {', '.join(row['example'])}")
+        at = f" at {row['example']['_file']} row {row['example']['_row']}" if place else ""
+        raise BadRows(f"{name}: {row['n']} rows cannot be read, one{at} in {', '.join(row['example']['bad_columns'])}")
 
 
 def split_by_parent(child: DataFrame, parent: DataFrame, key: str, reason: str) -> tuple[DataFrame, DataFrame]:
@@ -101,20 +103,6 @@ def swap(fs, staging, target, old) -> None:
     fs.delete(old, True)
 
 
-def publish_all(frames: dict[str, DataFrame], root: str, expected: dict[str, int] | None = None, fmt: str = "parquet") -> None:
-    """All tables or none: each is written beside its target, rows are compared with `expected`, and only then all are renamed."""
-    for name, df in frames.items():
-        df.write.mode("overwrite").format(fmt).save(f"{root}/{name}__staging")
-    spark = next(iter(frames.values())).sparkSession
-    for name, n in (expected or {}).items():
-        if (found := spark.read.format(fmt).load(f"{root}/{name}__staging").count()) != n:
-            raise BadRows(f"{name}: {found} rows instead of {n}")
-    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
-    path = lambda p: jvm.org.apache.hadoop.fs.Path(f"{root}/{p}")
-    for name in frames:
-        swap(path(name).getFileSystem(conf), path(f"{name}__staging"), path(name), path(f"{name}__old"))
-
-
 def checksums(spark: SparkSession, path: str) -> DataFrame:
     """path, sha256 of every file under a folder."""
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
@@ -128,13 +116,28 @@ def verify_checksums(spark: SparkSession, path: str, manifest: dict[str, str]) -
         raise BadRows(f"missing or changed files: {', '.join(wrong)}")
 
 
-def write_artifact(df: DataFrame, path: str, limit: int = 1000) -> None:
-    """A result as CSV with header; nulls are empty, values with commas, quotes or newlines are quoted."""
-    publish(df.limit(limit).coalesce(1), path, "csv", header="true", escape='"', nullValue="")
+#: Characters of a result that are shown beside its file.
+PREVIEW = 1000
+
+
+def write_artifact(df: DataFrame, path: str, limit: int = 1000) -> str:
+    """A result as CSV with header; nulls are empty, values with commas, quotes or newlines are quoted. Returns a preview of it."""
+    few = df.limit(limit)
+    publish(few.coalesce(1), path, "csv", header="true", escape='"', nullValue="")
+    return preview(few)
+
+
+def preview(df: DataFrame, chars: int = PREVIEW) -> str:
+    """The first characters of a small result's CSV, and a note if there are more."""
+    line = F.to_csv(F.struct(*[F.col(c).cast("string").alias(c) for c in df.columns]), {"escape": '"', "nullValue": ""})
+    # A row has a line of its own at least, so no more rows than characters are needed.
+    text = ",".join(df.columns) + "\n" + "".join(f"{r[0]}\n" for r in df.limit(chars).select(F.left(line, F.lit(chars + 1))).collect())
+    return text if len(text) <= chars else f"{text[:chars]}\n(Results truncated to {chars} characters.)"
 
 
 def append_audit(df: DataFrame, path: str) -> None:
-    """Audit rows as Parquet, one folder a day, with secrets replaced: in columns and map keys with secret names, and in JSON text.
+    """Audit rows as Parquet, one folder a day, with secrets replaced: the whole values of columns and keys with secret names, at any depth of
+    maps, structs, arrays and JSON text.
 
     `line` is the row as JSON, for logs.
     """
@@ -145,7 +148,10 @@ def append_audit(df: DataFrame, path: str) -> None:
         c = F.col(f"`{f.name}`")
         if secret.search(f.name.lower()):
             return F.when(c.isNotNull(), F.lit("[REDACTED]")).alias(f.name)
-        return (T.redact(c) if kind == "map<string,string>" else T.redact_json(c) if kind == "string" else c).alias(f.name)
+        if kind == "string":
+            return T.redact_json(c).alias(f.name)
+        # Maps, structs and arrays are cleaned as JSON; a number under a secret key becomes null.
+        return (F.from_json(T.redact_json(F.to_json(c)), f.dataType) if kind.startswith(("map", "struct", "array")) else c).alias(f.name)
 
     clean = df.select(*map(safe, df.schema))
     clean.withColumn("day", F.to_date("created_at")).withColumn("line", T.redact_json(F.to_json(F.struct(*df.columns)))).write.mode("append").partitionBy("day").parquet(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.plans import data_queries, metric_queries
+from quillon.plans import data_queries, metric_queries, stored_queries
 
-QUERIES = metric_queries.QUERIES | data_queries.QUERIES
-ORACLES = metric_queries.ORACLES | data_queries.ORACLES
+QUERIES = metric_queries.QUERIES | data_queries.QUERIES | stored_queries.QUERIES
+ORACLES = metric_queries.ORACLES | data_queries.ORACLES | stored_queries.ORACLES

@@ -33,6 +33,8 @@ GENERAL_BUSINESS = r"(?i)通常|一般|为什么会|原因|如何提升|怎么
 DATA_CONTEXT = r"(?i)当前数据|这份数据|本数据|数据库中|查一下|查当前|实际数据|数据里|数据中|基于当前|结合当前|从结果看|本次结果|本轮结果|in (our|the) data"
 DATA_REQUEST = r"(?i)概览|多少|数值|统计|查询|查一下|排名|前[一二三四五六七八九十0-9]+|总|平均|比例|数量|金额|按.{0,10}(州|地区|品类|城市|卖家|月|周|日|年)|同比|环比|\b(how many|total|top \d+|by (day|week|month|quarter|year|state|category))\b"
 RELATIVE_TIME = r"(?i)本月|本周|本季度|今年|最近|近[一二三四五六七八九十0-9]+天|上月|上个月|去年|过去|\b(this|last) (week|month|quarter|year)\b|recently"
+CAUSE = r"(?i)归因|原因|影响因素|驱动因素|为什么.*(?:下降|增长|变化|异常)|\b(root cause|cause of|reasons? (for|behind)|what drives|driven by)\b"
+#: Words that name a baseline themselves (year over year, month over month) need none, so they stand in BASELINE only.
 NEEDS_BASELINE = r"(?i)相比|对比|比较|变化|增长|下降|趋势|最好|最高|最低|异常|\b(compare|change|growth|decline|trend|best|highest|lowest)\b"
 BASELINE = r"(?i)上月|上个月|去年|同比|环比|与.+相比|year over year|\byoy\b|previous period|month over month|\bmom\b|compared (with|to)"
 
@@ -54,19 +56,34 @@ STATES = {
 }
 
 
-def route(questions: DataFrame, catalog: Catalog, question: str = "question", result: Column | None = None, period: Column | None = None, comparison: Column | None = None) -> DataFrame:
-    """Adds metric_ids (best score first, then id), dimensions, grain, baseline, range, state, reason and plan_type.
+#: What a question wants, by the reason of its route; an answerable one asks for data, causes, or a definition as well.
+INTENTS = {
+    "definition": "catalog_definition", "help": "help", "followup": "result_followup", "general_definition": "general_knowledge", "general_business": "general_business", "followup_new_scope": "data_analysis",
+    "unauthorized": "unsafe_or_unauthorized", "unsupported": "unsupported", "empty": "unsupported",
+}
+#: Intents that a question keeps while it is asked back for a period or a baseline.
+_OPEN = ("answerable", "missing_time", "missing_comparison")
+
+
+def route(
+    questions: DataFrame, catalog: Catalog, question: str = "question", result: Column | None = None, period: Column | None = None, comparison: Column | None = None, remembered: Column | None = None
+) -> DataFrame:
+    """Adds metric_ids (best score first, then id), dimensions, grain, baseline, range, reason, state, intent, plan_type and warnings.
 
-    `result`, `period` and `comparison` are what the conversation knows: a summary of the last result, a period, a baseline. The first that
-    holds: empty, unauthorized, unsupported, help, follow-up on a result (with a new scope, on a known result, or without one), a definition
+    `result`, `period`, `comparison` and `remembered` are what the conversation knows: a summary of the last result, a period, a baseline, and
+    metrics for a question that names none. The first that holds: empty, unauthorized, unsupported, help, follow-up on a result (with a new scope, on a known result, or without one), a definition
     (of a metric, or of something else) without a request for data, general business advice, no metric, a dimension that would multiply the
-    metric's rows, a relative time without a period, a comparison without a baseline, else answerable.
+    metric's rows, a relative time without a period, a comparison without a baseline, else answerable. An answerable question that also
+    asks for a definition is a mixed request, one that asks for causes an analysis. Warnings tell of metrics with different time
+    columns under a grain, and of dimensions that not all metrics have.
     """
     said = F.trim(F.coalesce(question, F.lit("")))
     q = F.lower(said)
     known = lambda c: F.lit(False) if c is None else F.coalesce(c.cast("string") != "", F.lit(False))
     scores = F.array(*[F.struct((-F.greatest(*[alias_score(q, F.lit(a)) for a in (*names, "\0")])).alias("s"), F.lit(m).alias("m")) for m, names in catalog.aliases.items()])
     metrics = F.transform(F.filter(F.array_sort(scores), lambda x: x["s"] <= -MIN_SCORE), lambda x: x["m"])
+    if remembered is not None:
+        metrics = F.when(F.size(metrics) > 0, metrics).otherwise(F.coalesce(remembered, F.array().cast("array<string>")))
     allowed = F.create_map(*[x for m in METRICS.values() for x in (F.lit(m.metric_id), F.array(*[F.lit(d) for d in (*m.dimensions, *m.through_items)]))])
     df = questions.withColumns({
         "metric_ids": metrics,
@@ -83,18 +100,26 @@ def route(questions: DataFrame, catalog: Catalog, question: str = "question", re
         .when(said.rlike(RESULT_FOLLOWUP), F.when(known(result), asks).otherwise("followup_without_result"))
         .when(said.rlike(DEFINITION) & ~rest.rlike(DATA_INTENT), F.when(F.size("metric_ids") > 0, "definition").otherwise("general_definition"))
         .when(said.rlike(GENERAL_BUSINESS) & ~said.rlike(DATA_CONTEXT) & ~rest.rlike(DATA_REQUEST), "general_business")
-        .when(F.size("metric_ids") == 0, "missing_metric").when(wrong, "dimension_policy")
+        .when(F.size("metric_ids") == 0, F.when(said.rlike(GENERAL_BUSINESS) & ~said.rlike(DATA_CONTEXT), "general_business").otherwise("missing_metric")).when(wrong, "dimension_policy")
         .when(said.rlike(RELATIVE_TIME) & ~known(period) & F.col("range").isNull(), "missing_time")
         .when(said.rlike(NEEDS_BASELINE) & ~said.rlike(BASELINE) & ~known(comparison), "missing_comparison").otherwise("answerable")
     )
     state = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in STATES.items() for x in pair]), reason), F.lit("needs_clarification"))
     plan = F.when(state != "answerable", None).when(F.col("baseline").isNotNull(), "comparison").when(F.size("metric_ids") == 1, "single_metric").when((F.size("dimensions") > 0) | F.col("grain").isNotNull(), "grouped_multi_metric").otherwise("scalar_overview")
-    return df.withColumns({"reason": reason, "state": state, "plan_type": plan})
+    known_intent = F.element_at(F.create_map(*[F.lit(x) for pair in INTENTS.items() for x in pair]), reason)
+    open_intent = F.when(said.rlike(DEFINITION) & rest.rlike(DATA_INTENT), "mixed_request").when(said.rlike(CAUSE), "data_analysis").otherwise("data_query")
+    intent = F.coalesce(known_intent, F.when(reason.isin(*_OPEN), open_intent), F.lit("clarification_required"))
+    times = F.create_map(*[F.lit(x) for m in METRICS.values() for x in (m.metric_id, m.time)])
+    warnings = F.filter(F.array(
+        F.when(F.col("grain").isNotNull() & (F.size(F.array_distinct(F.transform("metric_ids", lambda m: F.element_at(times, m)))) > 1), "selected_metrics_use_different_time_fields"),
+        F.when(wrong, "dimension_not_supported_by_all_metrics"),
+    ), lambda x: x.isNotNull())
+    return df.withColumns({"reason": reason, "state": state, "intent": intent, "plan_type": plan, "warnings": warnings})
 
 
 def definitions(routed: DataFrame) -> DataFrame:
     """Adds answer: for definitions, a table of the metrics' names, time columns, and whether unfinished orders are left out; no data is read."""
-    line = F.create_map(*[x for m in METRICS.values() for x in (F.lit(m.metric_id), F.lit(f"| {m.label} (`{m.metric_id}`) | {m.time or 'none'} | {'effective orders only' if m.filter else 'none'} |"))])
+    line = F.create_map(*[x for m in METRICS.values() for x in (F.lit(m.metric_id), F.lit(f"| {m.label} (`{m.metric_id}`) | {m.time or 'none'} | {'effective orders only' if m.effective_only else 'none'} |"))])
     head = "| Metric | Time column | Default filter |\n| --- | --- | --- |"
     rows = F.array_join(F.concat(F.array(F.lit(head)), F.transform("metric_ids", lambda m: F.element_at(line, m))), "\n")
     return routed.withColumn("answer", F.when(F.col("reason") == "definition", rows))

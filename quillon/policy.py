@@ -1,7 +1,8 @@
-"""Read-only policy for free-form Spark SQL, checked on Spark's own plans.
+"""Read-only policy for free-form Spark SQL, checked on the names in the statement that Spark's parser reads.
 
-The parsed plan shows the statement's kind, tables, functions and limit; the analysed plan shows which source columns each
-result column depends on, through any CTE, derived table or set operation.
+The statement's kind, tables, functions and limit are held against lists of what is allowed. For analysts every SELECT outside a CTE is
+checked: sensitive columns, and names that a CTE or lateral view gives to anything made of them, may be counted, filtered and joined on,
+but not shown, grouped or sorted by. Names are judged alike wherever they stand, so a doubtful one is refused. Columns are resolved by Spark.
 """
 
 from __future__ import annotations
@@ -21,10 +22,12 @@ from quillon.operators.quality import append_audit
 from quillon.operators.validation import Contract, Verdict, validate
 
 ROW_LIMITS = {"analyst": 200, "admin": 1000}
+#: Rows that a query returns at most, whatever limit its role has.
+MOST_ROWS = 1000
 TIMEOUT_SECONDS = 5.0
 #: Logical nodes of a read-only query; any other kind is refused.
 _NODES = set("Project Filter Aggregate Join Sort GlobalLimit LocalLimit Offset UnresolvedWith CTERelationDef SubqueryAlias UnresolvedSubqueryColumnAliases UnresolvedRelation UnresolvedHaving Distinct Union Except Intersect Window Pivot UnresolvedInlineTable WithWindowDefinition LateralJoin Generate OneRowRelation Subquery".split())
-_FUNCTIONS = {"java_method", "reflect", "try_reflect", "input_file_name", "input_file_block_start", "input_file_block_length", "current_catalog", "current_database", "session_user", "current_user", "user", "version", "raise_error", "sleep", "read_files"}
+_FUNCTIONS = {"java_method", "reflect", "try_reflect", "input_file_name", "input_file_block_start", "input_file_block_length", "current_catalog", "current_database", "current_schema", "session_user", "current_user", "user", "version", "raise_error", "sleep", "read_files"}
 
 
 class PolicyViolation(ValueError):
@@ -64,16 +67,18 @@ def _subquery(e) -> bool:
     return kind in ("Exists", "ListQuery") or kind.endswith("Subquery") and kind != "InSubquery"
 
 
-def _plans(plan) -> Iterator:
-    """The plan's nodes, those of CTEs, and those of subqueries inside expressions."""
-    yield plan
-    for c in [*_seq(plan.children()), *_seq(plan.innerChildren())]:
-        if hasattr(c, "expressions") and "plans.logical" in c.getClass().getName() or "analysis.Unresolved" in c.getClass().getName():
-            yield from _plans(c)
+def _plans(plan, in_cte: bool = False) -> Iterator[tuple]:
+    """The plan's nodes, those of CTEs and of subqueries inside expressions, each with whether it belongs to a CTE's query."""
+    yield plan, in_cte
+    if _kind(plan) == "UnresolvedWith":
+        for t in _seq(plan.cteRelations()):
+            yield from _plans(t._2(), True)
+    for c in _seq(plan.children()):
+        yield from _plans(c, in_cte)
     for e in _seq(plan.expressions()):
         for x in _expressions(e):
             if _subquery(x):
-                yield from _plans(x.plan())
+                yield from _plans(x.plan(), in_cte)
 
 
 def _relations(plan, scope: frozenset[str]) -> Iterator[list[str]]:
@@ -94,63 +99,59 @@ def _relations(plan, scope: frozenset[str]) -> Iterator[list[str]]:
                 yield from _relations(x.plan(), scope)
 
 
-#: Logical nodes whose results are their children's columns and aliases.
-_PLAIN = set("Project Filter Aggregate Join Sort GlobalLimit LocalLimit Offset SubqueryAlias Distinct Deduplicate Window View WithCTE CTERelationDef Subquery OneRowRelation LocalRelation LogicalRelation LogicalRDD LateralJoin ResolvedHint".split())
-
-
-class _Lineage:
-    """Which attributes of an analysed plan depend on sensitive columns outside COUNT. A node whose lineage is not known is refused."""
-
-    def __init__(self, plan, sensitive: frozenset[str]):
-        self.bad: set[int] = set()
-        self.sensitive = sensitive
-        self.definitions: dict[int, list] = {}
-        self.visit(plan)
-
-    def uses(self, e) -> bool:
-        kind = _kind(e)
-        if kind == "Count" or kind == "AggregateExpression" and _kind(e.aggregateFunction()) == "Count":
-            return False
-        if kind == "AttributeReference":
-            return e.exprId().id() in self.bad
-        if kind == "OuterReference":
-            return self.uses(e.e())
-        if kind == "ScalarSubquery":
-            return any(a.exprId().id() in self.bad for a in _seq(e.plan().output()))
-        return any(self.uses(c) for c in _seq(e.children()))
-
-    def visit(self, plan) -> None:
-        children = list(_seq(plan.children())) + [c for c in _seq(plan.innerChildren()) if "plans.logical" in c.getClass().getName()]
-        for c in children:
-            self.visit(c)
-        for e in _seq(plan.expressions()):
-            for x in _expressions(e):
-                if _subquery(x):
-                    self.visit(x.plan())
-        kind, out = _kind(plan), list(_seq(plan.output()))
-        mark = lambda sources: self.bad.update(o.exprId().id() for o, bad in zip(out, sources, strict=False) if bad)
-        if kind == "CTERelationDef":
-            self.definitions[plan.id()] = out
-        elif kind == "CTERelationRef":
-            if plan.cteId() not in self.definitions:
-                raise PolicyViolation("lineage_unknown", kind)
-            mark(a.exprId().id() in self.bad for a in self.definitions[plan.cteId()])
-        elif kind in ("Union", "Except", "Intersect"):
-            for c in _seq(plan.children()):
-                mark(a.exprId().id() in self.bad for a in _seq(c.output()))
-        elif kind == "Generate":
-            made = {a.exprId().id() for a in _seq(plan.generatorOutput())}
-            self.bad |= made if self.uses(plan.generator()) else set()
-        elif kind == "Expand":
-            for row in _seq(plan.projections()):
-                mark([self.uses(e) for e in _seq(row)])
-        elif kind not in _PLAIN:
-            raise PolicyViolation("lineage_unknown", kind)
-        elif not children:
-            mark(a.name().lower() in self.sensitive for a in out)
-        for e in _seq(plan.expressions()):
-            if _kind(e) == "Alias" and self.uses(e.child()):
-                self.bad.add(e.exprId().id())
+def _parts(attribute) -> list[str]:
+    return [p.lower() for p in _seq(attribute.nameParts())]
+
+
+def _mentions(e, names: set[str], star: bool = False) -> bool:
+    """Whether an expression holds one of the names (or, with `star`, a star) outside COUNT."""
+    kind = _kind(e)
+    if kind == "UnresolvedFunction" and list(_seq(e.nameParts()))[-1].lower() == "count":
+        return False
+    if kind in ("UnresolvedAttribute", "UnresolvedNamedLambdaVariable") and names.intersection(_parts(e)) or star and "Star" in kind:
+        return True
+    if _subquery(e) and any(_mentions(x, names, star) for n, _ in _plans(e.plan()) for x in _seq(n.expressions())):
+        return True
+    return any(_mentions(c, names, star) for c in _seq(e.children()))
+
+
+def _tainted(nodes: list[tuple], sensitive: frozenset[str]) -> set[str]:
+    """The sensitive names and all that the statement gives to anything made of them."""
+    names = set(sensitive)
+    while True:
+        before = len(names)
+        for n, in_cte in nodes:
+            kind = _kind(n)
+            if kind == "Generate" and _mentions(n.generator(), names):
+                made = [a.name().lower() for a in _seq(n.generatorOutput())]
+                if not made:
+                    raise PolicyViolation("sensitive_column", "a lateral view without names")
+                names.update(made)
+            if kind == "UnresolvedSubqueryColumnAliases" and any(_mentions(e, names, True) for c, _ in _plans(n.child()) for e in _seq(c.expressions())):
+                names.update(x.lower() for x in _seq(n.outputColumnNames()))
+            # Branches of a set operation take the first one's names.
+            if in_cte and kind in ("Union", "Except", "Intersect") and any(_mentions(e, names, True) for b in _seq(n.children()) for e in _projection(b)):
+                raise PolicyViolation("sensitive_column", "a set operation in a CTE")
+            for e in _seq(n.expressions()):
+                for x in _expressions(e):
+                    if _kind(x) == "Alias" and _mentions(x.child(), names):
+                        names.add(x.name().lower())
+                    elif _kind(x) == "MultiAlias" and _mentions(x.child(), names):
+                        names.update(a.lower() for a in _seq(x.names()))
+        if len(names) == before:
+            return names
+
+
+def _projection(plan) -> list:
+    """What a query shows: the expressions of its SELECT; for a set operation those of all branches."""
+    kind = _kind(plan)
+    if kind == "Project":
+        return list(_seq(plan.projectList()))
+    if kind == "Aggregate":
+        return list(_seq(plan.aggregateExpressions()))
+    if kind == "UnresolvedRelation":
+        raise PolicyViolation("star_not_allowed", "TABLE")
+    return [e for c in _seq(plan.children()) for e in _projection(c)]
 
 
 def evaluate(spark: SparkSession, sql: str, catalog: Catalog, role: str = "analyst") -> Decision:
@@ -170,7 +171,7 @@ def evaluate(spark: SparkSession, sql: str, catalog: Catalog, role: str = "analy
     except ParseException as e:
         raise PolicyViolation("syntax", str(e).splitlines()[0][:200]) from e
     nodes = list(_plans(parsed))
-    for n in nodes:
+    for n, _ in nodes:
         if _kind(n) not in _NODES:
             raise PolicyViolation("not_a_query", _kind(n))
     tables = set()
@@ -180,12 +181,17 @@ def evaluate(spark: SparkSession, sql: str, catalog: Catalog, role: str = "analy
         tables.add(parts[0].lower())
     if not tables:
         raise PolicyViolation("no_table")
-    for n in nodes:
+    for n, _ in nodes:
         for e in _seq(n.expressions()):
             for x in _expressions(e):
-                if _kind(x) == "UnresolvedFunction" and list(_seq(x.nameParts()))[-1].lower() in _FUNCTIONS:
+                if _kind(x) in ("UnresolvedFunction", "UnresolvedAttribute", "UnresolvedNamedLambdaVariable") and list(_seq(x.nameParts()))[-1].lower() in _FUNCTIONS:
                     raise PolicyViolation("function_not_allowed", list(_seq(x.nameParts()))[-1])
-    limit = ROW_LIMITS[role]
+                # Names that are made while the statement is analysed.
+                if "UnresolvedIdentifier" in _kind(x) or _kind(x).startswith("Current"):
+                    raise PolicyViolation("function_not_allowed", _kind(x))
+    if role == "analyst":
+        _check_names(parsed, nodes, catalog.sensitive)
+    limit = min(ROW_LIMITS[role], MOST_ROWS)
     if _kind(parsed) == "GlobalLimit":
         asked = parsed.limitExpr()
         if _kind(asked) != "Literal" or int(str(asked.value())) <= 0:
@@ -195,34 +201,29 @@ def evaluate(spark: SparkSession, sql: str, catalog: Catalog, role: str = "analy
         df = spark.sql(sql)
     except AnalysisException as e:
         raise PolicyViolation("not_resolved", str(e).splitlines()[0][:200]) from e
-    if role == "analyst":
-        _check_output(parsed, df, catalog)
     return Decision(sql, role, tuple(sorted(tables)), limit, df.limit(limit))
 
 
-def _check_output(parsed, df: DataFrame, catalog: Catalog) -> None:
-    top = parsed
-    while _kind(top) in ("GlobalLimit", "LocalLimit", "Offset", "Sort", "Distinct", "UnresolvedWith", "UnresolvedHaving") and (kids := list(_seq(top.children()))):
-        top = kids[0]
-    if _kind(top) == "Project" and any(_kind(e) == "UnresolvedStar" for e in _seq(top.expressions())):
-        raise PolicyViolation("star_not_allowed")
-    plan = df._jdf.queryExecution().analyzed()
-    lineage = _Lineage(plan, catalog.sensitive)
-    for a in _seq(plan.output()):
-        if a.exprId().id() in lineage.bad or a.name().lower() in catalog.sensitive:
-            raise PolicyViolation("sensitive_column", a.name())
-    node = plan
-    while True:
-        kind = _kind(node)
-        if kind == "Sort" and any(lineage.uses(e) for e in _seq(node.order())):
+def _check_names(parsed, nodes: list[tuple], sensitive: frozenset[str]) -> None:
+    """Refuse an analyst's statement that shows, groups or sorts by a sensitive name outside a CTE, or shows all columns."""
+    _projection(parsed)
+    names = _tainted(nodes, sensitive)
+    for n, in_cte in nodes:
+        if in_cte:
+            continue
+        kind = _kind(n)
+        if kind in ("Project", "Aggregate"):
+            for e in _projection(n):
+                if _mentions(e, set(), True):
+                    raise PolicyViolation("star_not_allowed")
+                if _mentions(e, names) or _kind(e) == "Alias" and e.name().lower() in sensitive:
+                    raise PolicyViolation("sensitive_column", str(e)[:100])
+        if kind == "Aggregate" and any(_mentions(e, names) for e in _seq(n.groupingExpressions())):
+            raise PolicyViolation("sensitive_group")
+        if kind == "Sort" and any(_mentions(e, names) for e in _seq(n.order())):
             raise PolicyViolation("sensitive_order")
-        if kind == "Aggregate":
-            if any(lineage.uses(e) for e in _seq(node.groupingExpressions())):
-                raise PolicyViolation("sensitive_group")
-            return
-        if kind not in ("GlobalLimit", "LocalLimit", "Offset", "Sort", "Distinct", "Project", "Filter", "WithCTE") or not (kids := list(_seq(node.children()))):
-            return
-        node = kids[0]
+        if kind == "Pivot" and any(_mentions(e, names) for e in _seq(n.expressions())):
+            raise PolicyViolation("sensitive_column", "PIVOT")
 
 
 def _rows(spark: SparkSession, decision: Decision, timeout: float) -> list:
@@ -255,7 +256,7 @@ def guarded(spark: SparkSession, sql: str, catalog: Catalog, contract: Contract
         rows = _rows(spark, decision, timeout)
         seen |= {"rows": len(rows), "tables": ",".join(decision.tables)}
         df = spark.createDataFrame(rows, decision.result.schema)
-        verdict = Verdict("valid", "unchecked", len(rows)) if contract is None else validate(df, replace(contract, limit_applied=contract.limit_applied or len(rows) >= ROW_LIMITS[role]))
+        verdict = Verdict("valid", "unchecked", len(rows)) if contract is None else validate(df, replace(contract, limit_applied=contract.limit_applied or len(rows) >= min(ROW_LIMITS[role], MOST_ROWS)))
         seen |= {"status": verdict.state, "reason": verdict.reason}
         return (df if verdict.state == "valid" else None), verdict
     except PolicyViolation as e:

@@ -47,10 +47,13 @@ class Star:
     def orders(self) -> DataFrame:
         return self.table("orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_id"), F.col("o_orderstatus").alias("order_status"), F.col("o_orderdate").alias("ordered_at"))
 
+    def lines(self) -> DataFrame:
+        """Order items alone."""
+        return self.table("lineitem").select(F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("product_id"), F.col("l_suppkey").alias("seller_id"), F.col("l_extendedprice").cast("decimal(14,2)").alias("price"), F.col("l_shipdate").alias("shipped_at"))
+
     def items(self) -> DataFrame:
         """Order items with their order's columns: one row per item."""
-        items = self.table("lineitem").select(F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("product_id"), F.col("l_suppkey").alias("seller_id"), F.col("l_extendedprice").cast("decimal(14,2)").alias("price"), F.col("l_shipdate").alias("shipped_at"))
-        return items.join(self.orders(), "order_id")
+        return self.lines().join(self.orders(), "order_id")
 
     def deliveries(self) -> DataFrame:
         """Orders with the time of their last shipment; orders without items, or shipped before they were placed, are left out."""

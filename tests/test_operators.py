@@ -176,15 +176,6 @@ def test_swap_keeps_one_copy():
         assert fs.names["target"] == "target"
 
 
-def test_publish_all(spark, tmp_path):
-    a, b = spark.range(3), spark.range(5)
-    quality.publish_all({"a": a, "b": b}, str(tmp_path), {"a": 3})
-    assert spark.read.parquet(f"{tmp_path}/b").count() == 5
-    with pytest.raises(quality.BadRows):
-        quality.publish_all({"a": b, "b": a}, str(tmp_path), {"b": 4})
-    assert spark.read.parquet(f"{tmp_path}/a").count() == 3
-
-
 def test_audit_holds_no_secret(spark, tmp_path):
     rows = [("2024-01-01 00:00:00", '{"password":"hunter2","n":1}', "hunter2", {"oauth": "hunter2", "x": "1"}, '{"a":{"auth_header":"hunter2"}}')]
     df = spark.createDataFrame(rows, "created_at string, sql string, api_token string, params map<string,string>, detail string")
