@@ -1,9 +1,9 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame functions only.
 
 Numbers, names and units become typed placeholders, word for word, so a question with other numbers or names keeps its
-template. Windows of the template are hash-joined between documents and benchmark items. Matches of one item at one
-offset in one document are kept if their slots agree: an item's value always stands for the same value in the
-document, and the other way round. Offsets of one region, which differ where a value has another number of words or a word is
+template. Windows of the template are hash-joined between documents and benchmark items; he and she are one word there. Matches of
+one item at one offset in one document are kept if their slots agree: an item's value always stands for the same value in
+the document, while two of its values may become equal. Offsets of one region, which differ where a value has another number of words or a word is
 put in, are added up as far as their slots agree. A document is contaminated if the kept windows cover enough of an item. Items
 without a window of their own are matched whole.
 """
@@ -36,9 +36,12 @@ _NUMBERS = [*_UP_TO_NINE, *"zero ten eleven twelve thirteen fourteen fifteen six
 _BY_LETTER = "|".join(f"{a}(?:{'|'.join(w[1:] for w in _NUMBERS if w[0] == a)})" for a in sorted({w[0] for w in _NUMBERS}))
 _WORDS = rf"(?:{_BY_LETTER})(?:-(?:{'|'.join(_UP_TO_NINE)}))?"
 _SPLIT = r"[\x20\x09-\x0D]+"
-#: A capitalised word: any one, and one inside a sentence.
-_NAMES = rf"""(?<![^\x20\x09-\x0D])["'(\[“‘]*(?!(?i:{_WORDS})(?!\p{{L}}))\p{{Lu}}\p{{Ll}}+(?=[\p{{P}}\p{{S}}]*(?:[\x20\x09-\x0D]|$))"""
-_INNER = rf"(?<=[\p{{L}}\d,;][\x20\x09-\x0D]{{1,8}})(?!(?i:{_WORDS})(?!\p{{L}}))\p{{Lu}}\p{{Ll}}+(?=[\p{{P}}\p{{S}}]*(?:[\x20\x09-\x0D]|$))"
+#: A capitalised word, any one and one inside a sentence: a capital, perhaps more capitals and apostrophes, small letters, and what follows (O'Brien, McDonald).
+_NAME = r"(?:\p{Lu}|(?<=\p{Lu})['’])++\p{Ll}[\p{L}'’\-]*+"
+_NAMES = rf"""(?<![^\x20\x09-\x0D])["'(\[“‘]*(?!(?i:{_WORDS})(?!\p{{L}})){_NAME}(?=[\p{{P}}\p{{S}}]*(?:[\x20\x09-\x0D]|$))"""
+_INNER = rf"(?<=[\p{{L}}\d,;][\x20\x09-\x0D]{{1,8}})(?!(?i:{_WORDS})(?!\p{{L}})){_NAME}(?=[\p{{P}}\p{{S}}]*(?:[\x20\x09-\x0D]|$))"
+#: Pronouns that go with a name. They are literals of which any stands for any.
+PRONOUNS = "he she him her his hers himself herself".split()
 
 _NUMBER = rf"(?<![^\x20\x09-\x0D])(?:[+\-(\[\"'$€£]*\d[^\x20\x09-\x0D]*|[(\[\"'“‘]*{_WORDS}\p{{P}}*(?![^\x20\x09-\x0D]))"
 
@@ -47,7 +50,7 @@ def template(text: Column, name: str = _NAMES) -> Column:
     """Words of the canonical template, one for each word of the text.
 
     Number: starts with a digit, after signs, currency or brackets, or is a number in words (twenty-five, a hundred). Unit: one of UNITS after a number. Name:
-    a capital and more small letters, wherever it stands, so that a name that begins a sentence, a line or a quotation is a slot
+    a capital with small letters after it, also inside (McDonald) or behind an apostrophe, wherever it stands, so that a name that begins a sentence, a line or a quotation is a slot
     like any other. Other words are lower-cased and lose punctuation at both ends.
     """
     t = F.regexp_replace(text, name, NAME)
@@ -63,6 +66,11 @@ def _let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
+def _word(word: Column) -> Column:
+    """Hash of one word; pronouns share one."""
+    return F.xxhash64(F.when(word.isin(PRONOUNS), PRONOUNS[0]).otherwise(word))
+
+
 def _hashes(words: Column, size: int) -> Column:
     """Hash of the template window at each place: hashes of 1, 2, 4, ... words are put together, the last two overlapping."""
 
@@ -73,7 +81,7 @@ def _hashes(words: Column, size: int) -> Column:
         both = F.zip_with(h, F.slice(h, F.lit(shift + 1), n), lambda x, y: F.xxhash64(x, y))
         return _let(both, lambda z: join(z, width + shift, n))
 
-    return _let(words, lambda w: _let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: join(h, 1, F.size(w))))
+    return _let(words, lambda w: _let(F.transform(w, _word), lambda h: join(h, 1, F.size(w))))
 
 
 def _slots(words: Column, said: Column, at: Column, size: int) -> Column:
@@ -83,9 +91,9 @@ def _slots(words: Column, said: Column, at: Column, size: int) -> Column:
 
 
 def _agree(pairs: Column) -> Column:
-    """Whether each of an item's values stands for one value in the document, and the other way round."""
+    """Whether each of an item's values stands for one value in the document."""
     kinds = lambda *of: F.size(F.array_distinct(F.transform(pairs, lambda x: F.struct(x["kind"], *[x[k] for k in of]))))
-    return (kinds("theirs", "ours") == kinds("theirs")) & (kinds("theirs", "ours") == kinds("ours"))
+    return kinds("theirs", "ours") == kinds("theirs")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, min_share: float = MIN_SHARE) -> DataFrame:
@@ -112,7 +120,8 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
 
     def windows_of(rows: DataFrame, size: int) -> DataFrame:
         out = rows.select("item_id", "words", "said", "rich", "whole", "literals", F.posexplode(_hashes(F.col("words"), size)).alias("at", "h"))
-        return out.filter(F.col("whole") | F.get("rich", F.col("at"))).select("item_id", "whole", "literals", "at", "h", _slots(F.col("words"), F.col("said"), F.col("at"), size).alias("slots"))
+        chosen = out.filter(F.col("whole") | F.get("rich", F.col("at")))
+        return chosen.select("item_id", "whole", "literals", "at", "h", _slots(F.col("words"), F.col("said"), F.col("at"), size).alias("slots"))
 
     bench = windows_of(base.filter(F.col("n") >= window), window)
     for size in short:
