@@ -30,14 +30,14 @@ UNKNOWN = "unknown"
 NAMES = {
     "apache": ["Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0 license", "Apache Software License", "Apache-2.0"],
     "mit": ["MIT License", "MIT license terms", "Expat License", "MIT"],
-    "bsd": ["BSD License", "BSD 3-Clause License", "BSD 2-Clause License", "New BSD License", "BSD-3-Clause", "BSD-2-Clause"],
-    "gpl": ["GNU General Public License, version 3", "GNU General Public License version 2", "GNU GPL v3", "GPL-3.0 license", "GPL version 2 or later", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later"],
-    "lgpl": ["GNU Lesser General Public License", "GNU Lesser General Public License, version 2.1", "LGPL-3.0 license", "LGPL version 2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only"],
-    "agpl": ["GNU Affero General Public License", "GNU Affero General Public License, version 3", "AGPL-3.0 license", "AGPL-3.0-only", "AGPL-3.0-or-later"],
-    "mpl": ["Mozilla Public License, version 2.0", "Mozilla Public License", "MPL-2.0 license", "MPL-2.0"],
-    "cc-by": ["CC BY 4.0", "Creative Commons Attribution 4.0 International License", "Creative Commons Attribution License", "CC-BY-4.0"],
-    "cc-by-sa": ["CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License", "Creative Commons Attribution-ShareAlike License", "CC-BY-SA-4.0"],
-    "cc-by-nc": ["CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License", "Creative Commons Attribution-NonCommercial License", "CC BY-NC-SA 4.0", "CC-BY-NC-4.0"],
+    "bsd": ["BSD License", "BSD 3-Clause License", "BSD 2-Clause License", "New BSD License", "BSD-3-Clause", "BSD-2-Clause", "BSD"],
+    "gpl": ["GNU General Public License, version 3", "GNU General Public License version 2", "GNU GPL v3", "GPL-3.0 license", "GPL version 2 or later", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "GPL", "GPLv2", "GPLv3"],
+    "lgpl": ["GNU Lesser General Public License", "GNU Lesser General Public License, version 2.1", "LGPL-3.0 license", "LGPL version 2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL", "LGPLv3"],
+    "agpl": ["GNU Affero General Public License", "GNU Affero General Public License, version 3", "AGPL-3.0 license", "AGPL-3.0-only", "AGPL-3.0-or-later", "AGPL", "AGPLv3"],
+    "mpl": ["Mozilla Public License, version 2.0", "Mozilla Public License", "MPL-2.0 license", "MPL-2.0", "MPL"],
+    "cc-by": ["CC BY 4.0", "Creative Commons Attribution 4.0 International License", "Creative Commons Attribution License", "CC-BY-4.0", "CC BY"],
+    "cc-by-sa": ["CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License", "Creative Commons Attribution-ShareAlike License", "CC-BY-SA-4.0", "CC BY-SA"],
+    "cc-by-nc": ["CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License", "Creative Commons Attribution-NonCommercial License", "CC BY-NC-SA 4.0", "CC-BY-NC-4.0", "CC BY-NC"],
     "cc0": ["CC0 1.0 Universal", "Creative Commons Zero public domain dedication", "CC0 public domain dedication", "CC0-1.0"],
     "isc": ["ISC License", "ISC license terms", "ISC"],
     "epl": ["Eclipse Public License 2.0", "Eclipse Public License, version 1.0", "EPL-2.0"],
@@ -63,7 +63,7 @@ NOTICES = {
     "boost": ["Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license to use, reproduce, display, distribute, execute, and transmit the Software"],
     "proprietary": ["All rights reserved. No part of this publication may be reproduced or transmitted without prior written permission of the publisher", "Confidential and proprietary. Unauthorized copying of this file, via any medium, is strictly prohibited"],
 }
-PHRASES = ["Licensed under {}.", "Licensed under the {}.", "Released under the {}.", "This work is licensed under {}.", "This work is licensed under the {}.", "Distributed under the terms of the {}.", "This project is made available under {}.", "The code is published under the {}, see LICENSE for details.", "SPDX-License-Identifier: {}", "Distributed under {} terms.", "License: {}"]
+PHRASES = ["Licensed under {}.", "Licensed under the {}.", "Released under the {}.", "This work is licensed under {}.", "This work is licensed under the {}.", "Distributed under the terms of the {}.", "This project is made available under {}.", "The code is published under the {}, see LICENSE for details.", "SPDX-License-Identifier: {}", "Distributed under {} terms.", "License: {}", "Code is {} licensed.", "Licence: {}"]
 #: Phrases and beginnings of notices that calibrate the probabilities and are not trained on.
 TRIAL_PHRASES = ["Covered by the {}.", "You may use these files under the terms of {}.", "Dual licensed; see also {}.", "It was put under {} by its authors in 2019.", "License identifier {} applies"]
 TRIAL_WORDS = slice(3, 18)
@@ -114,6 +114,22 @@ def paragraphs(docs: DataFrame, doc_id: str, text: str, only: Column | None = No
     return d.select("doc_id", "of", F.explode(F.concat(lines, blocks)).alias("p")).select("doc_id", "of", "p.*").filter(F.trim("paragraph") != "")
 
 
+#: What stands between the names of several licences in one line.
+JOINTS = r"(?i)\s+(?:and|or|und|oder|et|ou)(?:\s+(?:the|at your option|alternatively))?\s+|\s*[;/|&+]\s*|\)\s*\("
+
+
+def clauses(held: DataFrame) -> DataFrame:
+    """The paragraphs, and the parts of every line that names a licence between joints, each behind the word that makes it one.
+
+    A part has the line's place, its own number (nth, 0 for the line) and the level clause.
+    """
+    own = F.struct("level", "paragraph", "words", "cue")
+    part = lambda x: F.concat(F.lit("License: "), x)
+    parts = F.transform(F.split("paragraph", JOINTS), lambda x: F.struct(F.lit("clause").alias("level"), part(x).alias("paragraph"), tokens(part(x)).alias("words"), F.lit(True).alias("cue")))
+    split = (F.col("level") == "line") & F.col("cue") & F.col("paragraph").rlike(JOINTS)
+    return held.select("doc_id", "of", "place", F.posexplode(F.when(split, F.concat(F.array(own), parts)).otherwise(F.array(own))).alias("nth", "a")).select("doc_id", "of", "place", "nth", "a.*")
+
+
 @dataclass
 class Model:
     classes: list[str]
@@ -155,8 +171,10 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Model:
 def _confirmed(words: Column, guess: Column) -> Column:
     """1 if one of the family's names stands in the paragraph, else the largest share of a notice's trigrams that are shared, either way."""
     plain = lambda t: re.sub(r"[\W_]+", " ", t.lower()).strip()
-    # A name of one word counts only beside a word that makes it one.
-    names = {f: sorted({n for x in own for n in ([plain(x)] if " " in plain(x) else [f"identifier {plain(x)}", f"{plain(x)} license", f"{plain(x)} licence", f"{plain(x)} terms", f"license {plain(x)}", f"under {plain(x)}"])}) for f, own in NAMES.items()}
+    # A name of one word counts only beside a word that makes it one, unless it holds a version.
+    beside = ("identifier {}", "{} license", "{} licence", "{} licensed", "{} licenced", "{} terms", "license {}", "licence {}", "license the {}", "licence the {}", "under {}", "under the {}", "terms of the {}")
+    forms = lambda x: [x] if " " in x or x[-1].isdigit() else [b.format(x) for b in beside]
+    names = {f: sorted({n for x in own for n in forms(plain(x))}) for f, own in NAMES.items()}
     names["proprietary"].append("all rights reserved")
     by_name = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*[F.lit(n) for n in x]) for f, own in names.items() for x in (f, own)])
     said = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
@@ -170,8 +188,9 @@ def _confirmed(words: Column, guess: Column) -> Column:
 def scan(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Paragraphs that hold evidence: doc_id, of (hash of the text), level, place, paragraph, family, probability, shared, confirmed.
 
-    Lines with an evidence word, or with a family more likely than not, have a row: unknown unless confirmed. A block of lines has one
-    only if it confirms a family that none of the document's lines does. A reservation of rights is proprietary only where the
+    Lines with an evidence word, or with a family more likely than not, have a row: unknown unless confirmed. Parts of a line that name
+    other licences (level clause) have a row each for a family that no line confirms, and stand for the line if it is unknown. A block of
+    lines has one only if it confirms a family that none of the document's lines and their parts does. A reservation of rights is proprietary only where the
     document names no licence. A paragraph without evidence, a null or empty text and an empty table give no rows. Repeated rows give
     their paragraphs once; null ids are kept; other columns are ignored. Equal probabilities go to the class named first.
     """
@@ -182,7 +201,8 @@ def scan(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "tex
     some = F.arrays_overlap(all_words, listed(model.evidence)) | F.arrays_overlap(two(all_words), listed(model.pairs))
     cue = F.arrays_overlap("words", listed(model.evidence))
     held = paragraphs(docs, doc_id, text, some).withColumn("words", tokens(F.col("paragraph"))).withColumn("cue", cue).filter(F.col("cue") | F.arrays_overlap(two(F.col("words")), listed(model.pairs))).dropDuplicates(["doc_id", "of", "level", "place"])
-    key = ["doc_id", "of", "level", "place"]
+    held = clauses(held)
+    key = ["doc_id", "of", "level", "place", "nth"]
     table_ = F.broadcast(spark.createDataFrame([(g, w) for g, w in model.weights.items()], "g string, w array<double>"))  # at most VOCABULARY rows
     parts = held.select(*key, "paragraph", "words", "cue", F.explode(grams(F.col("words"))).alias("g")).join(table_, "g", "left")
     k = len(model.classes)
@@ -190,14 +210,17 @@ def scan(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "tex
     sums = sums.withColumn("z", F.transform("z", lambda x: x / model.temperature)).withColumn("top", F.array_max("z"))
     sums = sums.withColumn("best", F.array_position("z", F.col("top")).cast("int")).withColumn("probability", 1 / F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top"))))
     family = F.element_at(F.array(*[F.lit(c) for c in model.classes]), F.col("best"))
-    sums = sums.select(*key, "paragraph", "words", "cue", family.alias("guess"), "probability").withColumn("shared", _confirmed(F.col("words"), F.col("guess")))
+    sums = sums.select("doc_id", "of", "level", "place", "paragraph", "words", "cue", family.alias("guess"), "probability").withColumn("shared", _confirmed(F.col("words"), F.col("guess")))
     sure = (F.col("guess") != UNKNOWN) & (F.col("probability") >= MIN_PROBABILITY) & (F.col("shared") >= MIN_SHARED)
-    mine = W.partitionBy("doc_id", "of")
-    sums = sums.withColumn("sure", sure).withColumns({"in_lines": F.collect_set(F.when(F.col("sure") & (F.col("level") == "line"), F.col("guess"))).over(mine), "in_all": F.collect_set(F.when(F.col("sure"), F.col("guess"))).over(mine)})
+    mine, line = W.partitionBy("doc_id", "of"), W.partitionBy("doc_id", "of", "place")
+    of_level = lambda *levels: F.collect_set(F.when(F.col("sure") & F.col("level").isin(*levels), F.col("guess")))
+    sums = sums.withColumn("sure", sure).withColumns({"in_lines": of_level("line").over(mine), "in_parts": of_level("line", "clause").over(mine), "in_all": of_level("line", "clause", "block").over(mine), "told": F.size(of_level("clause").over(line)) > 0})
     likely = (F.col("guess") != UNKNOWN) & (F.col("probability") >= MIN_PROBABILITY)
-    sums = sums.filter(F.when(F.col("level") == "line", F.col("cue") | likely).otherwise(F.col("sure") & ~F.array_contains("in_lines", F.col("guess"))))
+    new = lambda known: F.col("sure") & ~F.array_contains(known, F.col("guess"))
+    of_line = F.col("sure") | ((F.col("cue") | likely) & ~F.col("told"))
+    sums = sums.filter(F.when(F.col("level") == "line", of_line).when(F.col("level") == "clause", new("in_lines")).otherwise(new("in_parts")))
     sure = F.col("sure") & ((F.col("guess") != "proprietary") | (F.size(F.array_remove("in_all", "proprietary")) == 0))
-    return sums.filter((F.col("level") == "line") | sure).select(*key, "paragraph", F.when(sure, F.col("guess")).otherwise(UNKNOWN).alias("family"), "probability", "shared", sure.alias("confirmed"))
+    return sums.filter((F.col("level") == "line") | sure).select("doc_id", "of", "level", "place", "paragraph", F.when(sure, F.col("guess")).otherwise(UNKNOWN).alias("family"), "probability", "shared", sure.alias("confirmed"))
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
