@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from quillon.llm.common import table
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>\n"
+#: Turns whose places are summed together.
+PART = 256
 HOSTILE = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -50,18 +52,29 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
         )
 
     pieces = grouped.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.transform("turns", piece).alias("p"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,len:bigint>>").alias("spans"))
+    sizes = F.transform("p", lambda x: F.struct(*[F.char_length(x[c]).cast("long").alias(c) for c in ("head", "body", "tail")], x["loss"].alias("loss")))
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("sizes") - 1) / PART).cast("int")), lambda i: F.slice("sizes", i * PART + 1, F.lit(PART)))
+    whole = lambda x: x["head"] + x["body"] + x["tail"]
+    zero = F.lit(0).cast("long")
+    sums = F.transform("parts", lambda part: F.aggregate(part, zero, lambda acc, x: acc + whole(x)))
+    begins = F.aggregate("sums", F.struct(zero.alias("at"), F.array().cast("array<bigint>").alias("all")), lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.array_append(acc["all"], acc["at"]).alias("all")))["all"]
 
     def step(acc: Column, x: Column) -> Column:
-        begin, size = acc["at"] + F.char_length(x["head"]), F.char_length(x["body"]).cast("long")
-        span = F.array(F.struct(begin.alias("start"), size.alias("len")))
-        return F.struct((begin + size + F.char_length(x["tail"])).alias("at"), F.when(x["loss"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+        begin = acc["at"] + x["head"]
+        span = F.array(F.struct(begin.alias("start"), x["body"].alias("len")))
+        return F.struct((acc["at"] + whole(x)).alias("at"), F.when(x["loss"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
-    return pieces.select(
+    def spans(part: Column, i: Column) -> Column:
+        start = F.struct(F.get("begins", i).alias("at"), F.array().cast("array<struct<start:bigint,len:bigint>>").alias("spans"))
+        return F.aggregate(part, start, step, lambda acc: acc["spans"])
+
+    # Arrays only grow inside a part, so that a long conversation is not copied turn by turn.
+    placed = pieces.withColumn("sizes", sizes).withColumn("parts", parts).withColumn("sums", sums).withColumn("begins", begins)
+    return placed.select(
         "conv_id",
         "n_turns",
         F.array_join(F.transform("p", lambda x: F.concat(x["head"], x["body"], x["tail"])), "").alias("formatted"),
-        F.aggregate("p", start, step, lambda acc: acc["spans"]).alias("loss_spans"),
+        F.flatten(F.transform("parts", spans)).alias("loss_spans"),
     )
 
 
@@ -75,9 +88,11 @@ def read_back(formatted: DataFrame) -> DataFrame:
         name = F.url_decode(F.substr(role, F.lit(len(START) + 1)))
         return F.transform(F.split(body, r"<\|im_sep\|>"), lambda t: F.struct(name.alias("role"), unescape(t).alias("text")))
 
+    # Four bytes a code point, so that a span is found without counting characters.
+    said = lambda u: F.array_join(F.transform("loss_spans", lambda s: unescape(F.decode(F.substr(u, (s["start"] * 4 + 1).cast("int"), (s["len"] * 4).cast("int")), "UTF-32"))), "")
     return formatted.withColumns({
         "turns": F.flatten(F.transform(blocks, turns_of)),
-        "loss_text": F.array_join(F.transform("loss_spans", lambda s: unescape(F.substr("formatted", (s["start"] + 1).cast("int"), s["len"].cast("int")))), ""),
+        "loss_text": F.get(F.transform(F.array(F.encode("formatted", "UTF-32")), said), F.lit(0)),
     })
 
 
