@@ -223,13 +223,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     like any other. Repeated rows and ids share a component. Null ids count only where a component has no other.
     An empty table gives no rows; other columns are ignored.
     """
-    prints = materialize(fingerprints(docs, doc_id, text, shingle, keep), "fingerprints")
+    # Kept columns may have any name while they pass through.
+    aside = {c: f"__kept_{i}" for i, c in enumerate(keep)}
+    docs = docs.select(F.col(doc_id), F.col(text), *[F.col(c).alias(a) for c, a in aside.items()])
+    prints = materialize(fingerprints(docs, doc_id, text, shingle, tuple(aside.values())), "fingerprints")
     classes = materialize(prints.groupBy("fp").agg(F.min(doc_id).alias("first_doc")), "classes")
     forest = materialize(connected_components(links(classes.select("fp"), radius)), "components")
     rooted = classes.join(forest, classes["fp"] == forest["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_doc")
     lowest = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     named = rooted.join(lowest, "root").select("fp", "component_id")
-    kept = [c for c in prints.columns if c != "fp"]
+    kept = [F.col(c).alias({a: k for k, a in aside.items()}.get(c, c)) for c in prints.columns if c != "fp"]
     return prints.join(named, "fp").select(*kept, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
