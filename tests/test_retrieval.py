@@ -4,6 +4,7 @@ import re
 from collections import deque
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillon import catalog as C
 from quillon.plans.data_queries import QUESTIONS
@@ -87,3 +88,29 @@ def test_definitions_read_no_data(spark):
     q = definitions(route(spark.createDataFrame([(1, "what is gmv"), (2, "gmv by month")], "id int, question string"), C.load_catalog()))
     got = {r["id"]: r["answer"] for r in q.collect()}
     assert got[2] is None and got[1].splitlines()[2] == "| Gross merchandise value (`gmv`) | ordered_at | effective orders only |"
+
+
+def test_intents_and_warnings(spark):
+    said = {
+        "为什么本月 GMV 下降": ("missing_time", "data_analysis", []),
+        "2017年 GMV 下降的影响因素，同比": ("answerable", "data_analysis", []),
+        "what is gmv and how many in 2017": ("answerable", "mixed_request", []),
+        "gmv by state in 2017": ("answerable", "data_query", []),
+        "gmv and positive review rate by month in 2017": ("answerable", "data_query", ["selected_metrics_use_different_time_fields"]),
+        "gmv and orders by month in 2017": ("answerable", "data_query", []),
+        "gmv and average delivery days by category": ("dimension_policy", "clarification_required", ["dimension_not_supported_by_all_metrics"]),
+        "delete all orders": ("unauthorized", "unsafe_or_unauthorized", []),
+        "业务上如何提升留存": ("general_business", "general_business", []),
+        "为什么会这样，结合当前数据": ("missing_metric", "clarification_required", []),
+        "what is gmv": ("definition", "catalog_definition", []),
+        "help": ("help", "help", []),
+    }
+    df = spark.createDataFrame([(q,) for q in said], "question string")
+    got = {r.question: (r.reason, r.intent, list(r.warnings)) for r in route(df, C.load_catalog()).collect()}
+    assert got == said
+
+
+def test_remembered_metrics(spark):
+    df = spark.createDataFrame([("by month", ["gmv"]), ("by category", ["average_delivery_days"]), ("by month", None), ("orders by month", ["gmv"])], "question string, known array<string>")
+    got = [(r.reason, r.metric_ids) for r in route(df, C.load_catalog(), remembered=F.col("known")).collect()]
+    assert got == [("answerable", ["gmv"]), ("dimension_policy", ["average_delivery_days"]), ("missing_metric", []), ("answerable", ["paid_order_count"])]
