@@ -201,12 +201,12 @@ def scan(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "tex
     some = F.arrays_overlap(all_words, listed(model.evidence)) | F.arrays_overlap(two(all_words), listed(model.pairs))
     cue = F.arrays_overlap("words", listed(model.evidence))
     held = paragraphs(docs, doc_id, text, some).withColumn("words", tokens(F.col("paragraph"))).withColumn("cue", cue).filter(F.col("cue") | F.arrays_overlap(two(F.col("words")), listed(model.pairs))).dropDuplicates(["doc_id", "of", "level", "place"])
-    held = clauses(held)
-    key = ["doc_id", "of", "level", "place", "nth"]
-    table_ = F.broadcast(spark.createDataFrame([(g, w) for g, w in model.weights.items()], "g string, w array<double>"))  # at most VOCABULARY rows
-    parts = held.select(*key, "paragraph", "words", "cue", F.explode(grams(F.col("words"))).alias("g")).join(table_, "g", "left")
+    # Paragraphs are written once; only their n-grams' weights, summed where they are read, travel.
+    held = materialize(clauses(held).withColumn("pid", F.monotonically_increasing_id()), "licence-paragraphs")
+    weights = F.broadcast(spark.createDataFrame([(g, w) for g, w in model.weights.items()], "g string, w array<double>"))  # at most VOCABULARY rows
     k = len(model.classes)
-    sums = parts.groupBy(*key).agg(*[F.first(c).alias(c) for c in ("paragraph", "words", "cue")], F.array(*[F.coalesce(F.sum(F.get("w", F.lit(i))), F.lit(0.0)) + model.intercepts[i] for i in range(k)]).alias("z"))
+    parts = held.select("pid", F.explode(grams(F.col("words"))).alias("g")).join(weights, "g").groupBy("pid").agg(*[F.sum(F.get("w", F.lit(i))).alias(f"z{i}") for i in range(k)])
+    sums = held.join(parts, "pid", "left").select(*held.columns, F.array(*[F.coalesce(f"z{i}", F.lit(0.0)) + model.intercepts[i] for i in range(k)]).alias("z"))
     sums = sums.withColumn("z", F.transform("z", lambda x: x / model.temperature)).withColumn("top", F.array_max("z"))
     sums = sums.withColumn("best", F.array_position("z", F.col("top")).cast("int")).withColumn("probability", 1 / F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top"))))
     family = F.element_at(F.array(*[F.lit(c) for c in model.classes]), F.col("best"))
