@@ -4,13 +4,15 @@ Numbers, names and units become typed placeholders, word for word, so a question
 template. Windows of the template are hash-joined between documents and benchmark items; he and she are one word there. Matches of
 one item at one offset in one document are kept if their slots agree: an item's value always stands for the same value in
 the document, while two of its values may become equal. Offsets of one region, which differ where a value has another number of words or a word is
-put in, are added up as far as their slots agree. A document is contaminated if the kept windows cover enough of an item. Items
+put in, are added up as far as their slots agree. Only documents that hold three (two, one) neighbouring literal words of some window,
+found by a plain split into words, are canonicalised; the others cannot match. A document is contaminated if the kept windows cover enough of an item. Items
 without a window of their own are matched whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,6 +28,8 @@ MIN_SHARE = 0.5
 SHIFT = 8
 #: Windows of items, and hashes of documents, above this number are joined by a shuffle instead of a broadcast (16 bytes each).
 BROADCAST_WINDOWS = 1_000_000
+#: Keys of windows up to this number stand in the filter of the documents; with more, all documents are canonicalised.
+KEYS = 100_000
 NUM, NAME, UNIT = "<num>", "<name>", "<unit>"
 #: Units that may follow a number.
 UNITS = "kg g mg lb oz km m cm mm mi ft in l ml h hr hrs min s sec ms hours hour minutes minute seconds second days day weeks week months month years year dollars dollar euros euro cents cent percent % kmh mph meters meter metres metre miles mile grams gram liters liter litres litre pounds pound degrees degree".split()
@@ -71,6 +75,55 @@ def _word(word: Column) -> Column:
     return F.xxhash64(F.when(word.isin(PRONOUNS), PRONOUNS[0]).otherwise(word))
 
 
+def _runs(tokens: Column, size: int) -> Column:
+    """Hashes of all runs of so many tokens, at most three."""
+    h = F.transform(tokens, _word)
+    if size == 1:
+        return h
+    if size == 2:
+        return _let(h, lambda x: F.transform(F.sequence(F.lit(0), F.size(x) - 2), lambda i: F.xxhash64(F.get(x, i), F.get(x, i + 1))))
+    return _let(h, lambda x: F.transform(F.sequence(F.lit(0), F.size(x) - 3), lambda i: F.xxhash64(F.get(x, i), F.get(x, i + 1), F.get(x, i + 2))))
+
+
+def _tokens(text: Column) -> Column:
+    """Runs of letters and digits: parts of words whose edges no punctuation moves."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+
+
+def _key(words: Column) -> Column:
+    """struct(size, h): the longest in letters of the runs of three (two, one) tokens inside literal words that stand together; null if there are none."""
+    parts = F.flatten(F.transform(words, lambda w: F.when(w.isin(NUM, NAME, UNIT, ""), F.array(F.lit(NUM))).otherwise(_tokens(w))))
+
+    def best(p: Column, size: int) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(p) - size + 1, F.lit(1))), lambda i: F.slice(p, i, F.lit(size)))
+        whole = F.filter(runs, lambda r: (F.size(r) == size) & ~F.array_contains(r, NUM))
+        longest = F.array_max(F.transform(whole, lambda r: F.struct(F.char_length(F.array_join(r, "")).alias("letters"), r.alias("run"))))["run"]
+        return F.when(longest.isNotNull(), F.struct(F.lit(size).alias("size"), F.get(_runs(longest, size), F.lit(0)).alias("h")))
+
+    return _let(parts, lambda p: F.coalesce(best(p, 3), best(p, 2), best(p, 1)))
+
+
+def _among(values: list[int]) -> Callable[[Column], Column]:
+    return lambda x: x.isin(values)
+
+
+def _may_hold(docs: DataFrame, bench: DataFrame) -> DataFrame:
+    """The documents that hold the key of any window: all that can match, and few others. A window without a key lets all pass."""
+    keys = bench.select("key.size", "key.h").distinct()
+    if keys.count() > KEYS:
+        return docs
+    found = keys.collect()
+    if any(r["size"] is None for r in found):
+        return docs
+    by_size = {n: sorted(r["h"] for r in found if r["size"] == n) for n in (1, 2, 3)}
+
+    def holds(tokens: Column) -> Column:
+        some = [F.exists(F.when(F.size(tokens) >= n, _runs(tokens, n)).otherwise(F.array().cast("array<bigint>")), _among(of)) for n, of in by_size.items() if of]
+        return reduce(lambda a, b: a | b, some) if some else F.lit(False)
+
+    return docs.filter(_let(_tokens(F.col("said")), holds))
+
+
 def _hashes(words: Column, size: int) -> Column:
     """Hash of the template window at each place: hashes of 1, 2, 4, ... words are put together, the last two overlapping."""
 
@@ -121,19 +174,21 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     def windows_of(rows: DataFrame, size: int) -> DataFrame:
         out = rows.select("item_id", "words", "said", "rich", "whole", "literals", F.posexplode(_hashes(F.col("words"), size)).alias("at", "h"))
         chosen = out.filter(F.col("whole") | F.get("rich", F.col("at")))
-        return chosen.select("item_id", "whole", "literals", "at", "h", _slots(F.col("words"), F.col("said"), F.col("at"), size).alias("slots"))
+        return chosen.select("item_id", "whole", "literals", "at", "h", _slots(F.col("words"), F.col("said"), F.col("at"), size).alias("slots"), _key(F.slice("words", F.col("at") + 1, F.lit(size))).alias("key"))
 
     bench = windows_of(base.filter(F.col("n") >= window), window)
     for size in short:
         bench = bench.union(windows_of(base.filter(F.col("n") == size), size))
-    bench = bench.distinct()
+    bench = materialize(bench.distinct(), "benchmark-windows")
     sizes = bench.groupBy("item_id").agg(F.countDistinct("at").alias("in_item"), F.first("whole").alias("whole"), F.first("literals").alias("literals"))
     keys = bench.select("h").distinct()
     wide = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("said"))
-    hits = wide.select("doc_id", "said", F.explode(_let(template(F.col("said")), lambda w: F.array(*[_hashes(w, k) for k in (*short, window)]))).alias("hs")) if short else wide.select("doc_id", "said", _hashes(template(F.col("said")), window).alias("hs"))
+    held = _may_hold(wide, bench)
+    hits = held.select("doc_id", "said", F.explode(_let(template(F.col("said")), lambda w: F.array(*[_hashes(w, k) for k in (*short, window)]))).alias("hs")) if short else held.select("doc_id", "said", _hashes(template(F.col("said")), window).alias("hs"))
     small = bench.count() <= BROADCAST_WINDOWS
     keys = F.broadcast(keys) if small else keys
     # Each document keeps only its hits; texts are read again for the few documents that have some.
+    bench = bench.drop("key")
     found = hits.select("doc_id", F.xxhash64("said").alias("of"), F.posexplode("hs").alias("place", "h")).join(keys, "h")
     matched = found.join(F.broadcast(bench) if small else bench, "h").select("doc_id", "of", "item_id", "at", "place", "slots").distinct()
     matched = materialize(matched, "matched-windows")
