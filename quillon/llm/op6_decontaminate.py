@@ -184,12 +184,13 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     keys = bench.select("h").distinct()
     wide = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("said"))
     held = _may_hold(wide, bench)
-    hits = held.select("doc_id", "said", F.explode(_let(template(F.col("said")), lambda w: F.array(*[_hashes(w, k) for k in (*short, window)]))).alias("hs")) if short else held.select("doc_id", "said", _hashes(template(F.col("said")), window).alias("hs"))
+    # An outer generator infers no filter, which would canonicalise every text once more, before the keys are looked for.
+    hits = held.select("doc_id", "said", F.explode_outer(_let(template(F.col("said")), lambda w: F.array(*[_hashes(w, k) for k in (*short, window)]))).alias("hs")) if short else held.select("doc_id", "said", _hashes(template(F.col("said")), window).alias("hs"))
     small = bench.count() <= BROADCAST_WINDOWS
     keys = F.broadcast(keys) if small else keys
     # Each document keeps only its hits; texts are read again for the few documents that have some.
     bench = bench.drop("key")
-    found = hits.select("doc_id", F.xxhash64("said").alias("of"), F.posexplode("hs").alias("place", "h")).join(keys, "h")
+    found = hits.select("doc_id", F.xxhash64("said").alias("of"), F.posexplode_outer("hs").alias("place", "h")).join(keys, "h")
     matched = found.join(F.broadcast(bench) if small else bench, "h").select("doc_id", "of", "item_id", "at", "place", "slots").distinct()
     matched = materialize(matched, "matched-windows")
     slotted = matched.filter(F.size("slots") > 0)
