@@ -157,6 +157,12 @@ def routed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.route(c.unionByName(b), load_catalog(), "text").groupBy("kind", "reason", "intent").agg(F.count("*").alias("texts"))
 
 
+def error_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error categories of all messages and of the raw properties of all events, as they are."""
+    said = load(spark, sf_dir, "conversations").select(F.lit("conversation").alias("kind"), "text").unionByName(load(spark, sf_dir, "events").select(F.lit("event").alias("kind"), F.col("props").alias("text")))
+    return said.select("kind", T.error_category(F.coalesce("text", F.lit(""))).alias("c")).groupBy("kind", "c.category", "c.retryable").agg(F.count("*").alias("texts"))
+
+
 def json_safe_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as values that JSON can hold; some values are made infinite or not a number."""
     ev = load(spark, sf_dir, "events").withColumn("value", F.when(F.col("event_id") % 11 == 0, float("inf")).when(F.col("event_id") % 13 == 0, float("nan")).otherwise(F.col("value") / 3))
@@ -183,6 +189,7 @@ QUERIES = {
     "conversation_memory": conversation_memory,
     "routed_texts": routed_texts,
     "json_safe_rows": json_safe_rows,
+    "error_texts": error_texts,
 }
 
 _EFF = "o_orderstatus NOT IN ('P')"
@@ -263,6 +270,9 @@ ORACLES = {
         FROM (SELECT kind, {_route_sql()} AS reason FROM (SELECT 'conversation' AS kind, trim(coalesce(text, '')) AS s FROM conversations UNION ALL SELECT 'benchmark', trim(coalesce(text, '')) FROM benchmark)) GROUP BY ALL""",
     "json_safe_rows": """SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(ts) % 1000000 <> 0 THEN strftime(ts, '.%f') ELSE '' END AS ts,
         CASE WHEN event_id % 11 <> 0 AND event_id % 13 <> 0 THEN round(value / 3, 6) END AS value, left(repeat(props, 5), 160) AS props FROM events""",
+    "error_texts": f"""WITH t AS (SELECT 'conversation' AS kind, lower(coalesce(text, '')) AS s FROM conversations UNION ALL SELECT 'event', lower(coalesce(props, '')) FROM events),
+        c AS (SELECT kind, CASE {" ".join(f"WHEN regexp_matches(s, '{p}') THEN '{n}'" for n, p, _ in T.ERROR_CATEGORIES)} ELSE 'unknown' END AS category FROM t)
+        SELECT kind, category, category IN ({", ".join(f"'{n}'" for n, _, r in T.ERROR_CATEGORIES if r)}) AS retryable, count(*) AS texts FROM c GROUP BY ALL""",
     "conversation_memory": f"""WITH f(i, q, m, a, b, c, r) AS (VALUES {_FACTS}),
         t AS (SELECT conv_id, turn, f.* FROM conversations JOIN f ON i = (conv_id * 7 + turn * 3) % {len(QUESTIONS)} WHERE conv_id IS NOT NULL),
         k AS (SELECT *, last_value(m IGNORE NULLS) OVER w AS ms, last_value(a IGNORE NULLS) OVER w AS first_day, last_value(b IGNORE NULLS) OVER w AS last_day, last_value(c IGNORE NULLS) OVER w AS cs,

@@ -4,9 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.catalog import load_catalog
+from quillon.operators import sessions
 from quillon.plans import memory, stored_queries
+from quillon.streaming import budgets, joined
 from quillon.streaming import events as stream
-from quillon.streaming import joined
 from quillon.streaming.incremental import Incremental
 
 
@@ -100,6 +101,20 @@ def test_memory_as_a_stream(spark, sf, tmp_path):
     assert sorted(map(str, out.select(columns).collect())) == sorted(map(str, memory.replay(turns).select(columns).collect()))
 
 
+def test_budgets_as_a_stream(spark, sf, tmp_path):
+    """Counters in state allow what the window over the whole batch allows."""
+    ev = events(spark, sf).filter("user_id < 20")
+    in_files(ev, str(tmp_path / "in"), 3, "event_id")
+    limits = {"click": 4, "purchase": 2, "error": 1}
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        out, _ = run(budgets.within_budget(stream.event_stream(spark, str(tmp_path / "in"), "*.parquet", 1), "user_id", "event_type", "event_id", limits), str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    want = sessions.within_budget(ev, "user_id", "event_type", "event_id", limits).select("user_id", "event_type", "event_id", "allowed")
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect())) and out.filter("allowed").count() > 10
+
+
 def test_memory_is_forgotten(spark, tmp_path):
     """An hour after its last turn a conversation begins anew."""
     said = [(1, 0, "gmv in 2017", 0), (1, 1, "by month", 30), (2, 0, "orders", 300), (2, 1, "by state", 301), (1, 2, "by month", 302), (2, 2, "by year", 330)]
