@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quillon.catalog import Catalog
 from quillon.operators.metrics import METRICS
-from quillon.plans.routing import route
+from quillon.plans.routing import needs_baseline, needs_period, route
 
 #: Reasons that settle nothing about metrics, and those that leave no question pending.
 GENERAL = ("general_business", "general_definition", "help", "unauthorized", "unsupported", "empty")
@@ -31,18 +31,25 @@ def features(questions: DataFrame, catalog: Catalog, question: str = "question")
 
     `reasons` has one for each thing that the past may know: 1 for a period, 2 for a comparison, 4 for metrics, in sum.
     """
-    yes, no = F.lit("known"), F.lit(None).cast("string")
-    kept = questions
-    for n in range(8):
-        # A name that no metric has stands for metrics that fit every dimension.
-        routed = route(kept, catalog, question, period=yes if n & 1 else no, comparison=yes if n & 2 else no, remembered=F.array(F.lit("")) if n & 4 else None)
-        own = {}
-        if n == 0:
-            spans = F.struct(F.col("range.start").cast("string").alias("start"), F.col("range.end").cast("string").alias("end"))
-            excluded = [F.when(F.size(F.array_except("dimensions", F.array(*[F.lit(d) for d in (*m.dimensions, *m.through_items)]))) > 0, F.lit(i)) for i, m in METRICS.items()]
-            own = {"own_metrics": F.slice(F.array_distinct("metric_ids"), 1, MOST), "own_range": F.when(F.col("range").isNotNull(), spans), "own_comparison": F.col("baseline"), "excluded": F.array_compact(F.array(*excluded))}
-        kept = routed.withColumns({f"__r{n}": F.col("reason"), **own}).drop("metric_ids", "dimensions", "grain", "baseline", "range", "reason", "state", "intent", "plan_type", "warnings")
-    return kept.withColumn("reasons", F.array(*[F.col(f"__r{n}") for n in range(8)])).drop(*[f"__r{n}" for n in range(8)])
+    known = F.lit("known")
+    said = F.trim(F.coalesce(question, F.lit("")))
+    spans = F.struct(F.col("range.start").cast("string").alias("start"), F.col("range.end").cast("string").alias("end"))
+    excluded = [F.when(F.size(F.array_except("dimensions", F.array(*[F.lit(d) for d in (*m.dimensions, *m.through_items)]))) > 0, F.lit(i)) for i, m in METRICS.items()]
+    own = {
+        "own_metrics": F.slice(F.array_distinct("metric_ids"), 1, MOST), "own_range": F.when(F.col("range").isNotNull(), spans), "own_comparison": F.col("baseline"), "excluded": F.array_compact(F.array(*excluded)),
+        "__period": needs_period(said, F.col("range")), "__baseline": needs_baseline(said),
+    }
+    routed = ["metric_ids", "dimensions", "grain", "baseline", "range", "reason", "state", "intent", "plan_type", "warnings"]
+    alone = route(questions, catalog, question, period=known, comparison=known).withColumns({**own, "__alone": F.col("reason")}).drop(*routed)
+    # A name that no metric has stands for metrics that fit every dimension.
+    both = route(alone, catalog, question, period=known, comparison=known, remembered=F.array(F.lit(""))).withColumn("__with", F.col("reason")).drop(*routed)
+
+    def reason(n: int) -> Column:
+        base = F.col("__with" if n & 4 else "__alone")
+        lacks = lambda bit, c: F.lit(not n & bit) & (base == "answerable") & F.col(c)
+        return F.when(lacks(1, "__period"), "missing_time").when(lacks(2, "__baseline"), "missing_comparison").otherwise(base)
+
+    return both.withColumn("reasons", F.array(*[reason(n) for n in range(8)])).drop("__period", "__baseline", "__alone", "__with")
 
 
 #: Reasons that stand behind the check of dimensions.

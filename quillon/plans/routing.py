@@ -65,6 +65,16 @@ INTENTS = {
 _OPEN = ("answerable", "missing_time", "missing_comparison")
 
 
+def needs_period(said: Column, span: Column) -> Column:
+    """Whether a question names a relative time and no range."""
+    return said.rlike(RELATIVE_TIME) & span.isNull()
+
+
+def needs_baseline(said: Column) -> Column:
+    """Whether a question compares without saying with what."""
+    return said.rlike(NEEDS_BASELINE) & ~said.rlike(BASELINE)
+
+
 def route(
     questions: DataFrame, catalog: Catalog, question: str = "question", result: Column | None = None, period: Column | None = None, comparison: Column | None = None, remembered: Column | None = None
 ) -> DataFrame:
@@ -101,8 +111,7 @@ def route(
         .when(said.rlike(DEFINITION) & ~rest.rlike(DATA_INTENT), F.when(F.size("metric_ids") > 0, "definition").otherwise("general_definition"))
         .when(said.rlike(GENERAL_BUSINESS) & ~said.rlike(DATA_CONTEXT) & ~rest.rlike(DATA_REQUEST), "general_business")
         .when(F.size("metric_ids") == 0, F.when(said.rlike(GENERAL_BUSINESS) & ~said.rlike(DATA_CONTEXT), "general_business").otherwise("missing_metric")).when(wrong, "dimension_policy")
-        .when(said.rlike(RELATIVE_TIME) & ~known(period) & F.col("range").isNull(), "missing_time")
-        .when(said.rlike(NEEDS_BASELINE) & ~said.rlike(BASELINE) & ~known(comparison), "missing_comparison").otherwise("answerable")
+        .when(needs_period(said, F.col("range")) & ~known(period), "missing_time").when(needs_baseline(said) & ~known(comparison), "missing_comparison").otherwise("answerable")
     )
     state = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in STATES.items() for x in pair]), reason), F.lit("needs_clarification"))
     plan = F.when(state != "answerable", None).when(F.col("baseline").isNotNull(), "comparison").when(F.size("metric_ids") == 1, "single_metric").when((F.size("dimensions") > 0) | F.col("grain").isNotNull(), "grouped_multi_metric").otherwise("scalar_overview")
