@@ -106,6 +106,7 @@ def per_document(copies: DataFrame) -> DataFrame:
 
 
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document of `documents` with the words that the mix takes of it."""
     return per_document(mix(table(spark, sf_dir, "documents"))).drop("source")
 
 

@@ -128,7 +128,8 @@ def score(docs: DataFrame, held_out, doc_id: str = "doc_id", text: str = "text")
 
     `held_out` is a boolean column; rows where it is true teach nothing, null counts as false. A-Z are lower-cased. A null or
     empty text is its end token alone. Repeated rows and ids are documents of their own. With nothing to learn from, every
-    token is unknown and certain: score 0. An empty table gives no rows; other columns are ignored.
+    token is unknown and certain: score 0. An empty table gives no rows; other columns are ignored. Ids are whole numbers: others
+    raise a cast error.
     """
     spark = docs.sparkSession
     ranges = partitions(spark)
@@ -287,5 +288,6 @@ def _model_facts(bigrams: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, n
 
 
 def op2_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document of `documents` with its scores under the model of all that are not held out."""
     unseen = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 1
     return score(table(spark, sf_dir, "documents"), unseen)

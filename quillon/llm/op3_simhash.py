@@ -237,4 +237,5 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document of `documents` with its fingerprint and component."""
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")

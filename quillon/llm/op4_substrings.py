@@ -166,6 +166,7 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document of `documents`: its words, how many repeat an earlier window, and the hash of the others."""
     kept = repeated_windows(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 

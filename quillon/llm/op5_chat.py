@@ -97,6 +97,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a conversation of `conversations`, and one of a hostile conversation -1, read back from the formatted text."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hostile = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(HOSTILE).alias("text"))
     back = read_back(format_chats(rows.unionByName(hostile)))

@@ -127,6 +127,7 @@ def held_out(doc_id: str = "doc_id", modulus: int = 4, remainder: int = 2):
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document of `documents` with its language, learned from those that are not held out."""
     docs = table(spark, sf_dir, "documents")
     learned = dictionaries(docs.filter(~held_out()))
     return identify(docs, learned).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "margin", "rejected")

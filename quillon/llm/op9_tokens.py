@@ -154,7 +154,7 @@ def count_tokens(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: st
     """doc_id, n_words (pre-tokens), n_tokens, one row per input row.
 
     A null or empty text, or one of white space only, has zero of both. Repeated rows and ids are counted alike,
-    other columns are ignored, an empty table gives no rows. White space between pre-tokens is part of the next one.
+    other columns are ignored, an empty table gives no rows. Ids are whole numbers. White space between pre-tokens is part of the next one.
     """
     spark = docs.sparkSession
     # At most STORED rows.
@@ -173,5 +173,6 @@ def count_tokens(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: st
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document of `documents` with its number of tokens, by probabilities counted on all of them."""
     docs = table(spark, sf_dir, "documents")
     return count_tokens(docs, fit(docs))
