@@ -115,6 +115,13 @@ def _mentions(e, names: set[str], star: bool = False) -> bool:
     return any(_mentions(c, names, star) for c in _seq(e.children()))
 
 
+def _is_relation(plan) -> bool:
+    """Whether a plan is a table or CTE itself, perhaps under another name: new column names then stand for all its columns."""
+    while _kind(plan) == "SubqueryAlias":
+        plan = next(_seq(plan.children()))
+    return _kind(plan) == "UnresolvedRelation"
+
+
 def _tainted(nodes: list[tuple], sensitive: frozenset[str]) -> set[str]:
     """The sensitive names and all that the statement gives to anything made of them."""
     names = set(sensitive)
@@ -127,7 +134,7 @@ def _tainted(nodes: list[tuple], sensitive: frozenset[str]) -> set[str]:
                 if not made:
                     raise PolicyViolation("sensitive_column", "a lateral view without names")
                 names.update(made)
-            if kind == "UnresolvedSubqueryColumnAliases" and any(_mentions(e, names, True) for c, _ in _plans(n.child()) for e in _seq(c.expressions())):
+            if kind == "UnresolvedSubqueryColumnAliases" and (_is_relation(n.child()) or any(_mentions(e, names, True) for c, _ in _plans(n.child()) for e in _seq(c.expressions()))):
                 names.update(x.lower() for x in _seq(n.outputColumnNames()))
             # Branches of a set operation take the first one's names.
             if in_cte and kind in ("Union", "Except", "Intersect") and any(_mentions(e, names, True) for b in _seq(n.children()) for e in _projection(b)):
@@ -222,6 +229,8 @@ def _check_names(parsed, nodes: list[tuple], sensitive: frozenset[str]) -> None:
             raise PolicyViolation("sensitive_group")
         if kind == "Sort" and any(_mentions(e, names) for e in _seq(n.order())):
             raise PolicyViolation("sensitive_order")
+        if kind == "WithWindowDefinition" and any(_mentions(w, names) for w in _seq(n.windowDefinitions().values())):
+            raise PolicyViolation("sensitive_group", "WINDOW")
         if kind == "Pivot" and any(_mentions(e, names) for e in _seq(n.expressions())):
             raise PolicyViolation("sensitive_column", "PIVOT")
 

@@ -17,6 +17,8 @@ REFUSED = [
     "WITH x AS (SELECT o_orderkey AS k FROM orders), y AS (SELECT k + 1 AS z FROM x) SELECT z FROM y", "SELECT max(o_custkey) OVER (PARTITION BY o_orderstatus) AS m FROM orders",
     "SELECT v FROM IDENTIFIER('sec' || 'ret'), nation", "SELECT IDENTIFIER('current_' || 'user')() AS u FROM nation", "SELECT IDENTIFIER('c_' || 'name') AS n FROM customer",
     "SELECT current_user AS u FROM nation", "SELECT session_user AS u FROM nation", "SELECT user AS u FROM nation", "SELECT current_schema() AS u FROM nation", "SELECT current_user() AS u FROM nation", "SELECT current_database() AS u FROM nation",
+    "SELECT a FROM orders AS o(a, b, c, d, e, f)", "WITH x AS (SELECT * FROM orders AS o(a, b, c, d, e, f)) SELECT a FROM x", "SELECT count(*) OVER w AS n FROM orders WINDOW w AS (PARTITION BY o_custkey)",
+    "FROM orders |> SELECT o_custkey", "TABLE nation |> WHERE true", "SELECT n_name FROM nation WHERE n_name = current_user", "SELECT k FROM orders UNPIVOT (v FOR k IN (o_custkey))",
     "TABLE nation", "SELECT * FROM nation UNION ALL SELECT * FROM nation", "SELECT * EXCEPT (n_name) FROM nation", "SELECT struct(*) AS s FROM nation", "SELECT n.* FROM nation n", "SELECT n_name FROM (SELECT * FROM nation) x",
     "SELECT n_name FROM nation UNION ALL TABLE region", "SELECT count(*) AS n FROM orders GROUP BY o_orderkey UNION ALL SELECT 1 FROM nation", "SELECT n FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey) x",
     "SELECT s FROM (SELECT o_orderstatus AS s FROM orders ORDER BY o_custkey) x", "WITH x(a, b) AS (SELECT o_orderkey, o_orderstatus FROM orders) SELECT a FROM x", "WITH x(a, b, c, d, e, f) AS (SELECT * FROM orders) SELECT a FROM x",
@@ -30,7 +32,7 @@ ALLOWED = [
     ("WITH x AS (SELECT o_orderkey k, o_totalprice p FROM orders) SELECT sum(p) AS s, count(k) AS n FROM x", 200), ("SELECT o_orderstatus FROM orders WHERE o_custkey = 5", 200),
     ("SELECT o_orderstatus, o_orderpriority, count(o_orderkey) AS n FROM orders GROUP BY ROLLUP(o_orderstatus, o_orderpriority)", 200), ("SELECT p FROM orders LATERAL VIEW explode(array(o_orderpriority)) t AS p", 200),
     ("WITH x AS (SELECT n_name AS v FROM nation) SELECT v FROM x WHERE EXISTS (SELECT 1 FROM x AS y)", 200),
-    ("WITH x AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) SELECT avg(n) AS a FROM x", 200), ("SELECT count(DISTINCT o_custkey) AS n FROM orders GROUP BY o_orderstatus", 200),
+    ("WITH x AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) SELECT avg(n) AS a FROM x", 200), ("SELECT count(DISTINCT o_custkey) AS n FROM orders GROUP BY o_orderstatus", 200), ("SELECT max(o_totalprice) OVER w AS m FROM orders WINDOW w AS (PARTITION BY o_orderstatus)", 200),
     ("WITH x AS (SELECT * FROM orders) SELECT o_orderstatus, count(*) AS n FROM x GROUP BY 1 ORDER BY 2", 200), ("SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region", 200),
     ("SELECT c_mktsegment AS s, sum(o_totalprice) AS t FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL", 200),
     ("SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey", 200),
