@@ -22,7 +22,9 @@ from quillon.sources.stored import new_path, written
 #: The sample that centroids are fitted on, the number of cells and of rounds. Every vector is indexed.
 SAMPLE, CELLS, ROUNDS = 20_000, 32, 12
 #: Vectors of a cell that one task searches.
-PART = 50_000
+PART = 4_000
+#: Queries that a part of a cell meets at once.
+BLOCK = 8_000
 #: Values are ranked by 6 places, so bounds leave as much room.
 _ROOM = 1e-5
 
@@ -42,6 +44,11 @@ def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1), 0))
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of one size as rows."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1 if len(column) else 0)
+
+
 def _unit(v: Column) -> Column:
     """The vector at length 1; a zero vector stays."""
     norm = F.sqrt(similarity.dot(v, v))
@@ -68,7 +75,7 @@ class Ivf:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                v = np.array(b.column("v").to_pylist(), float).reshape(b.num_rows, -1)
+                v = _matrix(b.column("v"))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(_distances(v, centroids)), pa.list_(pa.float64()))], names=[*b.schema.names, "ds"])
 
         given = queries.select("query_id", F.col("q").alias("raw"), F.col("q").cast("array<double>").alias("v"))
@@ -78,15 +85,16 @@ class Ivf:
         return near.select("query_id", "raw", "v", F.posexplode("ds").alias("cell", "d"))
 
     def _search(self, probes: DataFrame, k: int) -> DataFrame:
-        """The k best of the probed cells: query_id, id, value, rank. A probe may carry `reach`, beyond which nothing is wanted."""
+        """The k best of the probed cells: query_id, id, value, rank. A probe carries `reach`, beyond which nothing is wanted.
+
+        A part of a cell meets its probes in blocks of about BLOCK, so that a group is bounded on both sides.
+        """
+        blocks = max(1, -(-probes.select("query_id").distinct().count() // BLOCK))
         parts = self.spark.read.parquet(f"{self.path}/cells").select("cell", "parts")
-        spread = probes.join(F.broadcast(parts), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        vectors = self.vectors.select("id", F.col("raw").alias("w"), "cell", "part", "r")
-        pairs = spread.join(vectors, ["cell", "part"]).filter(F.abs(F.col("d") - F.col("r")) <= F.col("reach"))
-        value = similarity.cosine if self.measure == "cosine" else similarity.l2
-        scored = pairs.select("query_id", "id", F.round(value(F.col("w"), F.col("raw")), 6).alias("value"))
-        order = W.partitionBy("query_id").orderBy(F.desc_nulls_last("value") if self.measure == "cosine" else F.asc_nulls_last("value"), "id")
-        return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        asked = probes.join(F.broadcast(parts), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        asked = asked.select("query_id", F.col("raw").alias("q"), "cell", "part", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), "d", "reach")
+        rows = self.vectors.select("id", F.col("raw").alias("v"), "cell", "part", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "r")
+        return similarity.ranked(similarity.best_of_groups(rows, asked, ["cell", "part", "block"], self.measure, k), self.measure, k, "id")
 
     def probe(self, queries: DataFrame, k: int = 10, cells: int = 4) -> DataFrame:
         """query_id, id, value, rank among the vectors of the `cells` nearest cells. queries: query_id (unique), q."""
@@ -121,7 +129,7 @@ class Ivf:
 def build(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embedding", measure: str = "l2", cells: int = CELLS, sample: int = SAMPLE, rounds: int = ROUNDS, path: str | None = None) -> Ivf:
     """Index every row that has a vector. Centroids are fitted on the `sample` rows of smallest hash of their id, in one task.
 
-    Vectors must have one size and finite components. A cell of many vectors is cut into parts of about 50,000, so that no task gets it whole.
+    Vectors must have one size and finite components. A cell of many vectors is cut into parts of about PART, so that no task gets it whole.
     """
     if measure not in ("l2", "cosine"):
         raise ValueError("measure must be l2 or cosine")
@@ -139,7 +147,7 @@ def build(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embeddin
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            d = _distances(np.array(b.column("v").to_pylist(), float).reshape(b.num_rows, -1), centroids)
+            d = _distances(_matrix(b.column("v")), centroids)
             near = d.argmin(1)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(near)), near])], names=[*b.schema.names, "cell", "r"])
 
