@@ -190,11 +190,16 @@ ERROR_CATEGORIES = (
 )
 
 
+#: A number that names something, as in "event 42501": no error code, unless it is said to be one.
+_NUMBERED = r"\b(?!(?:sqlstate|errcode|error|code|state)\b)([a-z_]+) \d+\b"
+
+
 def error_category(message: Column) -> Column:
-    """struct(category, retryable) of an error text."""
+    """struct(category, retryable) of an error text. Digits after a noun ("event 42501") are no code."""
+    said = F.regexp_replace(F.lower(message), _NUMBERED, "$1")
     out = F.struct(F.lit("unknown").alias("category"), F.lit(False).alias("retryable"))
     for name, pattern, retry in reversed(ERROR_CATEGORIES):
-        out = F.when(F.lower(message).rlike(pattern), F.struct(F.lit(name).alias("category"), F.lit(retry).alias("retryable"))).otherwise(out)
+        out = F.when(said.rlike(pattern), F.struct(F.lit(name).alias("category"), F.lit(retry).alias("retryable"))).otherwise(out)
     return out
 
 
