@@ -13,7 +13,7 @@ from quillon.functions import text as T
 from quillon.operators import charts, evaluation, quality, sessions, similarity
 from quillon.operators.validation import Contract, validate
 from quillon.plans.retrieval import retrieve
-from quillon.plans.routing import contracts, route
+from quillon.plans.routing import contracts, once, route
 from quillon.sources.tables import TABLES, Star, load
 from quillon.streaming import events as stream
 
@@ -170,19 +170,24 @@ def _asked_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "events").select(k.alias("id"), _pick([q[0] for q in QUESTIONS], k).alias("question"), F.when(_pick([q[1] for q in QUESTIONS], k), "gmv was 5").alias("summary"))
 
 
+def _routed_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal questions are routed once."""
+    return once(_asked_questions(spark, sf_dir), ["question", "summary"], lambda q: route(q, load_catalog(), result=F.col("summary")))
+
+
 def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = route(_asked_questions(spark, sf_dir), load_catalog(), result=F.col("summary"))
+    q = _routed_questions(spark, sf_dir)
     return q.select("id", F.array_join("metric_ids", ",").alias("metrics"), F.array_join("dimensions", ",").alias("dimensions"), "grain", F.col("range.start").alias("first_day"), F.col("range.end").alias("last_day"), "reason")
 
 
 def question_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = contracts(route(_asked_questions(spark, sf_dir), load_catalog(), result=F.col("summary")), load_catalog()).filter("contract IS NOT NULL")
+    q = contracts(_routed_questions(spark, sf_dir), load_catalog()).filter("contract IS NOT NULL")
     return q.select("id", F.array_join("contract.required", ",").alias("required"), F.col("contract.start").alias("first_day"), F.array_join("contract.warnings", ",").alias("warnings"))
 
 
 def catalog_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event asks one of QUESTIONS; what of the catalog it needs."""
-    r = retrieve(_asked_questions(spark, sf_dir), load_catalog())
+    r = once(_asked_questions(spark, sf_dir), ["question"], lambda q: retrieve(q, load_catalog()))
     return r.select("id", F.array_join("metrics", ",").alias("metrics"), F.array_join("tables", ",").alias("tables"), F.array_join("joins", ",").alias("joins"), "reason")
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -126,6 +130,13 @@ def route(
     return df.withColumns({"reason": reason, "state": state, "intent": intent, "plan_type": plan, "warnings": warnings})
 
 
+def once(rows: DataFrame, columns: list[str], answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What `answer` adds to the rows, found once for every distinct value of the columns, which must be all that it looks at (null is a value)."""
+    asked = rows.select(*[F.col(c).alias(f"__{c}") for c in columns]).distinct()
+    answered = answer(asked.select(*[F.col(f"__{c}").alias(c) for c in columns])).withColumnsRenamed({c: f"__{c}" for c in columns})
+    return rows.join(answered, reduce(and_, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in columns])).drop(*[f"__{c}" for c in columns])
+
+
 def definitions(routed: DataFrame) -> DataFrame:
     """Adds answer: for definitions, a table of the metrics' names, time columns, and whether unfinished orders are left out; no data is read."""
     line = F.create_map(*[x for m in METRICS.values() for x in (F.lit(m.metric_id), F.lit(f"| {m.label} (`{m.metric_id}`) | {m.time or 'none'} | {'effective orders only' if m.effective_only else 'none'} |"))])
