@@ -1,6 +1,7 @@
 """Candidates of set joins against all pairs."""
 
 import random
+from difflib import SequenceMatcher
 
 import pytest
 
@@ -30,3 +31,17 @@ def test_tokens_are_not_shuffled_for_their_order(spark):
     rows = spark.createDataFrame([(i, f"a b c w{i}") for i in range(20)], "id long, text string")
     plan = set_join.candidates(*(rows.selectExpr(f"id AS {k}", "split(text, ' ') AS tokens") for k in "ab"), 0.7)._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "bit_count" in plan
+
+
+def test_alike_texts_in_groups(spark, monkeypatch):
+    """Against the matcher on every pair; the bound by common subsequences holds for texts of over 200 characters too."""
+    monkeypatch.setattr(set_join, "TEXTS", (7, 3))
+    rng = random.Random(3)
+    texts = ["", "a", "ab" * 120]
+    for _ in range(12):
+        one = "".join(rng.choices("abcde ", k=rng.randint(1, 260)))
+        texts += [one, one[:-3] + "xyz", one[len(one) // 3 :]]
+    x, y = (spark.createDataFrame(list(enumerate(texts)), f"{k} long, {v} string") for k, v in (("a", "x"), ("b", "y")))
+    got = {(r.a, r.b): r.score for r in set_join.alike_in_blocks(x, y, 0.7).collect()}
+    ratios = {(i, j): SequenceMatcher(None, p, q).ratio() for i, p in enumerate(texts) for j, q in enumerate(texts)}
+    assert got == {k: r for k, r in ratios.items() if r >= 0.7}
