@@ -21,11 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.common import materialize, table
-from quillon.llm.words import MEMO, bounded
+from quillon.llm.words import bounded
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Texts are taken together up to so many bytes, which bounds the trie.
-BATCH_BYTES = 16_000_000
+BATCH_BYTES = 4_000_000
+#: Distinct pre-tokens that a task counts before it sends them; pre-tokens that it solves before it forgets them.
+COUNTED, SOLVED = 200_000, 600_000
 #: Frequent pre-tokens whose counts are stored and sent to all tasks, at most (about 20 bytes each).
 STORED = 200_000
 SPACE = "▁"
@@ -39,18 +41,28 @@ class Model:
     terminals: DataFrame
 
 
+def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """word, n for the texts in the first column; a word comes again when COUNTED others were sent before."""
+
+    def sent(n: Counter) -> Iterator[pa.RecordBatch]:
+        words, times = list(n), list(n.values())
+        n.clear()
+        for at in range(0, len(words), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in words[at : at + 10_000]]), pa.array(times[at : at + 10_000], pa.int64())], names=["word", "n"])
+
+    n: Counter = Counter()
+    for b in batches:
+        for t in b.column(0):
+            n.update((t.as_py() or "").encode().split())
+            if len(n) >= COUNTED:
+                yield from sent(n)
+    yield from sent(n)
+
+
 def pre_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
     """word, n: the distinct pre-tokens of all texts and how often each occurs."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in bounded(batches, text, BATCH_BYTES):
-            n: Counter = Counter()
-            for t in part.column(text):
-                n.update((t.as_py() or "").encode().split())
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in n]), pa.array(n.values(), pa.int64())], names=["word", "n"])
-
-    return docs.select(text).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(text).mapInArrow(count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def fit(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> Model:
@@ -143,12 +155,27 @@ class Solved(dict):
 
     def learn(self, words: set[bytes]) -> None:
         new = words.difference(self)
-        if len(self) + len(new) > len(self.stored) + MEMO:
+        if len(self) + len(new) > len(self.stored) + SOLVED:
             self.clear()
             self.update(self.stored)
             new = words.difference(self)
         self.update(trie_counts(new, self.pieces))
 
+    def totals(self, batches: Iterator[pa.RecordBatch], doc_id: str, text: str) -> Iterator[pa.RecordBatch]:
+        """doc_id, n_words, n_tokens. Texts are split twice, so that no more than the distinct pre-tokens of BATCH_BYTES are held."""
+        for part in bounded(batches, text, BATCH_BYTES):
+            new: set[bytes] = set()
+            for t in part.column(text):
+                new.update((t.as_py() or "").encode().split())
+            self.learn(new)
+            n_words, totals = [], []
+            for t in part.column(text):
+                words = (t.as_py() or "").encode().split()
+                n_words.append(len(words))
+                totals.append(sum(map(self.__getitem__, words)))
+            out = pa.table({"doc_id": part.column(doc_id).cast(pa.int64()), "n_words": pa.array(n_words, pa.int64()), "n_tokens": pa.array(totals, pa.int64())})
+            yield from out.combine_chunks().to_batches()
+
 
 def count_tokens(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words (pre-tokens), n_tokens, one row per input row.
@@ -161,13 +188,7 @@ def count_tokens(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: st
     stored = spark.sparkContext.broadcast(({r["word"].encode(): r["tokens"] for r in model.terminals.select("word", "tokens").toLocalIterator()}, model.pieces))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        solved = Solved(*stored.value)
-        for part in bounded(batches, text, BATCH_BYTES):
-            texts = [(t.as_py() or "").encode().split() for t in part.column(text)]
-            solved.learn(set().union(*texts))
-            totals = [sum(map(solved.__getitem__, t)) for t in texts]
-            out = pa.table({"doc_id": part.column(doc_id).cast(pa.int64()), "n_words": pa.array(list(map(len, texts)), pa.int64()), "n_tokens": pa.array(totals, pa.int64())})
-            yield from out.combine_chunks().to_batches()
+        yield from Solved(*stored.value).totals(batches, doc_id, text)
 
     return docs.select(*dict.fromkeys([doc_id, text])).mapInArrow(run, "doc_id long, n_words long, n_tokens long")
 
